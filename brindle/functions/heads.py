@@ -1,0 +1,165 @@
+"""What the head of a log line states: timestamp text, level, component and message. Plain Python, one line at a time."""
+
+from __future__ import annotations
+
+import json
+import re
+
+#: Levels and how they are spelled (fixed values).
+LEVELS = {
+    "TRACE": "trace trc finest verbose",
+    "DEBUG": "debug dbg debug1 debug2 debug3 debug4 debug5 fine",
+    "INFO": "info inf information notice log",
+    "WARN": "warn warning wrn",
+    "ERROR": "error err eror severe",
+    "FATAL": "fatal crit critical alert emerg emergency panic ftl",
+}
+SPELLED = {w: k for k, v in LEVELS.items() for w in v.split()}
+LETTERS = {"T": "TRACE", "V": "TRACE", "D": "DEBUG", "I": "INFO", "W": "WARN", "E": "ERROR", "F": "FATAL", "C": "FATAL"}
+#: Levels of syslog severities 0 to 7 (fixed values).
+SEVERITY = ("FATAL", "FATAL", "FATAL", "ERROR", "WARN", "INFO", "INFO", "DEBUG")
+TIME_KEYS = ("timestamp", "ts", "@timestamp", "time", "_time", "date")
+LEVEL_KEYS = ("level", "lvl", "severity", "loglevel", "log_level")
+COMPONENT_KEYS = ("component", "comp", "logger", "service", "module", "program", "app")
+MESSAGE_KEYS = ("msg", "message")
+
+STAMP = (
+    r"\d{4}[-/]\d{2}[-/]\d{2}[Tt ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,12})?)?(?:\s?(?:Z|[+-]\d{2}:?\d{2})(?![\w:])| (?!INFO?|WARN|WRN|DBG|TRC|ERR|CRIT|FTL|LOG)[A-Z]{3,4}(?=[\] ]))?"
+    r"|\d{8}T\d{6}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
+    r"|(?:[A-Z][a-z]{2}, )?\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}(?: (?:[+-]\d{4}|[A-Z]{3,4}))?"
+    r"|[A-Z][a-z]{2} +\d{1,2} (?:\d{4} )?\d{2}:\d{2}:\d{2}(?:[.,]\d+)?"
+    r"|\d{1,2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}"
+)
+_LEVEL = "|".join(sorted(SPELLED, key=len, reverse=True))
+_PRI = re.compile(r"<(\d{1,3})>(\d{1,2} )?")
+_PLAIN = re.compile(rf"\[?({STAMP})\]?")
+_GLOG = re.compile(r"([TVDIWEFC])(\d{4} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+\d+ ([^\s:\]]+?)(?:\.\w+)?(?::\d+)?\] ?")
+_ACCESS = re.compile(rf"\S+ \S+ \S+ \[({STAMP})\] ")
+_PAIR = re.compile(r'([\w.@-]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)')
+_LOGFMT = re.compile(rf"(?:{'|'.join(map(re.escape, TIME_KEYS))})=")
+_BROKEN = re.compile(r'"([\w@]+)"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?)')
+_NEW_SYSLOG = re.compile(r" (\S+) (\S+) (\S+) (\S+) (?:-|\[.*?\](?!\[)) ?")
+_OLD_SYSLOG = re.compile(r" (\S+) ([^\s:\[]+)(?:\[[^\]]*\])?: ?")
+_RESTS = tuple(
+    re.compile(p, re.I)
+    for p in (
+        rf" - (?P<c>.+?) - (?P<l>{_LEVEL}) - ",
+        rf" - (?P<l>{_LEVEL}) - (?P<c>.+?) - ",
+        r" - (?P<c>[\w. -]+?) - ",
+        rf"\s+(?P<l>{_LEVEL})\s+\[[^\]]*\]\s+(?P<c>\S+)\s+- ",
+        r"\s+\[[^\]]*\]\s+(?P<c>[A-Za-z_][\w.]*\.[\w.]+)\s+- ",
+        rf" \[(?P<l>{_LEVEL})\] \d+#\d+: (?:\*\d+ )?(?P<n>)",
+        r" \d+#\d+: (?:\*\d+ )?(?P<n>)",
+        rf" \[(?P<l>{_LEVEL})\] \[(?P<c>[^\]]*)\] ",
+        rf" \[(?P<l>{_LEVEL})\] ",
+        rf" \[\d+\] (?P<c>[\w.-]+(?: [\w.-]+)*?) (?P<l>{_LEVEL}):\s+",
+        rf" \[\d+\] (?P<l>{_LEVEL}):\s+",
+        r" \[\d+\] (?P<c>[\w.-]+(?: [\w.-]+)?):\s+",
+        r" \[(?P<c>[A-Za-z][^\]]*)\] ",
+        rf" (?P<l>{_LEVEL}) (?P<c>[\w.-]+(?: [\w.-]+)?)(?:\[\d+\])?: ",
+        rf" (?P<l>{_LEVEL}):? ",
+        r" (?P<c>[\w.-]+)(?:\[\d+\])?: ",
+    )
+)
+_MODULE = re.compile(r", module: ([^,\s]+)")
+
+
+def level_of(text: str) -> str:
+    return SPELLED.get(text.strip().lower(), "")
+
+
+def _text(value) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value)
+
+
+def _keyed(pairs: dict) -> tuple[str, str, str, str] | None:
+    first = lambda keys: next((_text(pairs[k]) for k in keys if k in pairs), "")
+    stamp = first(TIME_KEYS)
+    return (stamp, level_of(first(LEVEL_KEYS)), first(COMPONENT_KEYS), first(MESSAGE_KEYS)) if stamp else None
+
+
+def head(line: str | None) -> tuple[str, str, str, str] | None:
+    """(timestamp text, level, component, message), or None if the line has no date and time of its own in its head."""
+    if not line:
+        return None
+    first = line[0]
+    if first == "{":
+        if '"' not in line:
+            return None
+        try:
+            pairs = json.loads(line)
+        except ValueError:
+            pairs = {}
+            for k, v in _BROKEN.findall(line):
+                pairs.setdefault(k, v.strip('"'))
+        return _keyed(pairs) if isinstance(pairs, dict) else None
+    if first == "<" and (m := _PRI.match(line)):
+        level, at = SEVERITY[int(m[1]) % 8], m.end()
+        if not (s := _PLAIN.match(line, at)):
+            return None
+        if m[2] and (r := _NEW_SYSLOG.match(line, s.end())):
+            return s[1], level, "" if r[2] == "-" else r[2], line[r.end():]
+        if r := _OLD_SYSLOG.match(line, s.end()):
+            return s[1], level, r[2], line[r.end():]
+        return s[1], level, "", line[s.end():].lstrip()
+    if _LOGFMT.match(line):
+        pairs = {}
+        for k, v in _PAIR.findall(line):
+            pairs.setdefault(k, v[1:-1].replace('\\"', '"') if v[:1] == '"' else v)
+        return _keyed(pairs)
+    if m := _GLOG.match(line):
+        return m[2], LETTERS[m[1]], m[3], line[m.end():]
+    if not (m := _PLAIN.match(line)):
+        if m := _ACCESS.match(line):
+            return m[1], "", "", line[m.end():]
+        return None
+    for rest in _RESTS:
+        if r := rest.match(line, m.end()):
+            named = r.groupdict()
+            component = named.get("c") or ""
+            if "n" in named and (x := _MODULE.search(line, r.end())):
+                component = x[1]
+            return m[1], level_of(named.get("l") or ""), component, line[r.end():]
+    return m[1], "", "", line[m.end():].lstrip(" |-:")
+
+
+_SYMBOL = re.compile(
+    rf"(?P<ts>{STAMP}|(?<==)\d{{10,13}}\.\d+|[TVDIWEFC]\d{{4}} \d{{2}}:\d{{2}}:\d{{2}}\.\d+)|(?P<ip>\d+\.\d+\.\d+\.\d+)|(?P<num>0x[0-9a-f]+|-?\d+(?:\.\d+)?(?:ms|s|us|ns|%)?(?![\w.]))|(?P<word>[\w.@/*+-]+)|(?P<space>\s+)|(?P<mark>.)",
+    re.S,
+)
+
+
+def symbols(line: str) -> list[str]:
+    """The line as symbols: typed tokens, keys, marks; neighbouring words and numbers of running text become one."""
+    out: list[str] = []
+    for m in _SYMBOL.finditer(line):
+        kind, text = m.lastgroup, m[0]
+        if kind == "space":
+            continue
+        if kind == "word":
+            after = line[m.end() : m.end() + 3]
+            if after[:1] == "=" or (after[:1] == '"' and after[1:2] == ":"):
+                symbol = text
+            elif text.lower() in SPELLED:
+                symbol = "<level>"
+            else:
+                symbol = "<text>"
+        else:
+            symbol = text if kind == "mark" else f"<{kind}>"
+        if symbol in ("<text>", "<num>") and out and out[-1] in ("<text>", "<num>") and len(out) > 3:
+            out[-1] = "<text>"
+        else:
+            out.append(symbol)
+    return out
+
+
+#: Symbols that may stand before an entry's own timestamp.
+_BEFORE = set("[<>{\"=:") | {"<num>", *TIME_KEYS}
+
+
+def stamp_in_head(template: list[str]) -> bool:
+    """Whether a template's first timestamp slot belongs to its head: nothing but marks, a priority or a time key before it, or an access log's client and user."""
+    at = template.index("<ts>") if "<ts>" in template else 99
+    before = template[:at]
+    keyed = template[:1] == ["{"] and any(k in template for k in TIME_KEYS)
+    return keyed or (at < 99 and (all(x in _BEFORE for x in before) or (before[:1] == ["<ip>"] and before[-1:] == ["["] and len(before) <= 6)))

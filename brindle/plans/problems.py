@@ -5,8 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import compaction, dedup, instants, nesting
-from brindle.plans.shared import read_table
+from brindle.operators import compaction, dedup, instants, nesting, templates
+from brindle.plans.shared import read_table, small_side
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return templates.found_entries(spark, read_table(spark, d, "raw_lines"))
+
+
+def _timed(found: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """The stated timestamp as one UTC instant, read in the zone of the source."""
+    sources = read_table(spark, d, "log_sources").select("source", F.col("tz").alias("__tz"), F.col("date_order").alias("__order"))
+    joined = found.join(small_side(sources), "source", "left")
+    out = instants.with_instant(joined, F.col("stamp"), F.col("__tz"), F.col("__order"), F.col("received_at"))
+    return out.withColumn("utc", F.timestamp_micros("utc_us")).drop("utc_us", "__tz", "__order")
+
+
+def p1_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Whole entries of raw_lines: utc, log_level, component, message."""
+    return _timed(templates.entries(spark, read_table(spark, d, "raw_lines")), spark, d)
+
+
+def p1_events(spark: SparkSession, d: str) -> DataFrame:
+    """The entries that ingest_events holds whole: utc, log_level, component, message."""
+    rows = read_table(spark, d, "ingest_events").select("row_id", "source", "received_at", "event")
+    return _timed(templates.whole_entries(rows), spark, d)
+
+
+def p1_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The templates of raw_lines: constant and typed variable slots, lines of each, whether they begin entries."""
+    lines = read_table(spark, d, "raw_lines").select("line_id", "event")
+    found = templates.mine_templates(templates.tokenised(lines))
+    return found.groupBy("template", "begins").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_shapes"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,5 +74,5 @@ def p6_events(spark: SparkSession, d: str) -> DataFrame:
     return instants.normalise_times(read_table(spark, d, "ingest_events"), read_table(spark, d, "log_sources")).withColumn("event_utc", F.timestamp_micros("utc_us"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kept, p4_found, p4_tables, p5_found, p5_layout, p6_found, p6_events)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p1_events, p1_templates, p2_found, p2_kept, p4_found, p4_tables, p5_found, p5_layout, p6_found, p6_events)}
 ORACLES: dict[str, str] = {}
