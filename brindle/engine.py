@@ -116,7 +116,7 @@ class Engine:
         return self.query(f"from {source} | every {span} {f'by {by} ' if by else ''}stats count() as count | sort _time")
 
     def sources(self) -> DataFrame:
-        return self.spark.createDataFrame([(n, ", ".join(s.df.columns)) for n, s in sorted(self.catalog.sources.items())] or [("", "")], "source string, fields string")
+        return self.spark.createDataFrame([(n, ", ".join(self.catalog.open(n).df.columns)) for n in self.catalog.names()], "source string, fields string")
 
 
 class Pipe:
@@ -194,7 +194,7 @@ class Run:
         names = s.args["sources"]
         if names[0].startswith("$"):
             f = self.let(names[0])
-        elif len(names) == 1 and self.e.views.has(names[0]) and names[0] not in self.e.catalog.sources:
+        elif len(names) == 1 and self.e.views.has(names[0]) and names[0] not in self.e.catalog.names():
             f = Frame(self.e.views.read(names[0]), self.now)
         else:
             src = self.e.catalog.resolve(names)

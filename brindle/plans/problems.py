@@ -75,4 +75,18 @@ def p6_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p1_events, p1_templates, p2_found, p2_kept, p4_found, p4_tables, p5_found, p5_layout, p6_found, p6_events)}
-ORACLES: dict[str, str] = {}
+
+_NORM = r"nullif(regexp_replace(regexp_replace(lower(trim({})), '^\s*urn:[a-z0-9][a-z0-9-]*:', ''), '[^\p{{L}}\p{{N}}]+', '', 'g'), '')"
+_JSON = "CASE WHEN json_valid({0}) THEN coalesce(json_extract_string({0}, '$.msg_id'), json_extract_string({0}, '$.message_id')) END"
+_PAIR = r"""(?:^|[\s|,;\[(])(?:msg_id|message_id)\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s|,;"''\])]+))"""
+_IN_EVENT = "CASE WHEN ltrim(event) LIKE '{%' THEN " + _JSON.format("event") + " ELSE " + " || ".join(f"regexp_extract(event, '{_PAIR}', {i})" for i in (1, 2, 3)) + " END"
+ORACLES: dict[str, str] = {
+    "p2_found": "WITH i AS (SELECT row_id, source, coalesce(" + ", ".join(_NORM.format(x) for x in ("msg_id", "(" + _JSON.format("fields_json") + ")", "(" + _IN_EVENT + ")")) + ") AS id FROM ingest_events) "
+    "SELECT a AS row_id_a, row_id AS row_id_b FROM (SELECT row_id, min(row_id) OVER (PARTITION BY source, id) AS a FROM i WHERE id IS NOT NULL) WHERE a <> row_id",
+    "p5_found": """WITH RECURSIVE l AS (SELECT part_id, level, event_count, removed_at, inputs FROM part_files QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY listed_at DESC, removed_at IS NOT NULL DESC) = 1),
+    e AS (SELECT DISTINCT part_id AS parent, event_count, removed_at IS NULL AS alive, regexp_replace(unnest(regexp_extract_all(inputs, '[A-Za-z0-9_.-]+')), '[.][a-z]+$', '') AS child FROM l WHERE level >= 1),
+    c AS (SELECT e.parent FROM e LEFT JOIN l ON l.part_id = e.child GROUP BY e.parent, e.event_count HAVING sum(l.event_count) = e.event_count AND count(*) = count(l.event_count)),
+    k AS (SELECT e.* FROM e JOIN c USING (parent)),
+    h AS (SELECT child FROM k WHERE alive UNION SELECT k.child FROM h JOIN k ON k.parent = h.child)
+    SELECT part_id FROM l WHERE level = 0 AND removed_at IS NULL AND part_id NOT IN (SELECT child FROM h)""",
+}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -46,6 +47,20 @@ class Source:
 class Catalog:
     spark: SparkSession
     sources: dict[str, Source] = field(default_factory=dict)
+    pending: dict[str, tuple] = field(default_factory=dict)
+
+    def add_lazily(self, name: str, load: Callable[[], DataFrame], **options) -> None:
+        """Register a source that is opened when a query first names it."""
+        self.pending[name] = (load, options)
+
+    def names(self) -> list[str]:
+        return sorted({*self.sources, *self.pending})
+
+    def open(self, name: str) -> Source:
+        if name in self.pending:
+            load, options = self.pending.pop(name)
+            self.add(name, load(), **options)
+        return self.sources[name]
 
     def add(self, name: str, df: DataFrame, time: str | None = None, raw: str | None = None, order: tuple[str, ...] = (), json: bool = False, source: str | None = None) -> None:
         """Register a DataFrame. time and raw name the columns that become _time and _raw; order the columns that settle
@@ -66,17 +81,17 @@ class Catalog:
             if n.startswith("!"):
                 continue
             if re.search(r"[*?\[{]", n):
-                hits = sorted(k for k in self.sources if any(fnmatch.fnmatchcase(k, p) for p in braces(n)))
-            elif n in self.sources:
+                hits = [k for k in self.names() if any(fnmatch.fnmatchcase(k, p) for p in braces(n))]
+            elif n in self.sources or n in self.pending:
                 hits = [n]
             else:
-                raise QueryError(f"there is no source {n}", hint=closest(n, self.sources))
+                raise QueryError(f"there is no source {n}", hint=closest(n, self.names()))
             picked += [h for h in hits if h not in picked and not any(fnmatch.fnmatchcase(h, p) for g in gone for p in braces(g))]
         if not picked:
             raise QueryError(f"no source matches {', '.join(names)}")
         if len(picked) == 1:
-            return self.sources[picked[0]]
-        parts = [self.sources[p] for p in picked]
+            return self.open(picked[0])
+        parts = [self.open(p) for p in picked]
         frames = [s.df if "_source" in s.df.columns else s.df.withColumn("_source", F.lit(p)) for p, s in zip(picked, parts)]
         out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
         order = tuple(dict.fromkeys(c for s in parts for c in s.order))
