@@ -70,7 +70,7 @@ def _abbreviation(text: str, at: int, low: int) -> str | None:
     while i >= low:
         c = text[i].lower()
         if c.isspace():  # z. B., p. ex.
-            if i - 1 < low or text[i - 1] != "." or text[i] == "\n" and False:
+            if i - 1 < low or text[i - 1] != ".":
                 break
             i -= 1
             continue
@@ -205,6 +205,15 @@ def _block(text: str, low: int, high: int) -> list[int]:
     return ends
 
 
+def _goes_on(line: str) -> bool:
+    """Whether the sentence that ends a line goes on in the next one."""
+    if line[-1] in ":：":
+        return False
+    if line[-1] == ".":
+        return _abbreviation(line, len(line) - 1, 0) in ("never", "digit")
+    return line[-1] not in _ENDS + ")）”\"»」"
+
+
 def units(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of each sentence unit, in code points."""
     if not text or text.isspace():
@@ -218,8 +227,8 @@ def units(text: str | None) -> list[tuple[int, int]]:
         line = text[at:end]
         bare = line.strip()
         m = _SPECIAL.match(line) if bare else None
-        if m and m["number"] and block is not None and last and last[-1] not in _ENDS + ":：)）”\"»」":
-            m = None  # a number that a line break put first
+        if m and block is not None and last and (m["bullet"] in ("–", "—") or m["number"] and _goes_on(last)):
+            m = None  # a number or dash that a line break put first
         if not bare or m:
             if block is not None:
                 cuts.append((block, at))

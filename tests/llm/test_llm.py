@@ -99,6 +99,7 @@ CASES = [
     ("Am 3. Oktober stieg es, z. B. um 3 Uhr. „Voll. Warten.“ stand da. „Leer.“ Die Sicht.", ["Am 3. Oktober stieg es, z. B. um 3 Uhr.", "„Voll. Warten.“ stand da.", "„Leer.“", "Die Sicht."]), ("Voir la p. 5 ! « Plein. Non. » s'affiche. « Vide. » La vue.", ["Voir la p. 5 !", "« Plein. Non. » s'affiche.", "« Vide. »", "La vue."]),
     ("画面には「保存。再試行。」と出た。本当か？！「満杯です。」待った……諦めた。", ["画面には「保存。再試行。」と出た。", "本当か？！", "「満杯です。」", "待った……諦めた。"]), ("控制台显示“已满。请稍候。”的提示。“已满。”版本1.2把它改了。", ["控制台显示“已满。请稍候。”的提示。", "“已满。”", "版本1.2把它改了。"]),
     ("ระบบล้ม 3 ครั้ง งานค้าง", ["ระบบล้ม 3 ครั้ง", "งานค้าง"]), ("मान बदल गया। क्यों? \"भर गई। रुकिए।\" लिखा था।", ["मान बदल गया।", "क्यों?", "\"भर गई। रुकिए।\" लिखा था।"]), ("«ممتلئ. انتظر.» ظهرت هنا. انتهى؟ نعم.", ["«ممتلئ. انتظر.» ظهرت هنا.", "انتهى؟", "نعم."]), ("Хранятся журналы и т. д. Очередь, т. е. всё. См. стр. 5.", ["Хранятся журналы и т. д.", "Очередь, т. е. всё.", "См. стр. 5."]),
+    ("«Полон. Ждите.»\n— написано там. См. рис.\n5. Очередь пуста.", ["«Полон. Ждите.»\n— написано там.", "См. рис.\n5.", "Очередь пуста."]),
     ("", []), ("  \n\n ", []), (None, []), ('An "open quote. And more.', ['An "open quote.', "And more."]),
 ]
 
