@@ -17,6 +17,8 @@ Defined results:
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,27 +68,47 @@ def merged(a: list[str], b: list[str]) -> list[str]:
 def mine(sequences: list[list[str]], tau: float = TAU) -> list[tuple[int, list[list[str]]]]:
     """Cluster sequences in the order given. Returns for each the number of its template, and the templates."""
     templates: list[list[str]] = []
+    constants: list[list[str]] = []  # of each template, without its gaps
+    bags: list[Counter] = []
     of: list[int] = []
     for s in sequences:
-        best, common = -1, 0
-        have = set(s)
-        for k, t in enumerate(templates):
-            fixed = sum(x in have for x in t if x != "<*>")
-            need = tau * max(len(s), sum(x != "<*>" for x in t))
-            if fixed < need or fixed <= common or (t[0] != s[0] and "<*>" not in (t[0], s[0])):
-                continue
-            n = len(lcs([x for x in t if x != "<*>"], s))
-            if n >= need and n > common:
-                best, common = k, n
+        best, common, bag = -1, 0, Counter(s)
+        # the template that holds most constants, all of them in order, needs no table
+        for k, c in enumerate(constants):
+            if len(c) > common and len(c) >= tau * len(s) and contains(s, c):
+                best, common = k, len(c)
         if best < 0:
-            templates.append(list(s))
-            best = len(templates) - 1
-        elif templates[best] != s:
+            for k, c in enumerate(constants):
+                need = tau * max(len(s), len(c))
+                if min(len(s), len(c)) < need or min(len(s), len(c)) <= common:
+                    continue
+                shared = sum(min(n, bags[k][x]) for x, n in bag.items())  # no common subsequence is longer
+                if shared < need or shared <= common:
+                    continue
+                n = len(lcs(c, s))
+                if n >= need and n > common:
+                    best, common = k, n
+            if best < 0:
+                templates.append(list(s))
+                best = len(templates) - 1
+                constants.append([x for x in s if x != "<*>"])
+                bags.append(Counter(constants[-1]))
+                of.append(best)
+                continue
+        if common < len(constants[best]) or len(templates[best]) == len(constants[best]) != len(s):
             templates[best] = merged(templates[best], s)
+            constants[best] = [x for x in templates[best] if x != "<*>"]
+            bags[best] = Counter(constants[best])
         of.append(best)
     return of, templates
 
 
+def contains(s: list[str], part: list[str]) -> bool:
+    """Whether part is a subsequence of s."""
+    rest = iter(s)
+    return all(x in rest for x in part)
+
+
 _SEP = "\x1f"
 
 
@@ -115,10 +137,11 @@ def tokenised(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, schema)
 
 
-def mine_templates(found: DataFrame) -> DataFrame:
+def mine_templates(found: DataFrame, at: str) -> DataFrame:
     """(sig, template, begins): the template of each distinct symbol sequence, in two rounds of clustering.
 
-    Both rounds see distinct sequences only, with sequences of one head kind together.
+    Both rounds see distinct sequences only, with sequences of one head kind together. The
+    first round's result is written to at, since the second and the join both read it.
     """
     sigs = found.filter("sig <> ''").groupBy("sig").agg(F.count("*").alias("n"))
     sharded = sigs.withColumn("kind", F.substring_index("sig", _SEP, 1)).withColumn("shard", F.pmod(F.xxhash64("sig"), F.lit(SHARDS)))
@@ -144,7 +167,8 @@ def mine_templates(found: DataFrame) -> DataFrame:
         typed = [json.dumps(t) for t in templates]
         return pdf[["kind", "begins", "part"]].assign(template=[typed[k] for k in of])
 
-    parts = sharded.groupBy("kind", "shard").applyInPandas(first, "kind string, begins boolean, sig string, n bigint, part string")
+    sharded.groupBy("kind", "shard").applyInPandas(first, "kind string, begins boolean, sig string, n bigint, part string").write.parquet(at)
+    parts = found.sparkSession.read.parquet(at)
     distinct = parts.groupBy("kind", "begins", "part").agg(F.sum("n").alias("n"))
     whole = distinct.groupBy("kind", "begins").applyInPandas(second, "kind string, begins boolean, part string, template string")
     return parts.join(whole, ["kind", "begins", "part"]).select("sig", "n", "template", "begins")
@@ -154,7 +178,7 @@ def _with_templates(spark: SparkSession, lines: DataFrame, name: str) -> tuple[D
     at = work_path(spark, name)
     tokenised(lines).write.parquet(f"{at}/lines")
     found = spark.read.parquet(f"{at}/lines")
-    mine_templates(found).write.parquet(f"{at}/templates")
+    mine_templates(found, f"{at}/parts").write.parquet(f"{at}/templates")
     templates = spark.read.parquet(f"{at}/templates")
     return found, templates
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import compaction, dedup, instants, nesting, templates
-from brindle.plans.shared import read_table, small_side
+from brindle.plans.shared import read_table, small_side, work_path
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p1_events(spark: SparkSession, d: str) -> DataFrame:
 def p1_templates(spark: SparkSession, d: str) -> DataFrame:
     """The templates of raw_lines: constant and typed variable slots, lines of each, whether they begin entries."""
     lines = read_table(spark, d, "raw_lines").select("line_id", "event")
-    found = templates.mine_templates(templates.tokenised(lines))
+    found = templates.mine_templates(templates.tokenised(lines), work_path(spark, "templates"))
     return found.groupBy("template", "begins").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_shapes"))
 
 
