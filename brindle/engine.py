@@ -65,8 +65,9 @@ def bounds(text: str, now: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, now: dt.datetime | None = None, default: str = "main", store: str | None = None):
-        self.spark, self.now, self.default = spark, now, default
+    def __init__(self, spark: SparkSession, now: dt.datetime | None = None, default: str = "main", store: str | None = None, approximate: bool = False):
+        """approximate: percentiles and distinct counts by sketches of bounded size, for groups with too many values to hold."""
+        self.spark, self.now, self.default, self.approximate = spark, now, default, approximate
         self.catalog = Catalog(spark)
         self.fragments: dict[str, str] = {}
         self.saved: dict[str, str] = {}
@@ -202,7 +203,7 @@ class Run:
             order = [c for c in ("_time", *src.order) if c in df.columns and orderable(df.schema[c].dataType)]
             if order:
                 df = df.withColumn(ORD, F.struct(*(F.col(f"`{c}`") for c in order)))
-            f = Frame(df, self.now, "_raw" if src.json else None)
+            f = Frame(df, self.now, "_raw" if src.json else None, approximate=self.e.approximate)
         low, high = (bounds(s.args["range"], self.now) if s.args["range"] else (self.since, self.until))
         if (low or high) and "_time" in f.columns:
             # events without a time are kept

@@ -20,6 +20,33 @@ NAMES = (
 )
 
 
+#: Accuracy of approximate percentiles: ranks are right to 1 / PERCENTILE_ACCURACY of the rows.
+PERCENTILE_ACCURACY = 10_000
+
+
+def percentile_of(agg: Agg, scope: Scope) -> float | None:
+    """The share that a percentile aggregate asks for; None if it is another aggregate."""
+    if agg.name in _PERCENTILES and agg.args:
+        return _PERCENTILES[agg.name]
+    if agg.name == "perc" and len(agg.args) > 1:
+        p = bind(agg.args[1], scope).value
+        return p / 100 if isinstance(p, (int, float)) and 0 <= p <= 100 else None
+    return None
+
+
+def _numbers(agg: Agg, scope: Scope) -> Column:
+    x = bind(agg.args[0], scope)
+    c = x.col.try_cast("double") if x.kind == "string" else x.col.cast("double") if x.kind in ("int", "float", "bool") else F.try_variant_get(x.col, "$", "double") if x.kind == "any" else F.lit(None).cast("double")
+    return F.when(predicate(agg.where, scope), c) if agg.where is not None else c
+
+
+def percentiles_of(aggs: list[Agg], scope: Scope) -> Column:
+    """Percentiles of one value and condition as one array, in order of aggs."""
+    shares = F.array(*(F.lit(percentile_of(a, scope)) for a in aggs))
+    x = _numbers(aggs[0], scope)
+    return F.percentile_approx(x, shares, PERCENTILE_ACCURACY) if scope.approximate else F.percentile(x, shares)
+
+
 def build(agg: Agg, scope: Scope, order: Column, span_seconds: float | None = None) -> Column:
     """An aggregate as a column. order: the rows' order, as one comparable value."""
     name = agg.name
@@ -59,19 +86,19 @@ def build(agg: Agg, scope: Scope, order: Column, span_seconds: float | None = No
         return F.sum(number() * number())
     if name == "range":
         return F.max(number()) - F.min(number())
+    if name == "dc" and scope.approximate:
+        return F.approx_count_distinct(kept(text(x)), 0.01)
     if name == "dc":
         return F.count_distinct(kept(text(x) if x.kind in ("any", "object") else x.col))
     if name == "estdc":
         return F.approx_count_distinct(kept(text(x)), 0.01)
     if name == "estdc_error":
         return F.lit(0.01)
-    if name in _PERCENTILES:
-        return F.percentile(number(), F.lit(_PERCENTILES[name]))
-    if name == "perc":
-        p = bind(agg.args[1], scope).value if len(agg.args) > 1 else None
-        if not isinstance(p, (int, float)) or not 0 <= p <= 100:
+    if name in _PERCENTILES or name == "perc":
+        share = percentile_of(agg, scope)
+        if share is None:
             raise QueryError("perc takes a number from 0 to 100")
-        return F.percentile(number(), F.lit(p / 100))
+        return F.percentile_approx(number(), share, PERCENTILE_ACCURACY) if scope.approximate else F.percentile(number(), F.lit(share))
     if name == "mode":
         return F.mode(kept(text(x)), deterministic=True)
     if name in ("first", "last", "earliest", "latest"):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions import formats as fm
-from brindle.functions.aggregates import build, window_column
+from brindle.functions.aggregates import build, percentile_of, percentiles_of, window_column
 from brindle.functions.scalar import FUNCTIONS, bin_micros, text
 from brindle.plans.binding import Scope, Typed, bind, kind, predicate
 from brindle.plans.syntax import Agg, QueryError
@@ -35,9 +35,10 @@ class Frame:
     sorted_by: tuple[Column, ...] | None = None  # direct sort columns, valid until the columns change
     ordered: bool = False  # whether results must come out in order
     keys: tuple[str, ...] = ()  # group keys of the last aggregation
+    approximate: bool = False  # percentiles and distinct counts by sketches of bounded size
 
     def scope(self) -> Scope:
-        return Scope(self.df.schema, self.now, self.json_from)
+        return Scope(self.df.schema, self.now, self.json_from, approximate=self.approximate)
 
     @property
     def columns(self) -> list[str]:
@@ -131,8 +132,19 @@ def stats(f: Frame, aggs: list[Agg], by=()) -> Frame:
     if span is None and any(a.name in ("rate", "per_second", "per_minute", "per_hour", "per_day") for a in aggs) and "_time" in f.columns:
         span = None
     grouped = f.df.groupBy(*(c.alias(n) for n, c, _ in keys)) if keys else f.df.groupBy()
-    cols = [build(a, f.scope(), f.ord(), span).alias(a.alias) for a in aggs]
-    return Frame(grouped.agg(*cols), f.now, keys=tuple(n for n, _, _ in keys))
+    # percentiles of one value share one aggregate: its values are held once
+    shared: dict[str, list[Agg]] = {}
+    for a in aggs:
+        if percentile_of(a, f.scope()) is not None:
+            shared.setdefault(repr((a.args[0], a.where)), []).append(a)
+    arrays = {f"__pct{i}": members for i, members in enumerate(m for m in shared.values() if len(m) > 1)}
+    at = {id(a): (name, j) for name, members in arrays.items() for j, a in enumerate(members)}
+    cols = [build(a, f.scope(), f.ord(), span).alias(a.alias) for a in aggs if id(a) not in at]
+    cols += [percentiles_of(members, f.scope()).alias(name) for name, members in arrays.items()]
+    df = grouped.agg(*cols)
+    if arrays:
+        df = df.select(*(q(n) for n, _, _ in keys), *(F.col(at[id(a)][0])[at[id(a)][1]].alias(a.alias) if id(a) in at else q(a.alias) for a in aggs))
+    return Frame(df, f.now, keys=tuple(n for n, _, _ in keys), approximate=f.approximate)
 
 
 def _attach(f: Frame, totals: DataFrame, keys: list[str]) -> DataFrame:

@@ -74,9 +74,10 @@ class Scope:
     json_from: str | None = None  # column to look for unknown names in, if the source allows that
     locals: dict[str, Typed] = field(default_factory=dict)
     unknown: list[str] = field(default_factory=list)
+    approximate: bool = False
 
     def with_local(self, name: str, typed: Typed) -> Scope:
-        return Scope(self.schema, self.now, self.json_from, self.locals | {name: typed}, self.unknown)
+        return Scope(self.schema, self.now, self.json_from, self.locals | {name: typed}, self.unknown, self.approximate)
 
     def lookup(self, name: str) -> Typed | None:
         if name in self.locals:

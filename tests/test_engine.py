@@ -197,3 +197,10 @@ def test_live(spark, tmp_path):
     assert {(r.k, r.eventcount) for r in spark.table("s").collect()} == {("a", 2), ("b", 1)}
     with pytest.raises(QueryError):
         live_query(stream, "from x | sort k")
+
+
+def test_approximate_engine(spark):
+    e = Engine(spark, now=NOW, approximate=True)
+    e.catalog.add("n", spark.range(10_000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 2).alias("g")))
+    r = e.query("from n | stats p50(v) as a, p90(v) as b, perc(v, 10) as c, dc(v) as d, count() as n by g | sort g").first()
+    assert r.n == 5_000 and abs(r.a - 5_000) < 20 and abs(r.b - 9_000) < 20 and abs(r.c - 1_000) < 20 and abs(r.d - 5_000) < 250
