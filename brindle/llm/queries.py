@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import distinct, mixing, packing, sentences
+from brindle.llm import checks, distinct, mixing, packing, sentences
 from brindle.plans.shared import read_table
 
 _KEYS = ["day", "source", "index_name"]
@@ -66,9 +66,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_hosts, p3_sketches, p3_from_sketches, p3_within_bound, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_hosts, p3_sketches, p3_from_sketches, p3_within_bound, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)} | checks.QUERIES
 _EXACT = """SELECT '{k}' AS "by", count(*) AS n_groups, count(*) AS n_within FROM (SELECT {e} FROM ingest_events WHERE trim(host) <> '' GROUP BY 1)"""
-ORACLES = {
+ORACLES = checks.ORACLES | {
     "p3_within_bound": " UNION ALL ".join(
         _EXACT.format(k=k, e=e) for k, e in (("day", "CAST(received_at AT TIME ZONE 'UTC' AS DATE)"), ("source", "source"), ("index_name", "coalesce(index_name, 'main')"))
     ),
