@@ -118,7 +118,7 @@ def pattern_regex(template: str) -> str:
     parts = re.split(r"<(\w+)>", template)
     out = re.escape(parts[0])
     for i in range(1, len(parts), 2):
-        body = ".*" if i + 1 >= len(parts) - 0 or not parts[i + 1] else ".*?"
+        body = ".*?" if parts[i + 1] else ".*"
         out += (f"(?:{body})" if parts[i] == "_" else f"(?<{parts[i]}>{body})") + re.escape(parts[i + 1])
     return "^" + out + "$"
 

@@ -129,8 +129,6 @@ def _keys(f: Frame, by) -> list[tuple[str, Column, int | None]]:
 def stats(f: Frame, aggs: list[Agg], by=()) -> Frame:
     keys = _keys(f, by)
     span = next((s / 1e6 for _, _, s in keys if s), None)
-    if span is None and any(a.name in ("rate", "per_second", "per_minute", "per_hour", "per_day") for a in aggs) and "_time" in f.columns:
-        span = None
     grouped = f.df.groupBy(*(c.alias(n) for n, c, _ in keys)) if keys else f.df.groupBy()
     # percentiles of one value share one aggregate: its values are held once
     shared: dict[str, list[Agg]] = {}
@@ -232,7 +230,7 @@ def dedup(f: Frame, fields: list[str], n: int = 1) -> Frame:
     missing = [c for c in fields if c not in f.columns]
     df = f.df.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else f.df
     marked = df.withColumn(ORD, f.ord())
-    if n == 1 and all(orderable(marked.schema[c].dataType) or True for c in fields):
+    if n == 1:
         # a partial aggregate: a hot key is reduced before the shuffle
         rest = [c for c in marked.columns if c not in fields]
         one = marked.groupBy(*(q(c) for c in fields)).agg(F.min_by(F.struct(*(q(c) for c in rest)), F.col(ORD)).alias("__row"))
@@ -302,7 +300,6 @@ def explode(f: Frame, field: str, as_: str | None = None) -> Frame:
 
 def describe(f: Frame) -> Frame:
     """field, type, coverage, distinct_est, top_values: one row for each column."""
-    rows = None
     total = f.df.agg(F.count("*").alias("__n"))
     named = [(c, f.df.schema[c].dataType) for c in f.columns]
     long = f.df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.lit(kind(t)).alias("type"), text(Typed(q(c), t)).alias("v")) for c, t in named))).alias("s")).select("s.*")

@@ -26,7 +26,7 @@ from brindle.plans.shared import small_side, work_path
 
 #: Share of the longer sequence that two must have in common to become one template.
 TAU = 0.6
-#: Symbols of a line that its template is made from; the head is read exactly from the whole line.
+#: Tasks of the first round of clustering for each head kind, and lines of a source in one window.
 SHARDS, BLOCK_LINES = 16, 50_000
 
 

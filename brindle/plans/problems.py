@@ -47,6 +47,17 @@ def p2_kept(spark: SparkSession, d: str) -> DataFrame:
     return dedup.keep_first_delivery(spark, f"{d}/ingest_events.parquet")
 
 
+def p2_kept_per_source(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries and kept messages of each source."""
+    kept = p2_kept(spark, d).groupBy("source").agg(F.count("*").alias("n_kept"))
+    return read_table(spark, d, "ingest_events").groupBy("source").agg(F.count("*").alias("n")).join(kept, "source", "left").select("source", "n", "n_kept")
+
+
+def p1_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where the entries of raw_lines begin, how long they are and what their levels are."""
+    return p1_found(spark, d).select("line_id", "n_lines", "log_level")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nesting.records(nesting.triples(read_table(spark, d, "nested_events")))
 
@@ -74,13 +85,28 @@ def p6_events(spark: SparkSession, d: str) -> DataFrame:
     return instants.normalise_times(read_table(spark, d, "ingest_events"), read_table(spark, d, "log_sources")).withColumn("event_utc", F.timestamp_micros("utc_us"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p1_events, p1_templates, p2_found, p2_kept, p4_found, p4_tables, p5_found, p5_layout, p6_found, p6_events)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p1_events, p1_templates, p1_spans, p2_found, p2_kept, p2_kept_per_source, p4_found, p4_tables, p5_found, p5_layout, p6_found, p6_events)}
 
 _NORM = r"nullif(regexp_replace(regexp_replace(lower(trim({})), '^\s*urn:[a-z0-9][a-z0-9-]*:', ''), '[^\p{{L}}\p{{N}}]+', '', 'g'), '')"
 _JSON = "CASE WHEN json_valid({0}) THEN coalesce(json_extract_string({0}, '$.msg_id'), json_extract_string({0}, '$.message_id')) END"
 _PAIR = r"""(?:^|[\s|,;\[(])(?:msg_id|message_id)\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s|,;"''\])]+))"""
 _IN_EVENT = "CASE WHEN ltrim(event) LIKE '{%' THEN " + _JSON.format("event") + " ELSE " + " || ".join(f"regexp_extract(event, '{_PAIR}', {i})" for i in (1, 2, 3)) + " END"
+_IDS = "SELECT row_id, source, coalesce(" + ", ".join(_NORM.format(x) for x in ("msg_id", "(" + _JSON.format("fields_json") + ")", "(" + _IN_EVENT + ")")) + ") AS id FROM ingest_events"
+_STARTS = r"""(^(<\d{1,3}>(1 )?)?\[?(\d{4}[-/]\d\d[-/]\d\d[T ]\d\d:\d\d|[A-Z][a-z][a-z], \d\d [A-Z][a-z][a-z] \d{4} \d\d:|[A-Z][a-z][a-z] [ \d]\d \d\d:\d\d:\d\d)|^[A-Z]\d{4} \d\d:\d\d:\d\d|^ts=|^\{.*"(ts|timestamp|@timestamp)"\s*:)"""
+_RAW_LEVEL = r"""upper(CASE WHEN event LIKE '<%' THEN ['emerg','alert','crit','err','warning','notice','info','debug'][CAST(regexp_extract(event, '^<(\d+)>', 1) AS INT) % 8 + 1]
+  WHEN event LIKE '{%' THEN coalesce(json_extract_string(event, '$.level'), json_extract_string(event, '$.lvl'), json_extract_string(event, '$.severity'), '')
+  WHEN event LIKE 'ts=%' THEN regexp_extract(event, ' (?:level|lvl)=(\w+)', 1)
+  WHEN regexp_matches(event, '^[A-Z]\d{4} ') THEN event[1]
+  WHEN regexp_matches(event, '^\S+ \S+ - ') THEN regexp_extract(event, '^\S+ \S+ - .+? - (\w+) - ', 1)
+  WHEN regexp_matches(event, '^\S+ \S+ UTC \[') THEN regexp_extract(event, '^\S+ \S+ UTC \[\d+\] .*?([A-Z]+)\d?:  ', 1)
+  WHEN regexp_matches(event, '^\[') THEN regexp_extract(event, '^\[[^\]]+\] (\w+) ', 1)
+  WHEN regexp_matches(event, '^\S+ \S+ \[\w+\] \d+#') THEN regexp_extract(event, '^\S+ \S+ \[(\w+)\]', 1)
+  WHEN regexp_matches(event, '^\S+ \[') THEN regexp_extract(event, '^\S+ \[(\w+)\]', 1)
+  ELSE regexp_extract(event, '^\S+ \S+ (\w+) +\[', 1) END)"""
+_LEVEL = "CASE WHEN l IN ('TRACE','TRC','T') THEN 'TRACE' WHEN l IN ('DEBUG','DBG','D') THEN 'DEBUG' WHEN l IN ('INFO','INF','NOTICE','LOG','I') THEN 'INFO' WHEN l IN ('WARN','WARNING','WRN','W') THEN 'WARN' WHEN l IN ('ERROR','ERR','E') THEN 'ERROR' WHEN l IN ('FATAL','CRIT','CRITICAL','ALERT','EMERG','PANIC','F') THEN 'FATAL' ELSE '' END"
 ORACLES: dict[str, str] = {
+    "p1_spans": f"SELECT line_id, n_lines, {_LEVEL} AS log_level FROM (SELECT line_id, coalesce(lead(line_no) OVER (PARTITION BY source ORDER BY line_no), e + 1) - line_no AS n_lines, {_RAW_LEVEL} AS l FROM (SELECT *, max(line_no) OVER (PARTITION BY source) AS e FROM raw_lines) WHERE regexp_matches(event, '{_STARTS}'))",
+    "p2_kept_per_source": "WITH i AS (" + _IDS + ") SELECT source, count(*) AS n, count(*) FILTER (WHERE id IS NULL OR r = 1) AS n_kept FROM (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY row_id) AS r FROM i) GROUP BY 1",
     "p2_found": "WITH i AS (SELECT row_id, source, coalesce(" + ", ".join(_NORM.format(x) for x in ("msg_id", "(" + _JSON.format("fields_json") + ")", "(" + _IN_EVENT + ")")) + ") AS id FROM ingest_events) "
     "SELECT a AS row_id_a, row_id AS row_id_b FROM (SELECT row_id, min(row_id) OVER (PARTITION BY source, id) AS a FROM i WHERE id IS NOT NULL) WHERE a <> row_id",
     "p5_found": """WITH RECURSIVE l AS (SELECT part_id, level, event_count, removed_at, inputs FROM part_files QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY listed_at DESC, removed_at IS NOT NULL DESC) = 1),

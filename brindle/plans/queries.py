@@ -43,8 +43,8 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "where_in": ("from orders | where o_orderstatus in [\"O\", \"P\"] or o_orderkey in (1, 2, 3) | stats count() as n, sum(o_totalprice) as s | extend s = round(s, 2)", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders WHERE o_orderstatus IN ('O','P') OR o_orderkey IN (1,2,3)"),
     "where_compare_kinds": ("from events | where event_type == 5 or user_id == \"7\" | stats count() as n", "SELECT count(*) AS n FROM events WHERE false"),
     "extend_chain": (
-        "from lineitem | extend net = l_extendedprice * (1 - l_discount), gross = net * (1 + l_tax), unit = l_orderkey / l_linenumber, rest = l_orderkey % 7 | keep l_orderkey, l_linenumber, net, gross, unit, rest | extend net = round(net, 1), gross = round(gross, 1)",
-        "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 1) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 1) AS gross, l_orderkey // l_linenumber AS unit, l_orderkey % 7 AS rest FROM lineitem",
+        "from lineitem | extend net = l_extendedprice * (1 - l_discount), gross = net * (1 + l_tax), unit = l_orderkey / l_linenumber, rest = l_orderkey % 7 | keep l_orderkey, l_linenumber, net, gross, unit, rest",
+        "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross, l_orderkey // l_linenumber AS unit, l_orderkey % 7 AS rest FROM lineitem",
     ),
     "keep_except": ("from customer | keep * except c_name, c_acct*", "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer"),
     "keep_missing": ("from nation | keep n_name, nosuch | where is_missing(other) and nosuch ?? \"none\" == \"none\" | stats count() as n, count(nosuch) as m", "SELECT count(*) AS n, 0 AS m FROM nation"),
