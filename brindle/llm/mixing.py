@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The total of a mix (by default one pass over all tokens of its sources) is cut into
-equal-token blocks. Blocks go to the source with the highest quotient weight / (2k + 1)
+The total of a mix is the largest at which sources that hold REACH of the weight (of those
+with documents) can still give their share, so that one source that is far too small doesn't
+starve the mix; it is cut into equal-token blocks. Blocks go to the source with the highest quotient weight / (2k + 1)
 until all are given; a source whose tokens times max_repeats are used up takes no more,
 so the others take its place and the report shows both shares. The quota of a source is
 apportioned to its shards in the same way, by their tokens; in each shard documents are
@@ -24,6 +25,7 @@ from brindle.llm.tokens import VOCABULARY, sized
 from brindle.plans.shared import small_side, work_path
 
 BLOCKS = 10_000
+REACH = 0.9
 SHARD_ITEMS = 50_000
 
 
@@ -41,15 +43,27 @@ def sainte_lague(weights: list[float], caps: list[int], blocks: int) -> list[int
     return out
 
 
-def _quotas(blocks: int):
+def total_tokens(weights: list[float], limits: list[float], reach: float = REACH) -> float:
+    """The largest total for which sources with at least reach of the weight stay within their limits."""
+    live = [(limit / w, w) for w, limit in zip(weights, limits) if w > 0 and limit > 0]
+    whole = sum(w for _, w in live)
+    left, best = whole, 0.0
+    for ratio, w in sorted(live):
+        if left >= reach * whole * (1 - 1e-12):
+            best = ratio * whole
+        left -= w
+    return best
+
+
+def _quotas(blocks: int, reach: float):
     def run(pdf):
         import math
 
         import pandas as pd
 
         by = pdf.groupby("source", sort=True).agg(weight=("weight", "first"), repeats=("max_repeats", "first"), tokens=("tokens", "sum")).reset_index()
-        total = float(by["tokens"].sum())
-        size = max(1.0, total / blocks)
+        total = total_tokens(by["weight"].tolist(), [float(r * t) for r, t in zip(by["repeats"], by["tokens"])], reach)
+        size = max(1.0, total / blocks)  # tokens of a block
         caps = [math.floor(r * t / size) for r, t in zip(by["repeats"], by["tokens"])]
         given = sainte_lague(by["weight"].tolist(), caps, blocks if total else 0)
         whole = by["weight"].sum()
@@ -65,7 +79,7 @@ def _quotas(blocks: int):
     return run
 
 
-def planned(spark: SparkSession, documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, blocks: int = BLOCKS, shard_items: int = SHARD_ITEMS) -> tuple[DataFrame, DataFrame]:
+def planned(spark: SparkSession, documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, blocks: int = BLOCKS, reach: float = REACH, shard_items: int = SHARD_ITEMS) -> tuple[DataFrame, DataFrame]:
     """(documents with tokens and shard, quota of each mix, source and shard)."""
     at = work_path(spark, "sizes")
     sized(documents, vocabulary).filter("tokens > 0").write.parquet(at)
@@ -80,27 +94,39 @@ def planned(spark: SparkSession, documents: DataFrame, targets: DataFrame, vocab
     totals = sharded.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens"))
     claims = wanted.join(totals, "source", "left").select("mix_id", "source", "weight", "max_repeats", F.coalesce("shard", F.lit(0).cast("bigint")).alias("shard"), F.coalesce("tokens", F.lit(0).cast("bigint")).alias("tokens"))
     schema = "mix_id string, source string, shard bigint, target_share double, max_repeats int, available bigint, blocks bigint, quota double"
-    return sharded, claims.groupBy("mix_id").applyInPandas(_quotas(blocks), schema)
+    return sharded, claims.groupBy("mix_id").applyInPandas(_quotas(blocks, reach), schema)
 
 
 def mixed(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: int = 17, **options) -> tuple[DataFrame, DataFrame]:
     """(mix_id, source, doc_id, tokens, copies) and the quotas.
 
-    In a shard every document is taken floor(quota / tokens of the shard) times, then those
-    first in seeded order once more, up to the one whose middle lies within the rest.
+    In a shard every document is taken floor(quota / tokens of the shard) times, then once
+    more each, in seeded order, whose tokens still fit into the rest.
     """
     sharded, quotas = planned(spark, documents, targets, **options)
     at = work_path(spark, "quotas")
     quotas.write.parquet(at)
     quotas = spark.read.parquet(at)
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "copy_of")
-    ordered = sharded.withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
     claimed = small_side(quotas.filter("blocks > 0").select("mix_id", "source", "shard", "available", "quota", "max_repeats"))
-    joined = ordered.join(claimed, ["source", "shard"])
-    passes = F.floor(F.col("quota") / F.col("available"))
-    rest = F.col("quota") - passes * F.col("available")
-    copies = F.least(passes + (F.col("before") + F.col("tokens") / 2 <= rest).cast("bigint"), F.col("max_repeats").cast("bigint"))
-    return joined.select("mix_id", "source", "doc_id", "tokens", copies.alias("copies")).filter("copies > 0"), quotas
+    joined = sharded.join(claimed, ["source", "shard"]).withColumn("turn", F.xxhash64("doc_id", F.lit(seed)))
+    # one group is one shard of one source, of about shard_items rows at most
+    chosen = joined.select("mix_id", "source", "shard", "doc_id", "copy_of", "tokens", "turn", "available", "quota", "max_repeats").groupBy("mix_id", "source", "shard")
+    return chosen.applyInPandas(_select, "mix_id string, source string, doc_id bigint, tokens bigint, copies bigint"), quotas
+
+
+def _select(pdf):
+    """Documents of one shard: whole rounds first, then each in seeded order that still fits."""
+    pdf = pdf.sort_values(["turn", "doc_id", "copy_of"], kind="stable")
+    quota, available, most = float(pdf["quota"].iat[0]), int(pdf["available"].iat[0]), int(pdf["max_repeats"].iat[0])
+    rounds = min(int(quota // available), most)
+    rest = quota - rounds * available
+    copies = []
+    for n in pdf["tokens"].tolist():
+        more = rounds < most and n <= rest
+        rest -= n if more else 0
+        copies.append(rounds + more)
+    out = pdf[["mix_id", "source", "doc_id", "tokens"]].assign(copies=copies)
+    return out[out["copies"] > 0]
 
 
 def share_report(chosen: DataFrame, quotas: DataFrame) -> DataFrame:

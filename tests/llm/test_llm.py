@@ -76,6 +76,10 @@ def test_apportionment():
     assert mixing.sainte_lague([1, 1], [2, 99], 10) == [2, 8] and mixing.sainte_lague([0, 1], [9, 9], 3) == [0, 3] and mixing.sainte_lague([1], [1], 5) == [1]
 
 
+def test_total_lets_most_of_the_weight_reach_its_share():
+    assert mixing.total_tokens([1, 1], [10, 30]) == 20 and mixing.total_tokens([95, 5], [95, 1]) == 100 and mixing.total_tokens([0, 1], [5, 0]) == 0 and mixing.total_tokens([], []) == 0
+
+
 def test_shares_are_reached_and_reported(spark):
     texts = [" ".join(["tok"] * 20)] * 600
     df = spark.createDataFrame([(i, t, "big" if i < 500 else "mid" if i < 590 else "tiny") for i, t in enumerate(texts)] + [(900, None, "big"), (901, "", None)], "doc_id bigint, text string, source string")
