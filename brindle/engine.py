@@ -116,6 +116,32 @@ class Engine:
     def histogram(self, source: str, span: str, by: str | None = None) -> DataFrame:
         return self.query(f"from {source} | every {span} {f'by {by} ' if by else ''}stats count() as count | sort _time")
 
+    def tail(self, source: str, n: int = 10) -> DataFrame:
+        return self.query(f"from {source} | tail {n}")
+
+    def watch(self, text: str, times: int, seconds: float = 5.0):
+        """The result of a query, run again and again."""
+        import time
+
+        for i in range(times):
+            if i:
+                time.sleep(seconds)
+            yield self.query(text)
+
+    def columns(self) -> DataFrame:
+        """source, field and type of every registered source."""
+        rows = [(n, f, t) for n in self.catalog.names() for f, t in self.catalog.open(n).df.dtypes]
+        return self.spark.createDataFrame(rows, "source string, field string, type string")
+
+    def refresh_view(self, name: str) -> None:
+        """Run a view's own query again over all rows."""
+        stages = self.views._get(name).stages
+        run = Run(self, self.now or dt.datetime.now(dt.UTC))
+        f = run.scan(stages[0])
+        for i in range(1, len(stages)):
+            f = run.stage(f, stages, i)
+        self.views.refresh(name, f.result())
+
     def sources(self) -> DataFrame:
         return self.spark.createDataFrame([(n, ", ".join(self.catalog.open(n).df.columns)) for n in self.catalog.names()], "source string, fields string")
 

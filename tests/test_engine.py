@@ -162,6 +162,8 @@ def test_views(engine):
     assert "parquet" in engine.explain(text)
     engine.views.append("v", engine.query("from logs-a | stats count() as n, sum(ms) as s by svc, status"))
     assert engine.query("from v | stats sum(n) as n").first()["n"] == 8.0
+    engine.refresh_view("v")
+    assert engine.query("from v | stats sum(n) as n").first()["n"] == 6.0
     engine.views.delete("v")
     assert not engine.views.has("v")
 
@@ -179,6 +181,8 @@ def test_methods_saved_and_sinks(engine, tmp_path):
     assert engine.table("main").where("status == 200").stats("count() as n").result().first()["n"] == 3
     engine.fragments["ok"] = "where status == 200"
     assert engine.query('from main | use "@ok"').count() == 3
+    assert engine.columns().filter("source = 'main' and field = 'ms'").first()["type"] == "double" and engine.tail("main", 2).count() == 2 and len(list(engine.watch("from main", 1))) == 1
+    assert engine.sources().count() == 5 and engine.sample("main", 2).count() == 2 and engine.histogram("main", "1h", "svc").count() >= 3
     df = engine.query("from main | sort id | keep id, svc | head 2")
     assert sinks.render(df, "csv") == "id,svc\n1,web\n2,web" and "id: 1" in sinks.render(df, "vertical") and sinks.render(df, "markdown").startswith("| id")
     sinks.write(df, str(tmp_path / "o"), "csv")
