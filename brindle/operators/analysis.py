@@ -167,43 +167,41 @@ def trace(f: Frame, trace_id: str = "trace_id", span_id: str = "span_id", parent
         cols[c] = (q(c) if c in f.columns else F.lit(None)).cast(t)
     cols["t"] = F.unix_micros("_time") if "_time" in f.columns else F.lit(0).cast("bigint")
 
-    def walk(pdf):
-        import pandas as pd
+    names = ("trace_id", "span_id", "parent", "service", "operation", "duration_ms")
+
+    def walk(table):
+        import pyarrow as pa
 
-        pdf = pdf.sort_values(["t", "span_id"], kind="stable").reset_index(drop=True)
-        known = set(pdf["span_id"])
+        rows = sorted(table.to_pylist(), key=lambda r: (r["t"] is not None, r["t"] or 0, r["span_id"] or ""))
+        known = {r["span_id"] for r in rows}
         children: dict[str, list[int]] = {}
         roots = []
-        for i, (s, p) in enumerate(zip(pdf["span_id"], pdf["parent"])):
-            if not p or p != p or p not in known or p == s:
+        for i, r in enumerate(rows):
+            p = r["parent"]
+            if not p or p not in known or p == r["span_id"]:
                 roots.append(i)
             else:
                 children.setdefault(p, []).append(i)
-        out, seen = [], set()
-
-        def visit(start):
+        found, seen = [], set()
+        # spans of a cycle without a root come last, each beginning where it is met
+        for start in [*roots, *range(len(rows))]:
             stack = [(start, 0, "", True)]
             while stack:
                 i, depth, lead, last = stack.pop()
                 if i in seen:
                     continue
                 seen.add(i)
-                tree = (lead + ("└─ " if last else "├─ ") if depth else "") + str(pdf["operation"].iat[i] or pdf["span_id"].iat[i])
-                out.append((i, depth, tree))
-                kids = [k for k in children.get(pdf["span_id"].iat[i], []) if k not in seen]
+                found.append((i, depth, (lead + ("└─ " if last else "├─ ") if depth else "") + str(rows[i]["operation"] or rows[i]["span_id"])))
+                kids = [k for k in children.get(rows[i]["span_id"], []) if k not in seen]
                 below = lead + ("   " if last else "│  ") if depth else ""
                 stack += [(k, depth + 1, below, n == 0) for n, k in enumerate(reversed(kids))]
-
-        for r in roots:
-            visit(r)
-        for i in range(len(pdf)):  # spans of a cycle without a root
-            if i not in seen:
-                visit(i)
-        rows = pdf.iloc[[i for i, _, _ in out]].reset_index(drop=True)
-        return pd.DataFrame({"trace_id": rows["trace_id"], "span_id": rows["span_id"], "parent_id": rows["parent"], "service": rows["service"], "operation": rows["operation"], "duration_ms": rows["duration_ms"], "_span_depth": [d for _, d, _ in out], "_span_tree": [t for _, _, t in out], "_span_order": range(len(out))})
+        kinds = [pa.float64() if n == "duration_ms" else pa.string() for n in names]
+        cols = [pa.array([rows[i][n] for i, _, _ in found], k) for n, k in zip(names, kinds)]
+        cols += [pa.array([d for _, d, _ in found], pa.int64()), pa.array([t for _, _, t in found], pa.string()), pa.array(range(len(found)), pa.int64())]
+        return pa.Table.from_arrays(cols, names=["trace_id", "span_id", "parent_id", "service", "operation", "duration_ms", "_span_depth", "_span_tree", "_span_order"])
 
     schema = "trace_id string, span_id string, parent_id string, service string, operation string, duration_ms double, _span_depth bigint, _span_tree string, _span_order bigint"
-    df = f.df.select(*(c.alias(n) for n, c in cols.items())).filter("trace_id is not null").groupBy("trace_id").applyInPandas(walk, schema)
+    df = f.df.select(*(c.alias(n) for n, c in cols.items())).filter("trace_id is not null").groupBy("trace_id").applyInArrow(walk, schema)
     return Frame(df, f.now)
 
 
