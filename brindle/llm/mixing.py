@@ -2,11 +2,13 @@
 
 The total of a mix is the largest at which sources that hold REACH of the weight (of those
 with documents) can still give their share, so that one source that is far too small doesn't
-starve the mix; it is cut into equal-token blocks. Blocks go to the source with the highest quotient weight / (2k + 1)
-until all are given; a source whose tokens times max_repeats are used up takes no more,
-so the others take its place and the report shows both shares. The quota of a source is
-apportioned to its shards in the same way, by their tokens; in each shard documents are
-taken in a seeded order, all of them once before any is taken again.
+starve the mix; it is cut into equal-token blocks. A source whose share is not below its
+tokens times max_repeats is used up: every document of it is taken max_repeats times,
+outside the blocks, and the others share the rest. Blocks go to the source with the highest
+quotient weight / (2k + 1) until all are given; the report shows both shares. The tokens of
+a source's quota are apportioned to its shards by their tokens; in each shard documents are
+taken in a seeded order, all of them once before any is taken again, and what a shard
+leaves of its quota is carried on to the source's other shards.
 
 Defined results: a source without documents gets no block and is reported with share 0;
 weights that are null or not above 0 count as 0; max_repeats below 1 or null: not used;
@@ -55,25 +57,59 @@ def total_tokens(weights: list[float], limits: list[float], reach: float = REACH
     return best
 
 
+def split_tokens(tokens: int, sizes: list[int], caps: list[int]) -> list[int]:
+    """tokens given to shards in proportion to their sizes, none above its cap; what rounding down leaves goes by highest quotients."""
+    whole = sum(sizes)
+    out = [min(c, tokens * n // whole) if whole else 0 for n, c in zip(sizes, caps)]
+    left = tokens - sum(out)
+    queue = [(-n / (2 * out[i] + 1), i) for i, n in enumerate(sizes) if out[i] < caps[i]]
+    heapq.heapify(queue)
+    while left > 0 and queue:
+        _, i = heapq.heappop(queue)
+        out[i] += 1
+        left -= 1
+        if out[i] < caps[i]:
+            heapq.heappush(queue, (-sizes[i] / (2 * out[i] + 1), i))
+    return out
+
+
+def source_quotas(weights: list[float], limits: list[int], blocks: int = BLOCKS, reach: float = REACH) -> tuple[list[int], list[int]]:
+    """(blocks, tokens) of each source. One whose share is not below its limit is used up: it gives exactly its limit, outside the blocks, and the others share the rest."""
+    total = total_tokens(weights, [float(x) for x in limits], reach)
+    size = max(1.0, total / blocks)  # tokens of a block
+    live = [i for i, w in enumerate(weights) if w > 0 and limits[i] > 0] if total else []
+    spent: set[int] = set()
+    while True:
+        open_, rest = [i for i in live if i not in spent], max(0.0, total - sum(limits[i] for i in spent))
+        whole = sum(weights[i] for i in open_)
+        full = {i for i in open_ if rest * weights[i] / whole >= limits[i] * (1 - 1e-12)}
+        given = {}
+        if not full:
+            given = dict(zip(open_, sainte_lague([weights[i] for i in open_], [-(-limits[i] // size) for i in open_], round(rest / size))))
+            full = {i for i in open_ if given[i] * size >= limits[i]}
+        if not full:
+            break
+        spent |= full
+    n = [round(limits[i] / size) if i in spent else int(given.get(i, 0)) for i in range(len(weights))]
+    return n, [limits[i] if i in spent else int(given.get(i, 0) * size) for i in range(len(weights))]
+
+
 def _quotas(blocks: int, reach: float):
     def run(pdf):
-        import math
-
         import pandas as pd
 
         by = pdf.groupby("source", sort=True).agg(weight=("weight", "first"), repeats=("max_repeats", "first"), tokens=("tokens", "sum")).reset_index()
-        total = total_tokens(by["weight"].tolist(), [float(r * t) for r, t in zip(by["repeats"], by["tokens"])], reach)
-        size = max(1.0, total / blocks)  # tokens of a block
-        caps = [math.floor(r * t / size) for r, t in zip(by["repeats"], by["tokens"])]
-        given = sainte_lague(by["weight"].tolist(), caps, blocks if total else 0)
+        given, quotas = source_quotas(by["weight"].tolist(), [int(r) * int(t) for r, t in zip(by["repeats"], by["tokens"])], blocks, reach)
         whole = by["weight"].sum()
         rows = []
-        for s, w, q in zip(by["source"], by["weight"], given):
+        for s, w, q, n in zip(by["source"], by["weight"], quotas, given):
             g = pdf[pdf["source"] == s].sort_values("shard")
-            r = int(g["max_repeats"].iat[0])
-            part = sainte_lague([float(t) for t in g["tokens"]], [math.ceil(r * t / size) for t in g["tokens"]], q)
-            for shard, tokens, n in zip(g["shard"], g["tokens"], part):
-                rows.append((g["mix_id"].iat[0], s, int(shard), w / whole if whole else 0.0, r, int(tokens), n, min(n * size, float(r * tokens))))
+            r, sizes = int(g["max_repeats"].iat[0]), [int(t) for t in g["tokens"]]
+            part = split_tokens(q, sizes, [r * t for t in sizes])
+            # blocks are only reported: those of the source, split like its tokens
+            shown = split_tokens(n, sizes, [n] * len(sizes))
+            for shard, tokens, k, quota in zip(g["shard"], sizes, shown, part):
+                rows.append((g["mix_id"].iat[0], s, int(shard), w / whole if whole else 0.0, r, tokens, k, float(quota)))
         return pd.DataFrame(rows, columns=["mix_id", "source", "shard", "target_share", "max_repeats", "available", "blocks", "quota"])
 
     return run
@@ -101,17 +137,42 @@ def mixed(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: i
     """(mix_id, source, doc_id, tokens, copies) and the quotas.
 
     In a shard every document is taken floor(quota / tokens of the shard) times, then once
-    more each, in seeded order, whose tokens still fit into the rest.
+    more each, in seeded order, whose tokens still fit into the rest. What the shards of a
+    source leave of their quotas is given to as few of its shards as have room for it, and
+    those are filled anew.
     """
     sharded, quotas = planned(spark, documents, targets, **options)
     at = work_path(spark, "quotas")
     quotas.write.parquet(at)
     quotas = spark.read.parquet(at)
-    claimed = small_side(quotas.filter("blocks > 0").select("mix_id", "source", "shard", "available", "quota", "max_repeats"))
-    joined = sharded.join(claimed, ["source", "shard"]).withColumn("turn", F.xxhash64("doc_id", F.lit(seed)))
-    # one group is one shard of one source, of about shard_items rows at most
-    chosen = joined.select("mix_id", "source", "shard", "doc_id", "copy_of", "tokens", "turn", "available", "quota", "max_repeats").groupBy("mix_id", "source", "shard")
-    return chosen.applyInPandas(_select, "mix_id string, source string, doc_id bigint, tokens bigint, copies bigint"), quotas
+    columns = ["mix_id", "source", "shard", "available", "quota", "max_repeats"]
+    claimed = quotas.filter("quota > 0").select(columns)
+    schema = "mix_id string, source string, shard bigint, doc_id bigint, tokens bigint, copies bigint"
+
+    def chosen(claims):
+        joined = sharded.join(small_side(claims), ["source", "shard"]).withColumn("turn", F.xxhash64("doc_id", F.lit(seed)))
+        # one group is one shard of one source, of about shard_items rows at most
+        return joined.select(*columns, "doc_id", "copy_of", "tokens", "turn").groupBy("mix_id", "source", "shard").applyInPandas(_select, schema)
+
+    out = ["mix_id", "source", "doc_id", "tokens", "copies"]
+    if quotas.groupBy("mix_id", "source").count().filter("count > 1").isEmpty():
+        return chosen(claimed).select(out), quotas
+    first = work_path(spark, "chosen")
+    chosen(claimed).write.parquet(first)
+    taken = spark.read.parquet(first)
+    used = taken.groupBy("mix_id", "source", "shard").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"))
+    # every shard of the source may take more, one without a quota too
+    sums = quotas.select(columns).join(used, ["mix_id", "source", "shard"], "left").withColumn("used", F.coalesce("used", F.lit(0).cast("bigint")))
+    of = Window.partitionBy("mix_id", "source")
+    room = F.col("max_repeats") * F.col("available") - F.col("used")
+    sums = sums.withColumn("left", F.sum(F.col("quota") - F.col("used")).over(of)).withColumn("room", room)
+    before = F.coalesce(F.sum("room").over(of.orderBy(F.desc("room"), "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    again = sums.withColumn("more", F.least(F.col("room").cast("double"), F.col("left") - before)).filter("more > 0").withColumn("quota", F.col("used") + F.col("more")).select(columns)
+    last = work_path(spark, "receivers")
+    again.write.parquet(last)
+    again = spark.read.parquet(last)
+    kept = taken.join(small_side(again.select("mix_id", "source", "shard")), ["mix_id", "source", "shard"], "left_anti")
+    return kept.select(out).unionByName(chosen(again).select(out)), quotas
 
 
 def _select(pdf):
@@ -125,7 +186,7 @@ def _select(pdf):
         more = rounds < most and n <= rest
         rest -= n if more else 0
         copies.append(rounds + more)
-    out = pdf[["mix_id", "source", "doc_id", "tokens"]].assign(copies=copies)
+    out = pdf[["mix_id", "source", "shard", "doc_id", "tokens"]].assign(copies=copies)
     return out[out["copies"] > 0]
 
 

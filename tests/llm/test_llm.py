@@ -93,6 +93,22 @@ def test_shares_are_reached_and_reported(spark):
     assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, mixing.mixed(spark, df.repartition(5), targets, blocks=1_000, shard_items=100)[0].collect()))
 
 
+def test_used_up_sources_and_shards_lose_nothing(spark):
+    rng = random.Random(7)
+    texts = [("big", " ".join(["tok"] * rng.randint(20, 90))) for _ in range(1_500)] + [("tiny", " ".join(["tok"] * rng.randint(20, 90))) for _ in range(4)]
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(texts)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("m", "big", 0.95, 1), ("m", "tiny", 0.05, 2), ("n", "big", 0.5, 1), ("n", "tiny", 0.5, 40)], "mix_id string, source string, weight double, max_repeats int")
+    chosen, quotas = mixing.mixed(spark, df, targets, shard_items=50)
+    r = {(x.mix_id, x.source): x for x in mixing.share_report(chosen, quotas).collect()}
+    tiny = chosen.filter("mix_id = 'm' and source = 'tiny'").collect()
+    assert len(tiny) == 4 and all(x.copies == 2 for x in tiny)
+    assert r["m", "big"].tokens == r["m", "big"].tokens_available
+    quota = quotas.filter("mix_id = 'n' and source = 'big'").agg(F.sum("quota")).first()[0]
+    one = r["n", "big"].tokens_available / 1_500  # less than a document is left, not one for each of the 30 shards
+    assert quota - one < r["n", "big"].tokens <= quota and r["n", "tiny"].most_copies <= 40
+    assert r["n", "tiny"].tokens == 40 * r["n", "tiny"].tokens_available
+
+
 # sentences
 CASES = [
     ("It rose. Then it fell!", ["It rose.", "Then it fell!"]), ("See Fig. 3 vs. No. 4, e.g. now. Done.", ["See Fig. 3 vs. No. 4, e.g. now.", "Done."]), ("The ratio fell to .64 or 3.5. Fine", ["The ratio fell to .64 or 3.5.", "Fine"]),
