@@ -51,18 +51,46 @@ def lcs(a: list[str], b: list[str]) -> list[int]:
     return out[::-1]
 
 
+def _split(a: list[str]) -> tuple[list[str], list[bool]]:
+    """The constants of a, and whether a gap stands before each of them and at the end."""
+    constants, gaps = [], [False]
+    for x in a:
+        if x == "<*>":
+            gaps[-1] = True
+        else:
+            constants.append(x)
+            gaps.append(False)
+    return constants, gaps
+
+
 def merged(a: list[str], b: list[str]) -> list[str]:
-    """What a and b have in common, with <*> for each gap."""
-    keep, out, at, bt = lcs(a, b), [], 0, 0
-    for i in keep:
-        j = b.index(a[i], bt)
-        if i > at or j > bt:
+    """What a and b have in common, with <*> for each gap; gaps of either remain."""
+    (a, in_a), (b, in_b) = _split(a), _split(b)
+    out, at, bt = [], 0, 0
+    for i in [*lcs(a, b), len(a)]:
+        j = b.index(a[i], bt) if i < len(a) else len(b)
+        if i > at or j > bt or any(in_a[at : i + 1]) or any(in_b[bt : j + 1]):
             out.append("<*>")
-        out.append(a[i])
+        out += a[i : i + 1]
         at, bt = i + 1, j + 1
-    if at < len(a) or bt < len(b):
-        out.append("<*>")
-    return [x for k, x in enumerate(out) if x != "<*>" or not k or out[k - 1] != "<*>"]
+    return out
+
+
+def matches(template: list[str], s: list[str]) -> bool:
+    """Whether s has symbols between the template's constants only where the template has a gap."""
+    t = i = 0
+    gap, back = -1, 0
+    while i < len(s):
+        if t < len(template) and template[t] == "<*>":
+            gap, back, t = t, i, t + 1
+        elif t < len(template) and template[t] == s[i]:
+            t, i = t + 1, i + 1
+        elif gap >= 0:
+            back += 1
+            t, i = gap + 1, back
+        else:
+            return False
+    return all(x == "<*>" for x in template[t:])
 
 
 def mine(sequences: list[list[str]], tau: float = TAU) -> list[tuple[int, list[list[str]]]]:
@@ -72,30 +100,28 @@ def mine(sequences: list[list[str]], tau: float = TAU) -> list[tuple[int, list[l
     bags: list[Counter] = []
     of: list[int] = []
     for s in sequences:
-        best, common, bag = -1, 0, Counter(s)
-        # the template that holds most constants, all of them in order, needs no table
+        own = [x for x in s if x != "<*>"]
+        best, common, bag = -1, 0, Counter(own)
+        # a template whose constants are all in s, in order, needs no table; its length is what others must exceed
         for k, c in enumerate(constants):
-            if len(c) > common and len(c) >= tau * len(s) and contains(s, c):
+            if len(c) > common and len(c) >= tau * len(s) and contains(own, c):
                 best, common = k, len(c)
-        if best < 0:
-            for k, c in enumerate(constants):
-                need = tau * max(len(s), len(c))
-                if min(len(s), len(c)) < need or min(len(s), len(c)) <= common:
-                    continue
-                shared = sum(min(n, bags[k][x]) for x, n in bag.items())  # no common subsequence is longer
-                if shared < need or shared <= common:
-                    continue
-                n = len(lcs(c, s))
-                if n >= need and n > common:
-                    best, common = k, n
-            if best < 0:
-                templates.append(list(s))
-                best = len(templates) - 1
-                constants.append([x for x in s if x != "<*>"])
-                bags.append(Counter(constants[-1]))
-                of.append(best)
+        for k, c in enumerate(constants):
+            need = tau * max(len(s), len(c))
+            if min(len(own), len(c)) < need or min(len(own), len(c)) <= common:
                 continue
-        if common < len(constants[best]) or len(templates[best]) == len(constants[best]) != len(s):
+            shared = sum(min(n, bags[k][x]) for x, n in bag.items())  # no common subsequence is longer
+            if shared < need or shared <= common:
+                continue
+            n = len(lcs(c, own))
+            if n >= need and n > common:
+                best, common = k, n
+        if best < 0:
+            templates.append(list(s))
+            constants.append(own)
+            bags.append(bag)
+            best = len(templates) - 1
+        elif not matches(templates[best], s):
             templates[best] = merged(templates[best], s)
             constants[best] = [x for x in templates[best] if x != "<*>"]
             bags[best] = Counter(constants[best])

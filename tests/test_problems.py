@@ -200,3 +200,17 @@ def test_lcs_is_longest(a, b):
 def test_templates_have_constants_and_typed_slots():
     of, made = templates.mine([symbols(t) for t, _ in HEADS[:1] * 2] + [symbols("2025-10-07 05:02:12,781 - gate - DEBUG - slow cursor")])
     assert len(made) == 1 and "<ts>" in made[0] and "<level>" in made[0]
+
+
+def test_templates_record_gaps_at_every_place():
+    assert templates.mine(["a b c d e".split(), "a X b c d e".split(), "a b c X d e".split()])[1] == ["a <*> b c <*> d e".split()]
+    # a template that is contained whole isn't taken if another has more in common
+    assert templates.mine([list("abcdef"), list("abcdefghiYZ"), list("abcdefghij")])[0] == [0, 1, 1]
+    assert templates.matches("a <*> b".split(), "a b".split()) and not templates.matches("a b".split(), "a <*> b".split())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "<ts>", "<*>"]), min_size=1, max_size=8), max_size=8))
+def test_every_sequence_matches_its_template(sequences):
+    of, made = templates.mine(sequences)
+    assert all(templates.matches(made[k], s) for k, s in zip(of, sequences))
