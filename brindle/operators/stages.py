@@ -25,6 +25,8 @@ from brindle.plans.binding import Scope, Typed, bind, kind, predicate
 from brindle.plans.syntax import Agg, QueryError
 
 ORD = "__ord"
+#: The #Fields: line that holds for a row, while w3c is parsed.
+W3C = "__w3c"
 
 
 @dataclass(frozen=True)
@@ -407,6 +409,8 @@ def parse(f: Frame, formats_: list[tuple[str, dict]], from_: str = "_raw", into=
         raise QueryError(f"parse: there is no {from_}")
     wanted = {n: t for n, t in into}
     src = text(Typed(q(from_), f.df.schema[from_].dataType))
+    if any(name == "w3c" and not given.get("fields") for name, given in formats_):
+        f = _with_w3c_header(f, src)
     tried = [(name, *_fields(f, name, given, src, wanted)) for name, given in formats_]
     names: dict[str, list[tuple[Column, Column]]] = {}
     for _, ok, fields in tried:
@@ -453,7 +457,22 @@ def parse(f: Frame, formats_: list[tuple[str, dict]], from_: str = "_raw", into=
         df = df.withColumn("_error", F.coalesce(kept, F.when(failed, F.lit(f"parse:{label}: no match"))))
         if "_error_detail" not in f.columns:
             df = df.withColumn("_error_detail", F.when(failed, detail))
-    return f.to(df)
+    return f.to(df.drop(W3C))
+
+
+def _w3c_header(src: Column) -> Column:
+    return F.nullif(F.regexp_extract(src, r"^\s*#Fields:\s*(.*?)\s*$", 1), F.lit(""))
+
+
+def _with_w3c_header(f: Frame, src: Column) -> Frame:
+    """Each row with the last #Fields: line at or before it in its source, in row order."""
+    if ORD in f.df.columns:
+        by = Window.partitionBy(*([q("_source")] if "_source" in f.columns else [])).orderBy(F.col(ORD)).rowsBetween(Window.unboundedPreceding, 0)
+        return f.to(f.df.withColumn(W3C, F.last(_w3c_header(src), ignorenulls=True).over(by)), sorted_by=f.sorted_by)
+    headers = f.df.select(_w3c_header(src).alias("h")).filter("h is not null").distinct().limit(2).collect()
+    if len(headers) > 1:
+        raise QueryError("w3c: several #Fields: lines need a source with an order")
+    return f.to(f.df.withColumn(W3C, F.lit(headers[0]["h"] if headers else None).cast("string")), sorted_by=f.sorted_by)
 
 
 def _fields(f: Frame, name: str, given: dict, src: Column, wanted: dict) -> tuple[Column, dict[str, Column]]:
@@ -479,13 +498,20 @@ def _fields(f: Frame, name: str, given: dict, src: Column, wanted: dict) -> tupl
         found = {n: "string" for n in wanted} if wanted else fm.infer_map(f.df, m)
         return F.when(src.isNotNull(), m.isNotNull()), {k: F.try_element_at(m, F.lit(k)).try_cast(t) for k, t in found.items()}
     if name == "w3c":
-        header = given.get("fields") or f.df.filter(src.startswith("#Fields:")).select(src.alias("h")).orderBy("h").limit(1).collect()
-        if not header:
+        line = F.regexp_replace(src, r"^\s+|\s+$", "")
+        parts, data = F.split(line, r"\s+"), (line != "") & ~line.startswith("#")
+        value = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit("-"))
+        if given.get("fields"):
+            return F.when(src.isNotNull(), data), {n: F.when(data, value(i)) for i, n in enumerate(given["fields"].split())}
+        headers = [r["h"] for r in f.df.select(_w3c_header(src).alias("h")).filter("h is not null").distinct().orderBy("h").collect()]
+        if not headers:
             raise QueryError("w3c needs a #Fields: line or w3c(fields=...)")
-        header = header if isinstance(header, str) else header[0]["h"].split(":", 1)[1]
-        parts, names = F.split(src, " "), header.split()
-        ok = ~src.startswith("#") & (F.size(parts) == len(names))
-        return ok, {n: F.when(ok, F.nullif(parts[i], F.lit("-"))) for i, n in enumerate(names)}
+        at: dict[str, Column] = {}
+        for h in headers:
+            for i, n in enumerate(h.split()):
+                at[n] = (at[n] if n in at else F).when(F.col(W3C) == h, value(i))
+        ok = data & F.col(W3C).isNotNull()
+        return F.when(src.isNotNull(), ok), {n: F.when(ok, c) for n, c in at.items()}
     ok, out = fm.fixed(name, src)
     if name in ("cef", "leef"):
         ext = out.pop("extension")

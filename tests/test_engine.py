@@ -208,3 +208,19 @@ def test_approximate_engine(spark):
     e.catalog.add("n", spark.range(10_000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 2).alias("g")))
     r = e.query("from n | stats p50(v) as a, p90(v) as b, perc(v, 10) as c, dc(v) as d, count() as n by g | sort g").first()
     assert r.n == 5_000 and abs(r.a - 5_000) < 20 and abs(r.b - 9_000) < 20 and abs(r.c - 1_000) < 20 and abs(r.d - 5_000) < 250
+
+
+def test_w3c_lines_are_read_by_the_last_header_of_their_file(spark):
+    e = Engine(spark, now=NOW)
+    lines = [("a", "early 1"), ("a", "#Fields: date status"), ("a", "d1 200"), ("b", "#Fields: verb path"), ("b", "GET /x"), ("a", "d2"), ("a", "d3  - extra"), ("a", "#Fields: status date"), ("a", "404 d4"), ("b", "PUT -")]
+    df = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(lines)], "n int, _source string, _raw string")
+    e.catalog.add("w", df, order=("n",))
+    got = {r.n: (r.date, r.status, r.verb, r.path) for r in e.query("from w | parse w3c").collect()}
+    assert {n: got[n] for n in (0, 2, 4, 5, 6, 8, 9)} == {
+        0: (None,) * 4, 2: ("d1", "200", None, None), 4: (None, None, "GET", "/x"), 5: ("d2", None, None, None), 6: ("d3", None, None, None), 8: ("d4", "404", None, None), 9: (None, None, "PUT", None),
+    }
+    e.catalog.add("one", df.filter("n in (3, 4)"))
+    assert rows(e, "from one | parse w3c | where verb == \"GET\"", "path") == ["/x"]
+    e.catalog.add("unordered", df)
+    with pytest.raises(QueryError):
+        e.query("from unordered | parse w3c")
