@@ -130,7 +130,7 @@ _SYMBOL = re.compile(
 
 
 def symbols(line: str) -> list[str]:
-    """The line as symbols: typed tokens, keys, marks; neighbouring words and numbers of running text become one."""
+    """The line as symbols: typed tokens, keys, marks and the words themselves; a word with a digit is an id."""
     out: list[str] = []
     for m in _SYMBOL.finditer(line):
         kind, text = m.lastgroup, m[0]
@@ -139,17 +139,13 @@ def symbols(line: str) -> list[str]:
         if kind == "word":
             after = line[m.end() : m.end() + 3]
             if after[:1] == "=" or (after[:1] == '"' and after[1:2] == ":"):
-                symbol = text
+                out.append(text)
             elif text.lower() in SPELLED:
-                symbol = "<level>"
+                out.append("<level>")
             else:
-                symbol = "<text>"
+                out.append("<id>" if any(c.isdigit() for c in text) else text)
         else:
-            symbol = text if kind == "mark" else f"<{kind}>"
-        if symbol in ("<text>", "<num>") and out and out[-1] in ("<text>", "<num>") and len(out) > 3:
-            out[-1] = "<text>"
-        else:
-            out.append(symbol)
+            out.append(text if kind == "mark" else f"<{kind}>")
     return out
 
 

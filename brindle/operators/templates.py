@@ -17,6 +17,7 @@ Defined results:
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -98,15 +99,22 @@ def mine(sequences: list[list[str]], tau: float = TAU) -> list[tuple[int, list[l
     templates: list[list[str]] = []
     constants: list[list[str]] = []  # of each template, without its gaps
     bags: list[Counter] = []
+    holding: dict[str, list[int]] = {}  # templates that held a symbol when they were made; merging only takes symbols away
     of: list[int] = []
     for s in sequences:
         own = [x for x in s if x != "<*>"]
         best, common, bag = -1, 0, Counter(own)
+        # a template with enough in common holds one of any so many symbols of s: the rarest are looked up
+        spare = len(own) - math.ceil(tau * len(s)) + 1
+        rare = sorted(own, key=lambda x: len(holding.get(x, ())))[: max(spare, 0)]
+        near = sorted({k for x in rare for k in holding.get(x, ())})
         # a template whose constants are all in s, in order, needs no table; its length is what others must exceed
-        for k, c in enumerate(constants):
+        for k in near:
+            c = constants[k]
             if len(c) > common and len(c) >= tau * len(s) and contains(own, c):
                 best, common = k, len(c)
-        for k, c in enumerate(constants):
+        for k in near:
+            c = constants[k]
             need = tau * max(len(s), len(c))
             if min(len(own), len(c)) < need or min(len(own), len(c)) <= common:
                 continue
@@ -121,6 +129,8 @@ def mine(sequences: list[list[str]], tau: float = TAU) -> list[tuple[int, list[l
             constants.append(own)
             bags.append(bag)
             best = len(templates) - 1
+            for x in bag:
+                holding.setdefault(x, []).append(best)
         elif not matches(templates[best], s):
             templates[best] = merged(templates[best], s)
             constants[best] = [x for x in templates[best] if x != "<*>"]
