@@ -21,7 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.heads import STAMP
 from brindle.plans.shared import fence, small_side
 
 #: Texts that state no time (fixed values).
@@ -45,6 +44,14 @@ CASCADE = (
     ("glog", rf"^[A-Z]?(\d{{2}})(\d{{2}})\s+{_CLOCK}$", "f||$1|$2|$3|$4|$5|$6||"),
 )
 
+#: How an entry's own timestamp is written in its head.
+STAMP = (
+    r"\d{4}[-/]\d{2}[-/]\d{2}[Tt ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,12})?)?(?:\s?(?:Z|[+-]\d{2}:?\d{2})(?![\w:])| (?!INFO?|WARN|WRN|DBG|TRC|ERR|CRIT|FTL|LOG)[A-Z]{3,4}(?=[\] ]))?"
+    r"|\d{8}T\d{6}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
+    r"|(?:[A-Z][a-z]{2}, )?\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}(?: (?:[+-]\d{4}|[A-Z]{3,4}))?"
+    r"|[A-Z][a-z]{2} +\d{1,2} (?:\d{4} )?\d{2}:\d{2}:\d{2}(?:[.,]\d+)?"
+    r"|\d{1,2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}"
+)
 #: What may stand before an entry's own timestamp, and the timestamp, as one text.
 _STAMP = STAMP + r"|\d{1,2}[./]\d{1,2}[./]\d{4},? \d{1,2}:\d{2}(?::\d{2})?(?: [AP]M)?"
 ENTRY_HEAD = (

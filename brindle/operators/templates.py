@@ -1,14 +1,19 @@
 """Semi-structured log lines into entries with timestamp, level, component and message.
 
-Lines are tokenised into typed symbols; distinct symbol sequences are clustered by their
-longest common subsequence, first within shards, then the shards' templates are merged.
-A template keeps its constant slots and typed variable slots; lines whose template has a
-timestamp slot in its head, and which pass the exact reading of that head, begin entries.
-Continuation lines are attached by line number in blocks, so that one source may hold any
-share of the rows.
+Each line becomes a sequence of symbols: its words and marks as they are, numbers and
+identifiers with digits as such. Distinct sequences are clustered by their longest common
+subsequence, in shards of bounded size; the shards' templates are merged in further rounds
+until one shard holds them. What a template's lines share are its constant slots, the rest
+its variable ones. Each slot is then typed by the values it holds over all sequences of the
+template (timestamp, level, number, text), and the roles of a line's tokens follow from the
+types and constants of their slots: whether it begins an entry, its level, its component
+and where its message begins. Continuation lines are attached by line number in blocks, so
+that one source may hold any share of the rows.
 
 Defined results:
-- null, empty and blank lines, and lines of any length without such a head, belong to the entry before them;
+- null, empty and blank lines, and lines of any length whose template has no timestamp slot
+  in its head, belong to the entry before them; so does a line whose own text is no date
+  and time there, whatever its template;
 - lines of a source before its first entry belong to none;
 - null source is a source of its own; a line whose line_no is null is placed before its source's first line;
 - a line that occurs twice under one line_no counts as two lines, begins at most one entry (smallest line_id);
@@ -19,21 +24,41 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from operator import eq
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.slots import GAP, HEAD_TOKENS, MOST, SEVERITY, form
 from brindle.plans.shared import small_side, work_path
 
 #: Share of the longer sequence that two must have in common to become one template.
 TAU = 0.6
-#: Tasks of the first round of clustering for each head kind, and lines of a source in one window.
-SHARDS, BLOCK_LINES = 16, 50_000
+#: Sequences of one clustering task, and lines of a source in one window.
+SHARD_ITEMS, BLOCK_LINES = 4_000, 50_000
+#: Cells of an exact table of common subsequences; longer pairs are split at symbols both hold once.
+CELLS = 4_000_000
+#: Symbols at the start of a line whose form two lines of one template share: heads come first.
+START = 8
+#: Between symbols, and before the form of a start.
+_SEP, _START = "\x1f", "\x1e"
 
 
 def lcs(a: list[str], b: list[str]) -> list[int]:
-    """Positions in a of a longest common subsequence of a and b."""
+    """Positions in a of a longest common subsequence of a and b (of very long ones: of a common subsequence)."""
     n, m = len(a), len(b)
+    low = 0
+    while low < min(n, m) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(n, m) - low and a[n - 1 - high] == b[m - 1 - high]:
+        high += 1
+    ends = [*range(low)], [*range(n - high, n)]
+    if low or high:
+        a, b = a[low : n - high], b[low : m - high]
+        n, m = len(a), len(b)
+    if n * m > CELLS:
+        return [*ends[0], *(low + i for i in _anchored(a, b)), *ends[1]]
     rows = [[0] * (m + 1)]
     for x in a:
         last, row = rows[-1], [0]
@@ -43,20 +68,58 @@ def lcs(a: list[str], b: list[str]) -> list[int]:
     out, i, j = [], n, m
     while i and j:
         if a[i - 1] == b[j - 1]:
-            out.append(i - 1)
+            out.append(low + i - 1)
             i, j = i - 1, j - 1
         elif rows[i - 1][j] >= rows[i][j - 1]:
             i -= 1
         else:
             j -= 1
+    return [*ends[0], *out[::-1], *ends[1]]
+
+
+def _anchored(a: list[str], b: list[str]) -> list[int]:
+    """Positions in a of the longest rising run of symbols that a and b hold once each."""
+    from bisect import bisect_left
+
+    once_a, once_b = Counter(a), Counter(b)
+    at = {y: j for j, y in enumerate(b) if once_b[y] == 1}
+    tails: list[int] = []
+    last: list[int] = []
+    before: dict[int, int] = {}
+    for i, x in enumerate(a):
+        if once_a[x] == 1 and x in at:
+            k = bisect_left(tails, at[x])
+            before[i] = last[k - 1] if k else -1
+            tails[k : k + 1], last[k : k + 1] = [at[x]], [i]
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
     return out[::-1]
 
 
+def masks_of(a: list[str]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, x in enumerate(a):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def lcs_length(masks: dict[str, int], n: int, b: list[str]) -> int:
+    """Length of a longest common subsequence of b and the sequence of n symbols that masks stands for, a row at a time in one integer."""
+    whole = (1 << n) - 1
+    v = whole
+    for y in b:
+        u = v & masks.get(y, 0)
+        v = (v + u | v - u) & whole
+    return n - v.bit_count()
+
+
 def _split(a: list[str]) -> tuple[list[str], list[bool]]:
     """The constants of a, and whether a gap stands before each of them and at the end."""
     constants, gaps = [], [False]
     for x in a:
-        if x == "<*>":
+        if x == GAP:
             gaps[-1] = True
         else:
             constants.append(x)
@@ -71,161 +134,342 @@ def merged(a: list[str], b: list[str]) -> list[str]:
     for i in [*lcs(a, b), len(a)]:
         j = b.index(a[i], bt) if i < len(a) else len(b)
         if i > at or j > bt or any(in_a[at : i + 1]) or any(in_b[bt : j + 1]):
-            out.append("<*>")
+            out.append(GAP)
         out += a[i : i + 1]
         at, bt = i + 1, j + 1
     return out
 
 
-def matches(template: list[str], s: list[str]) -> bool:
-    """Whether s has symbols between the template's constants only where the template has a gap."""
-    t = i = 0
-    gap, back = -1, 0
-    while i < len(s):
-        if t < len(template) and template[t] == "<*>":
-            gap, back, t = t, i, t + 1
-        elif t < len(template) and template[t] == s[i]:
-            t, i = t + 1, i + 1
-        elif gap >= 0:
-            back += 1
-            t, i = gap + 1, back
-        else:
-            return False
-    return all(x == "<*>" for x in template[t:])
+def mine(sequences: list[list[str]], tau: float = TAU) -> tuple[list[int], list[list[str]]]:
+    """Cluster sequences in the order given. Returns for each the number of its template, and the templates.
 
+    A sequence joins the template with which it has most in common, if that is at least tau
+    of the longer of the two; the template keeps what both share.
+    """
+    from brindle.functions.slots import aligned
 
-def mine(sequences: list[list[str]], tau: float = TAU) -> list[tuple[int, list[list[str]]]]:
-    """Cluster sequences in the order given. Returns for each the number of its template, and the templates."""
     templates: list[list[str]] = []
     constants: list[list[str]] = []  # of each template, without its gaps
     bags: list[Counter] = []
+    masks: list[dict[str, int]] = []
     holding: dict[str, list[int]] = {}  # templates that held a symbol when they were made; merging only takes symbols away
     of: list[int] = []
     for s in sequences:
-        own = [x for x in s if x != "<*>"]
+        own = [x for x in s if x != GAP]
         best, common, bag = -1, 0, Counter(own)
         # a template with enough in common holds one of any so many symbols of s: the rarest are looked up
         spare = len(own) - math.ceil(tau * len(s)) + 1
-        rare = sorted(own, key=lambda x: len(holding.get(x, ())))[: max(spare, 0)]
-        near = sorted({k for x in rare for k in holding.get(x, ())})
-        # a template whose constants are all in s, in order, needs no table; its length is what others must exceed
-        for k in near:
-            c = constants[k]
-            if len(c) > common and len(c) >= tau * len(s) and contains(own, c):
-                best, common = k, len(c)
-        for k in near:
+        rare = sorted(bag, key=lambda x: len(holding.get(x, ())))
+        looked, k = [], 0
+        while k < len(rare) and spare > 0:
+            looked.append(rare[k])
+            spare -= bag[rare[k]]
+            k += 1
+        for k in sorted({k for x in looked for k in holding.get(x, ())}):
             c = constants[k]
             need = tau * max(len(s), len(c))
             if min(len(own), len(c)) < need or min(len(own), len(c)) <= common:
                 continue
-            shared = sum(min(n, bags[k][x]) for x, n in bag.items())  # no common subsequence is longer
+            other = bags[k]
+            shared = sum(min(n, other[x]) for x, n in bag.items() if x in other)  # no common subsequence is longer
             if shared < need or shared <= common:
                 continue
-            n = len(lcs(c, own))
+            n = lcs_length(masks[k], len(c), own)
             if n >= need and n > common:
                 best, common = k, n
         if best < 0:
             templates.append(list(s))
             constants.append(own)
             bags.append(bag)
+            masks.append(masks_of(own))
             best = len(templates) - 1
             for x in bag:
                 holding.setdefault(x, []).append(best)
-        elif not matches(templates[best], s):
+        elif templates[best] != s and (GAP in s or aligned(templates[best], s) is None):
             templates[best] = merged(templates[best], s)
-            constants[best] = [x for x in templates[best] if x != "<*>"]
+            constants[best] = [x for x in templates[best] if x != GAP]
             bags[best] = Counter(constants[best])
+            masks[best] = masks_of(constants[best])
         of.append(best)
     return of, templates
 
 
-def contains(s: list[str], part: list[str]) -> bool:
-    """Whether part is a subsequence of s."""
-    rest = iter(s)
-    return all(x in rest for x in part)
+def _form(s: list[str]) -> str:
+    return _SEP.join(map(form, s))
+
+
+def started(s: list[str]) -> list[str]:
+    """s behind one more symbol, the form of its start."""
+    return [_START + _form(s[:START]).replace(_SEP, ""), *s]
+
+
+def cluster(sequences: list[list[str]], tau: float = TAU) -> tuple[list[int], list[list[str]]]:
+    """mine, for sequences of each start (their first symbol) by themselves."""
+    starts: dict[str, list[int]] = {}
+    for i, s in enumerate(sequences):
+        starts.setdefault(s[0], []).append(i)
+    of = [0] * len(sequences)
+    templates: list[list[str]] = []
+    for start, members in starts.items():
+        into, made = _cluster([sequences[i][1:] for i in members], tau)
+        for i, k in zip(members, into):
+            of[i] = len(templates) + k
+        templates += [[start, *t] for t in made]
+    return of, templates
+
+
+def _cluster(sequences: list[list[str]], tau: float) -> tuple[list[int], list[list[str]]]:
+    """mine, after sequences of one form (which differ in words alone) have been clustered position by position.
+
+    Equal symbols at equal positions are a common subsequence, so tau holds for those too.
+    """
+    forms: dict[str, list[int]] = {}
+    parts: list[list[str]] = []
+    of: list[int] = []
+    for s in sequences:
+        near = forms.setdefault(_form(s), [])
+        best, common = -1, -1
+        for k in near:
+            same = sum(map(eq, parts[k], s))
+            if same > common:
+                best, common = k, same
+        if best >= 0 and common >= tau * len(s):
+            if common < len(s):
+                parts[best] = [x if x == y else GAP for x, y in zip(parts[best], s)]
+        else:
+            parts.append(s)
+            near.append(len(parts) - 1)
+            best = len(parts) - 1
+        of.append(best)
+    closed = [[x for i, x in enumerate(p) if x != GAP or i == 0 or p[i - 1] != GAP] for p in parts]
+    ranked = sorted(range(len(closed)), key=lambda k: (len(closed[k]), closed[k]))
+    into, templates = mine([closed[k] for k in ranked], tau)
+    place = dict(zip(ranked, into))
+    return [place[k] for k in of], templates
 
 
-_SEP = "\x1f"
+LINE = "key binary, sig string, at array<int>"
 
 
-def tokenised(lines: DataFrame) -> DataFrame:
-    """lines (key, event) with sig, the symbols as one text, and what the exact reading of the head gives."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields if f.name != "event"]
-    schema = ", ".join([*fields, "sig string", "stamp string", "log_level string", "component string", "message string"])
+def tokenised(lines: DataFrame, first_line: bool = False) -> DataFrame:
+    """lines (any keys, event) with key (hash of the symbols), at (where tokens begin) and sig, the symbols.
+
+    sig is given where a task meets a sequence for the first time and null elsewhere, so
+    that equal sequences are combined before they are shuffled; blank lines have no key.
+    With first_line an event of several lines is read by its first one, as its head stands there.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields)
 
     def run(batches):
+        from hashlib import blake2b
+
         import pyarrow as pa
 
-        from brindle.functions.heads import head, symbols
+        from brindle.functions.slots import tokenised as read
 
+        known: dict[tuple, bytes] = {}
         for b in batches:
-            sig, heads = [], []
+            if len(known) > 200_000:  # bounds a worker's memory; a sequence may then be given again
+                known.clear()
+            keys, sigs, ats = [], [], []
             for e in b.column("event").to_pylist():
-                sig.append(_SEP.join(symbols(e)) if e and e.strip() else "")
-                heads.append(head(e) or (None, None, None, None))
-            keep = [b.column(n) for n in b.schema.names if n != "event"]
-            cols = list(zip(*heads)) if heads else [[]] * 4
+                key = sig = at = None
+                if e and not e.isspace():
+                    x = read(e.split("\n", 1)[0] if first_line else e)
+                    symbols, at = tuple(x.symbols), x.at
+                    key = known.get(symbols)
+                    if key is None and symbols:
+                        sig = _SEP.join(started(x.symbols))
+                        key = known[symbols] = blake2b(sig.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                keys.append(key)
+                sigs.append(sig)
+                ats.append(at)
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(sig, pa.string()), *(pa.array(c, pa.string()) for c in cols)],
-                names=[*(n for n in b.schema.names if n != "event"), "sig", "stamp", "log_level", "component", "message"],
+                [*b.columns, pa.array(keys, pa.binary()), pa.array(sigs, pa.string()), pa.array(ats, pa.list_(pa.int32()))], names=[*b.schema.names, "key", "sig", "at"]
             )
 
-    return lines.mapInArrow(run, schema)
+    return lines.mapInArrow(run, f"{fields}, {LINE}")
+
+
+def _round(items: DataFrame, column: str, shards: int, tau: float) -> DataFrame:
+    """(column, template): one round of clustering of distinct sequences, in that many shards."""
+    by = F.pmod(F.xxhash64(column, F.lit(shards)), F.lit(shards))
+
+    def run(pdf):
+        import pandas as pd
+
+        texts = sorted(pdf[column].unique())
+        of, templates = cluster([s.split(_SEP) for s in texts], tau)
+        made = [_SEP.join(t) for t in templates]
+        return pd.DataFrame({column: texts, "template": [made[k] for k in of]})
+
+    return items.select(column).groupBy(by.alias("shard")).applyInPandas(run, f"{column} string, template string")
 
 
-def mine_templates(found: DataFrame, at: str) -> DataFrame:
-    """(sig, template, begins): the template of each distinct symbol sequence, in two rounds of clustering.
+def mine_templates(spark: SparkSession, sigs: DataFrame, at: str, tau: float = TAU, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """(sig, template) of sequences (sig): rounds of clustering in shards of about shard_items distinct sequences.
 
-    Both rounds see distinct sequences only, with sequences of one head kind together. The
-    first round's result is written to at, since the second and the join both read it.
+    A round clusters what the one before left; the last one is a single shard, unless the
+    templates themselves are too many for it and a round no longer makes them fewer.
     """
-    sigs = found.filter("sig <> ''").groupBy("sig").agg(F.count("*").alias("n"))
-    sharded = sigs.withColumn("kind", F.substring_index("sig", _SEP, 1)).withColumn("shard", F.pmod(F.xxhash64("sig"), F.lit(SHARDS)))
+    items, column, n, found, k = sigs.select("sig").distinct(), "sig", None, None, 0
+    count = sigs.select(F.approx_count_distinct("sig")).first()[0]
+    while True:
+        shards = max(1, -(-count // shard_items))
+        _round(items, column, shards, tau).write.parquet(f"{at}/round{k}")
+        step = spark.read.parquet(f"{at}/round{k}")
+        if found is None:
+            found = step
+        else:
+            found = found.withColumnRenamed("template", column).join(small_side(step), column).select("sig", "template")
+        if shards == 1:
+            break
+        left = step.select("template").distinct()
+        n, count = count, left.count()
+        if count > shard_items and count > 0.9 * n:
+            break
+        k, column = k + 1, f"part{k}"
+        items = left.withColumnRenamed("template", column)
+    return found
 
-    def first(pdf):
-        import pandas as pd
 
-        from brindle.functions.heads import stamp_in_head
+def _shapes(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, sig, event, template): lines that gave a sequence first, with its template."""
+    return lines.filter("sig is not null").select("key", "sig", "event").join(found, "sig")
 
-        # sequences with and without a timestamp slot in the head differ in a slot's type: never one template
-        pdf = pdf.sort_values(["n", "sig"], ascending=[False, True]).assign(begins=[stamp_in_head(s.split(_SEP)) for s in pdf.sort_values(["n", "sig"], ascending=[False, True])["sig"]])
-        out = []
-        for _, g in pdf.groupby("begins"):
-            of, templates = mine([s.split(_SEP) for s in g["sig"]])
-            out.append(g[["kind", "begins", "sig", "n"]].assign(part=[_SEP.join(templates[k]) for k in of]))
-        return pd.concat(out)
 
-    def second(pdf):
-        import json
+def slot_types(shapes: DataFrame, first_line: bool = False) -> DataFrame:
+    """(template, n, begins, types): what the slots of each template hold, over all of its sequences.
 
-        pdf = pdf.sort_values(["n", "part"], ascending=[False, True])
-        of, templates = mine([s.split(_SEP) for s in pdf["part"]])
-        typed = [json.dumps(t) for t in templates]
-        return pdf[["kind", "begins", "part"]].assign(template=[typed[k] for k in of])
+    begins is the share of sequences that have a timestamp in their head; types holds, for the
+    places behind the timestamp, how many values there are and how many of them are levels and
+    have digits.
+    """
 
-    sharded.groupBy("kind", "shard").applyInPandas(first, "kind string, begins boolean, sig string, n bigint, part string").write.parquet(at)
-    parts = found.sparkSession.read.parquet(at)
-    distinct = parts.groupBy("kind", "begins", "part").agg(F.sum("n").alias("n"))
-    whole = distinct.groupBy("kind", "begins").applyInPandas(second, "kind string, begins boolean, part string, template string")
-    return parts.join(whole, ["kind", "begins", "part"]).select("sig", "n", "template", "begins")
+    def run(batches):
+        import pyarrow as pa
 
+        from brindle.functions import slots as S
+
+        for b in batches:
+            found: dict[tuple[str, str], list[int]] = {}
+            for event, template in zip(b.column("event").to_pylist(), b.column("template").to_pylist()):
+                x = S.tokenised(event.split("\n", 1)[0] if first_line else event)
+                stamp = S.stamp_of(x)
+                all_ = found.setdefault((template, ""), [0, 0, 0])
+                all_[0] += 1
+                if stamp is None:
+                    continue
+                all_[1] += 1
+                slots = S.aligned(template.split(_SEP)[1:], x.symbols)
+                if slots is None or stamp.pairs is not None:
+                    continue
+                high = min(len(slots), stamp.end + HEAD_TOKENS)
+                for i, place in zip(range(stamp.end, high), S.places(slots, x.symbols, stamp.end, high)):
+                    t = S.held(x, i)
+                    if t:
+                        c = found.setdefault((template, place), [0, 0, 0])
+                        c[0] += 1
+                        c[1] += bool(S.level_of(t))
+                        c[2] += any(map(str.isdigit, t))
+            rows = [(t, p, *c) for (t, p), c in found.items()]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["template", "place", "n", "levels", "digits"])
+
+    each = shapes.select("event", "template").mapInArrow(run, "template string, place string, n bigint, levels bigint, digits bigint")
+    counted = each.groupBy("template", "place").agg(F.sum("n").alias("n"), F.sum("levels").alias("levels"), F.sum("digits").alias("digits"))
+    here = F.col("place") == ""
+    # places are named by position and the marks beside them: few for each template, however many lines it has
+    return counted.groupBy("template").agg(
+        F.max(F.when(here, F.col("n"))).alias("n"), F.max(F.when(here, F.col("levels") / F.col("n"))).alias("begins"),
+        F.map_from_entries(F.collect_list(F.when(~here, F.struct("place", F.struct((F.col("levels") / F.col("n")).alias("level"), (F.col("digits") / F.col("n")).alias("digit")))))).alias("types"),
+    )
 
-def _with_templates(spark: SparkSession, lines: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    at = work_path(spark, name)
-    tokenised(lines).write.parquet(f"{at}/lines")
-    found = spark.read.parquet(f"{at}/lines")
-    mine_templates(found, f"{at}/parts").write.parquet(f"{at}/templates")
-    templates = spark.read.parquet(f"{at}/templates")
-    return found, templates
 
+ROLES = "key binary, stamp_from int, stamp_to int, level string, priority int, component_from int, component_to int, message_from int, message_to int, json boolean, template string"
 
-def _starts(lines: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(starting lines with what their heads state and n_lines, all lines with block)."""
+
+def slot_roles(shapes: DataFrame, types: DataFrame, first_line: bool = False) -> DataFrame:
+    """One row for each sequence whose template begins entries: which of its tokens are stamp, priority, component and message, and its level."""
+    known = types.filter(F.col("begins") >= MOST).select("template", "types")
+    typed = shapes.join(small_side(known), "template").select("key", "event", "template", F.map_keys("types").alias("p"), F.map_values("types").alias("v"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        from brindle.functions import slots as S
+
+        kinds = [pa.binary(), *[pa.int32()] * 2, pa.string(), *[pa.int32()] * 5, pa.bool_(), pa.string()]
+        names = [w.split()[0] for w in ROLES.split(", ")]
+        for b in batches:
+            rows = []
+            read: dict[str, tuple[list[str], dict]] = {}
+            for key, event, template, p, v in zip(*(b.column(c).to_pylist() for c in ("key", "event", "template", "p", "v"))):
+                x = S.tokenised(event.split("\n", 1)[0] if first_line else event)
+                stamp = S.stamp_of(x)
+                if stamp is None:
+                    continue
+                if template not in read:
+                    read[template] = template.split(_SEP)[1:], dict(zip(p, v))
+                slots, share = S.aligned(read[template][0], x.symbols), read[template][1]
+                levels, digits = [], []
+                if slots is not None and stamp.pairs is None:
+                    for place in S.places(slots, x.symbols, stamp.end, min(len(slots), stamp.end + HEAD_TOKENS)):
+                        o = share.get(place)
+                        levels.append(o is not None and o["level"] >= S.SOME)
+                        digits.append(o is not None and o["digit"] >= MOST)
+                r = S.roles(x, stamp, levels, digits)
+                rows.append((key, *r.stamp, r.level, r.priority, *r.component, *r.message, r.json, template))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
+
+    return typed.mapInArrow(run, ROLES).dropDuplicates(["key"])
+
+
+def mined(spark: SparkSession, lines: DataFrame, name: str, first_line: bool = False, tau: float = TAU, shard_items: int = SHARD_ITEMS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tokenised lines, templates with the types of their slots, roles of each sequence), all written in the shared folder."""
+    at = work_path(spark, name)
+    tokenised(lines, first_line).write.parquet(f"{at}/lines")
+    found = spark.read.parquet(f"{at}/lines")
+    _shapes(found, mine_templates(spark, found.filter("sig is not null"), at, tau, shard_items)).write.parquet(f"{at}/shapes")
+    shapes = spark.read.parquet(f"{at}/shapes")
+    slot_types(shapes, first_line).write.parquet(f"{at}/types")
+    types = spark.read.parquet(f"{at}/types")
+    slot_roles(shapes, types, first_line).write.parquet(f"{at}/roles")
+    return found, types, spark.read.parquet(f"{at}/roles")
+
+
+#: A date's clock, or Unix time: what the text of a timestamp slot must hold in each line itself.
+_CLOCK = r"(^|[^0-9])([01]?[0-9]|2[0-3]):[0-5][0-9]|[0-9][Tt ]?([01][0-9]|2[0-3])[0-5][0-9][0-5][0-9]([^0-9]|$)|^[0-9]{10,19}([.,][0-9]+)?$"
+
+
+def with_roles(lines: DataFrame, roles: DataFrame) -> DataFrame:
+    """lines with stamp, log_level, component, message and template; stamp and template are null for lines that begin no entry."""
+    joined = lines.drop("sig").join(small_side(roles), "key", "left")
+    begin = lambda i: F.get("at", i)
+
+    def part(low: str, high: str) -> Column:
+        a, b = F.col(low), F.col(high)
+        # up to the next token; white space before that one isn't part of it
+        end = F.coalesce(begin(b), F.length("event"))
+        return F.when(b > a, F.rtrim(F.substring("event", begin(a) + 1, end - begin(a))))
+
+    stamp = part("stamp_from", "stamp_to")
+    severity = F.element_at(F.array(*map(F.lit, SEVERITY)), (F.substring("event", begin(F.col("priority")) + 1, begin(F.col("priority") + 1) - begin(F.col("priority"))).try_cast("int") % 8 + 1))
+    rest = F.when(begin(F.col("message_from")).isNotNull(), F.ltrim(F.substring("event", begin(F.col("message_from")) + 1, F.length("event")))).otherwise("")
+    inside = F.coalesce(part("message_from", "message_to"), F.lit(""))
+    plain = F.when(F.col("json"), F.coalesce(F.get_json_object(F.concat(F.lit('{"m":"'), inside, F.lit('"}')), "$.m"), inside)).otherwise(F.replace(inside, F.lit('\\"'), F.lit('"')))
+    keep = [F.col(f"`{c}`") for c in lines.columns if c not in ("sig", "key", "at")]
+    step = joined.select(*keep, "template", stamp.alias("stamp"), F.when(F.col("priority") >= 0, severity).otherwise(F.col("level")).alias("log_level"), F.coalesce(part("component_from", "component_to"), F.lit("")).alias("component"), F.when(F.col("message_to") < 0, rest).otherwise(plain).alias("message"))
+    own = F.col("template").isNotNull() & F.coalesce(F.col("stamp").rlike(_CLOCK), F.lit(False))
+    return step.select(*keep, *(F.when(own, F.col(c)).alias(c) for c in ("stamp", "log_level", "component", "message", "template")))
+
+
+def _starts(lines: DataFrame, spark: SparkSession, tau: float = TAU, shard_items: int = SHARD_ITEMS) -> tuple[DataFrame, DataFrame]:
+    """(starting lines with what their heads state and n_lines, blocks with what they carry over)."""
     narrow = lines.select(F.coalesce("source", F.lit("\0")).alias("source"), F.coalesce(F.col("line_no"), F.lit(0).cast("bigint")).alias("line_no"), "line_id", "received_at", "event")
-    found, templates = _with_templates(spark, narrow, "lines")
-    kinds = small_side(templates.filter("begins").select("sig", "template"))
-    marked = found.join(kinds, "sig", "left").withColumn("block", F.floor(F.col("line_no") / BLOCK_LINES))
-    start = F.col("template").isNotNull() & F.col("stamp").isNotNull()
+    found, _, roles = mined(spark, narrow, "lines", tau=tau, shard_items=shard_items)
+    marked = with_roles(found, roles).drop("event").withColumn("block", F.floor(F.col("line_no") / BLOCK_LINES))
+    start = F.col("template").isNotNull()
     blocks = marked.groupBy("source", "block").agg(F.min(F.when(start, F.col("line_no"))).alias("first_start"), F.max(F.when(start, F.col("line_no"))).alias("last_start"), F.max("line_no").alias("end"))
     later = Window.partitionBy("source").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -243,9 +487,9 @@ def _starts(lines: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame
     return starts, carry
 
 
-def found_entries(spark: SparkSession, lines: DataFrame) -> DataFrame:
+def found_entries(spark: SparkSession, lines: DataFrame, tau: float = TAU, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """line_id, n_lines, log_level, component of each entry of raw lines."""
-    starts, _ = _starts(lines, spark)
+    starts, _ = _starts(lines, spark, tau, shard_items)
     return starts.select("line_id", "n_lines", "log_level", "component")
 
 
@@ -265,17 +509,37 @@ def entries(spark: SparkSession, lines: DataFrame) -> DataFrame:
     rest = placed.groupBy("source", F.col("start").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "id", F.coalesce("event", F.lit("")).alias("e")))), lambda x: x.e), "\n").alias("rest"))
     return (
         starts.join(rest, ["source", "line_no"], "left")
-        .select("source", "line_id", "n_lines", "stamp", "received_at", "log_level", "component", F.concat_ws("\n", "message", "rest").alias("message"), "template")
+        .select("source", "line_id", "n_lines", "stamp", "received_at", "log_level", "component", F.concat_ws("\n", "message", "rest").alias("message"), shown("template").alias("template"))
     )
 
 
-def whole_entries(events: DataFrame) -> DataFrame:
-    """Rows that are whole entries already (row_id, event): stamp, log_level, component and message of each.
+def whole_entries(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Rows that are whole entries already (keys, event): stamp, log_level, component and message of each.
 
     A text without a head of its own has null stamp, empty level and component, and is its message.
     """
-    found = tokenised(events)
-    return found.select(
-        *(F.col(f"`{c}`") for c in events.columns if c != "event"), "stamp", "sig",
-        F.coalesce("log_level", F.lit("")).alias("log_level"), F.coalesce("component", F.lit("")).alias("component"), "message",
+    found, _, roles = mined(spark, events, "events", first_line=True)
+    out = with_roles(found, roles)
+    return out.select(
+        *(F.col(f"`{c}`") for c in events.columns if c != "event"), "stamp",
+        F.coalesce("log_level", F.lit("")).alias("log_level"), F.coalesce("component", F.lit("")).alias("component"), F.coalesce("message", "event").alias("message"),
     )
+
+
+def shown(template) -> Column:
+    """A template as readable text."""
+    return F.regexp_replace(F.col(template) if isinstance(template, str) else template, f"^{_START}[^{_SEP}]*|{_SEP}", "")
+
+
+def template_report(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """template, begins, n_lines, n_shapes: the templates of lines (line_id, event) and whether they begin entries."""
+    at = work_path(spark, "templates")
+    tokenised(lines).write.parquet(f"{at}/lines")
+    found = spark.read.parquet(f"{at}/lines")
+    of = mine_templates(spark, found.filter("sig is not null"), at)
+    _shapes(found, of).write.parquet(f"{at}/shapes")
+    shapes = spark.read.parquet(f"{at}/shapes")
+    keys = shapes.select("key", "template").dropDuplicates(["key"])
+    counted = found.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    types = slot_types(shapes).select("template", (F.col("begins") >= MOST).alias("begins"))
+    return counted.join(keys, "key").groupBy("template").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_shapes")).join(types, "template").select(shown("template").alias("template"), "begins", "n_lines", "n_shapes")

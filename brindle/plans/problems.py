@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import compaction, dedup, instants, nesting, templates
-from brindle.plans.shared import read_table, small_side, work_path
+from brindle.plans.shared import read_table, small_side
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,14 +29,12 @@ def p1_entries(spark: SparkSession, d: str) -> DataFrame:
 def p1_events(spark: SparkSession, d: str) -> DataFrame:
     """The entries that ingest_events holds whole: utc, log_level, component, message."""
     rows = read_table(spark, d, "ingest_events").select("row_id", "source", "received_at", "event")
-    return _timed(templates.whole_entries(rows), spark, d)
+    return _timed(templates.whole_entries(spark, rows), spark, d)
 
 
 def p1_templates(spark: SparkSession, d: str) -> DataFrame:
-    """The templates of raw_lines: constant and typed variable slots, lines of each, whether they begin entries."""
-    lines = read_table(spark, d, "raw_lines").select("line_id", "event")
-    found = templates.mine_templates(templates.tokenised(lines), work_path(spark, "templates"))
-    return found.groupBy("template", "begins").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_shapes"))
+    """The templates of raw_lines: constant and variable slots, lines of each, whether they begin entries."""
+    return templates.template_report(spark, read_table(spark, d, "raw_lines").select("line_id", "event"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
