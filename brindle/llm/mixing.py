@@ -6,7 +6,8 @@ starve the mix; it is cut into equal-token blocks. A source whose share is not b
 tokens times max_repeats is used up: every document of it is taken max_repeats times,
 outside the blocks, and the others share the rest. Blocks go to the source with the highest
 quotient weight / (2k + 1) until all are given; the report shows both shares. The tokens of
-a source's quota are apportioned to its shards by their tokens; in each shard documents are
+a source's quota are divided among its shards by their tokens, with what rounding cuts from
+one carried to the next; in each shard documents are
 taken in a seeded order, all of them once before any is taken again, and what a shard
 leaves of its quota is carried on to the source's other shards.
 
@@ -57,22 +58,6 @@ def total_tokens(weights: list[float], limits: list[float], reach: float = REACH
     return best
 
 
-def split_tokens(tokens: int, sizes: list[int], caps: list[int]) -> list[int]:
-    """tokens given to shards in proportion to their sizes, none above its cap; what rounding down leaves goes by highest quotients."""
-    whole = sum(sizes)
-    out = [min(c, tokens * n // whole) if whole else 0 for n, c in zip(sizes, caps)]
-    left = tokens - sum(out)
-    queue = [(-n / (2 * out[i] + 1), i) for i, n in enumerate(sizes) if out[i] < caps[i]]
-    heapq.heapify(queue)
-    while left > 0 and queue:
-        _, i = heapq.heappop(queue)
-        out[i] += 1
-        left -= 1
-        if out[i] < caps[i]:
-            heapq.heappush(queue, (-sizes[i] / (2 * out[i] + 1), i))
-    return out
-
-
 def source_quotas(weights: list[float], limits: list[int], blocks: int = BLOCKS, reach: float = REACH) -> tuple[list[int], list[int]]:
     """(blocks, tokens) of each source. One whose share is not below its limit is used up: it gives exactly its limit, outside the blocks, and the others share the rest."""
     total = total_tokens(weights, [float(x) for x in limits], reach)
@@ -95,26 +80,38 @@ def source_quotas(weights: list[float], limits: list[int], blocks: int = BLOCKS,
 
 
 def _quotas(blocks: int, reach: float):
+    """Quotas of the sources of one mix, which are as many as its targets name."""
+
     def run(pdf):
         import pandas as pd
 
-        by = pdf.groupby("source", sort=True).agg(weight=("weight", "first"), repeats=("max_repeats", "first"), tokens=("tokens", "sum")).reset_index()
-        given, quotas = source_quotas(by["weight"].tolist(), [int(r) * int(t) for r, t in zip(by["repeats"], by["tokens"])], blocks, reach)
-        whole = by["weight"].sum()
-        rows = []
-        for s, w, q, n in zip(by["source"], by["weight"], quotas, given):
-            g = pdf[pdf["source"] == s].sort_values("shard")
-            r, sizes = int(g["max_repeats"].iat[0]), [int(t) for t in g["tokens"]]
-            part = split_tokens(q, sizes, [r * t for t in sizes])
-            # blocks are only reported: those of the source, split like its tokens
-            shown = split_tokens(n, sizes, [n] * len(sizes))
-            for shard, tokens, k, quota in zip(g["shard"], sizes, shown, part):
-                rows.append((g["mix_id"].iat[0], s, int(shard), w / whole if whole else 0.0, r, tokens, k, float(quota)))
-        return pd.DataFrame(rows, columns=["mix_id", "source", "shard", "target_share", "max_repeats", "available", "blocks", "quota"])
+        pdf = pdf.sort_values("source")
+        weights, limits = pdf["weight"].tolist(), [int(r) * int(t) for r, t in zip(pdf["max_repeats"], pdf["tokens"])]
+        n, quotas = source_quotas(weights, limits, blocks, reach)
+        whole = sum(weights)
+        return pd.DataFrame({"mix_id": pdf["mix_id"], "source": pdf["source"], "target_share": [w / whole if whole else 0.0 for w in weights], "max_repeats": pdf["max_repeats"], "whole": pdf["tokens"], "n": n, "of": quotas})
 
     return run
 
 
+def shard_quotas(quotas: DataFrame, totals: DataFrame) -> DataFrame:
+    """Quotas (mix_id, source, target_share, max_repeats, whole, n, of) divided among shards (source, shard, tokens).
+
+    What rounding cuts from one shard is carried to the next: the first k shards of a source
+    have, together, the quota their tokens are worth, so a quota is given out to the last
+    token, none above its shard's tokens times max_repeats, for any number of shards.
+    """
+    one = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    placed = totals.select("source", "shard", F.col("tokens").alias("available"), F.sum("tokens").over(one).alias("upto"))
+    joined = quotas.join(placed, "source", "left").withColumns({"shard": F.coalesce("shard", F.lit(0).cast("bigint")), "available": F.coalesce("available", F.lit(0).cast("bigint"))})
+
+    def part(c: str):
+        upto = lambda x: f"(cast({c} as decimal(19,0)) * cast({x} as decimal(19,0))) div cast(whole as decimal(19,0))"
+        return F.expr(f"case when whole > 0 then {upto('upto')} - {upto('(upto - available)')} else 0 end")
+
+    return joined.select("mix_id", "source", "shard", "target_share", "max_repeats", "available", part("n").alias("blocks"), part("of").alias("quota"))
+
+
 def planned(spark: SparkSession, documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, blocks: int = BLOCKS, reach: float = REACH, shard_items: int = SHARD_ITEMS) -> tuple[DataFrame, DataFrame]:
     """(documents with tokens and shard, quota of each mix, source and shard)."""
     at = work_path(spark, "sizes")
@@ -128,9 +125,10 @@ def planned(spark: SparkSession, documents: DataFrame, targets: DataFrame, vocab
         .agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("weight"), F.greatest(F.coalesce(F.max("max_repeats"), F.lit(0)), F.lit(0)).alias("max_repeats"))
     )
     totals = sharded.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens"))
-    claims = wanted.join(totals, "source", "left").select("mix_id", "source", "weight", "max_repeats", F.coalesce("shard", F.lit(0).cast("bigint")).alias("shard"), F.coalesce("tokens", F.lit(0).cast("bigint")).alias("tokens"))
-    schema = "mix_id string, source string, shard bigint, target_share double, max_repeats int, available bigint, blocks bigint, quota double"
-    return sharded, claims.groupBy("mix_id").applyInPandas(_quotas(blocks, reach), schema)
+    claims = wanted.join(totals.groupBy("source").agg(F.sum("tokens").alias("tokens")), "source", "left").na.fill(0, ["tokens"])
+    schema = "mix_id string, source string, target_share double, max_repeats int, whole bigint, n bigint, of bigint"
+    quotas = claims.groupBy("mix_id").applyInPandas(_quotas(blocks, reach), schema)
+    return sharded, shard_quotas(quotas, totals)
 
 
 def mixed(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: int = 17, **options) -> tuple[DataFrame, DataFrame]:
@@ -167,7 +165,7 @@ def mixed(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: i
     room = F.col("max_repeats") * F.col("available") - F.col("used")
     sums = sums.withColumn("left", F.sum(F.col("quota") - F.col("used")).over(of)).withColumn("room", room)
     before = F.coalesce(F.sum("room").over(of.orderBy(F.desc("room"), "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    again = sums.withColumn("more", F.least(F.col("room").cast("double"), F.col("left") - before)).filter("more > 0").withColumn("quota", F.col("used") + F.col("more")).select(columns)
+    again = sums.withColumn("more", F.least("room", F.col("left") - before)).filter("more > 0").withColumn("quota", F.col("used") + F.col("more")).select(columns)
     last = work_path(spark, "receivers")
     again.write.parquet(last)
     again = spark.read.parquet(last)
@@ -178,7 +176,7 @@ def mixed(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: i
 def _select(pdf):
     """Documents of one shard: whole rounds first, then each in seeded order that still fits."""
     pdf = pdf.sort_values(["turn", "doc_id", "copy_of"], kind="stable")
-    quota, available, most = float(pdf["quota"].iat[0]), int(pdf["available"].iat[0]), int(pdf["max_repeats"].iat[0])
+    quota, available, most = int(pdf["quota"].iat[0]), int(pdf["available"].iat[0]), int(pdf["max_repeats"].iat[0])
     rounds = min(int(quota // available), most)
     rest = quota - rounds * available
     copies = []

@@ -109,6 +109,19 @@ def test_used_up_sources_and_shards_lose_nothing(spark):
     assert r["n", "tiny"].tokens == 40 * r["n", "tiny"].tokens_available
 
 
+@pytest.mark.parametrize("shards", [1, 100, 10_000])
+def test_quotas_are_whole_at_any_number_of_shards(spark, shards):
+    totals = spark.range(shards).select(F.explode(F.array(F.struct(F.lit("big").alias("source"), F.lit(40_000_000_000 // shards).alias("tokens")), F.struct(F.lit("small").alias("source"), F.lit(400_000 // shards + 3).alias("tokens")))).alias("s"), F.col("id").alias("shard")).select("s.*", "shard")
+    claims = totals.groupBy("source").agg(F.sum("tokens").alias("tokens")).join(spark.createDataFrame([("m", "big", 0.999, 1), ("m", "small", 0.001, 400)], "mix_id string, source string, weight double, max_repeats int"), "source")
+    of = claims.groupBy("mix_id").applyInPandas(mixing._quotas(10_000, 0.9), "mix_id string, source string, target_share double, max_repeats int, whole bigint, n bigint, of bigint")
+    quotas = mixing.shard_quotas(of, totals).cache()
+    given = {r.source: r for r in quotas.groupBy("source").agg(F.sum("quota").alias("quota"), F.sum("blocks").alias("blocks"), F.max("target_share").alias("share")).collect()}
+    whole = sum(r.quota for r in given.values())
+    assert all(abs(r.quota / whole - r.share) < 0.001 for r in given.values()) and {r.source: r.of for r in of.collect()} == {s: r.quota for s, r in given.items()}
+    assert given["big"].quota > 0.99 * 40_000_000_000 // shards * shards
+    assert quotas.filter("quota > available * max_repeats").count() == 0
+
+
 # sentences
 CASES = [
     ("It rose. Then it fell!", ["It rose.", "Then it fell!"]), ("See Fig. 3 vs. No. 4, e.g. now. Done.", ["See Fig. 3 vs. No. 4, e.g. now.", "Done."]), ("The ratio fell to .64 or 3.5. Fine", ["The ratio fell to .64 or 3.5.", "Fine"]),
