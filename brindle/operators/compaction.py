@@ -10,6 +10,7 @@ Defined results:
 - a part listed several times counts as its last listing says;
 - null event_count of a merged part, or of one of its inputs, or an input that isn't listed: not complete;
 - inputs that are null or blank: no inputs; spelled as JSON, comma or semicolon lists, with or without directory and suffix;
+- levels only tell merged parts (1 or more) from tiny ones (0), a null level is neither; links in a circle end;
 - an empty table gives an empty manifest; columns of any name pass through unchanged;
 - rows that are equal in all columns are all kept (the checksum counts them).
 """
@@ -54,25 +55,35 @@ def merge_links(listed: DataFrame) -> DataFrame:
     return counted.join(complete, "parent", "left_semi").select("parent", "child", "alive")
 
 
-def covered_parts(listed: DataFrame) -> DataFrame:
-    """(part_id, root): parts that a complete, living merged part holds, directly or through complete ones.
+def written_once(spark: SparkSession, df: DataFrame, at: str) -> DataFrame:
+    df.write.parquet(at)
+    return spark.read.parquet(at)
 
-    Levels fall along every link, so as many steps as there are levels reach all of them.
-    """
-    links = merge_links(listed)
-    depth = listed.agg(F.max("level")).first()[0] or 0
-    step = links.filter("alive").select(F.col("parent").alias("root"), "child")
-    found = step
-    for _ in range(max(0, depth - 1)):
-        step = step.join(links.select(F.col("parent").alias("child"), F.col("child").alias("next")), "child").select("root", F.col("next").alias("child"))
-        found = found.unionByName(step)
-    return found.groupBy(F.col("child").alias("part_id")).agg(F.max("root").alias("root"))
 
+def covered_parts(spark: SparkSession, listed: DataFrame, at: str) -> DataFrame:
+    """(part_id, root): parts that a complete, living merged part holds, directly or through complete ones.
 
-def pending_parts(parts: DataFrame) -> DataFrame:
-    """Level-0 parts that are neither removed nor held by a living, complete merged part."""
-    listed = last_listing(parts)
-    return listed.filter("level = 0 and removed_at is null").join(covered_parts(listed), "part_id", "left_anti")
+    A fixed point: each step follows the links of the parts that the step before reached
+    first, and the last step reaches none. Levels aren't read, and links in a circle end.
+    """
+    links = written_once(spark, merge_links(listed), f"{at}/links")
+    first = links.filter("alive").groupBy(F.col("child").alias("part_id")).agg(F.max("parent").alias("root"))
+    front = written_once(spark, first, f"{at}/reached0")
+    found, k = front, 0
+    while not front.isEmpty():
+        k += 1
+        onward = front.join(links, front["part_id"] == links["parent"]).groupBy(F.col("child").alias("part_id")).agg(F.max("root").alias("root"))
+        front = written_once(spark, onward.join(found, "part_id", "left_anti"), f"{at}/reached{k}")
+        found = spark.read.parquet(*(f"{at}/reached{i}" for i in range(k + 1)))
+    return found
+
+
+def pending_parts(spark: SparkSession, parts: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(level-0 parts that are neither removed nor held by a living, complete merged part, covered parts); both written at at."""
+    listed = written_once(spark, last_listing(parts), f"{at}/listed")
+    covered = covered_parts(spark, listed, at)
+    pending = listed.filter("level = 0 and removed_at is null").join(covered, "part_id", "left_anti")
+    return written_once(spark, pending.select("part_id", "event_count", F.coalesce("index_name", F.lit("main")).alias("index_name")), f"{at}/pending"), covered
 
 
 def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,13 +100,20 @@ def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
 def consolidate(spark: SparkSession, rows: DataFrame, parts: DataFrame, target_bytes: int = TARGET_BYTES) -> tuple[DataFrame, DataFrame, str]:
     """Rewrite the rows of pending parts. Returns (input parts of the commit, parts written, path).
 
-    rows has part_id and index_name. Rows of one part stay whole; parts of several
-    indexes are not mixed in a file.
+    rows has part_id and index_name. Rows of several indexes are not mixed in a file; those
+    of one input part may lie in several where its index is larger than target_bytes. The
+    inputs of the commit are the parts whose rows were written, and the pending ones that
+    have none.
     """
-    pending = pending_parts(parts).select("part_id", "event_count", F.coalesce("index_name", F.lit("main")).alias("index_name")).persist()
-    marker = free_name(rows, "to_index")
-    chosen = rows.join(small_side(pending.select("part_id")), "part_id", "left_semi").select(*(F.col(f"`{c}`") for c in rows.columns))
     at = work_path(spark, "compact")
+    pending, _ = pending_parts(spark, parts, f"{at}/listing")
+    return _rewrite(spark, rows, pending, at, target_bytes)
+
+
+def _rewrite(spark: SparkSession, rows: DataFrame, pending: DataFrame, at: str, target_bytes: int) -> tuple[DataFrame, DataFrame, str]:
+    marker = free_name(rows, "to_index")
+    wanted = small_side(pending.select("part_id"))
+    chosen = rows.join(wanted, "part_id", "left_semi").select(*(F.col(f"`{c}`") for c in rows.columns))
     moved = chosen.withColumn(marker, F.coalesce("index_name", F.lit("main"))).hint("rebalance", marker)
     with with_conf(spark, {
         "spark.sql.adaptive.enabled": "true",
@@ -109,7 +127,10 @@ def consolidate(spark: SparkSession, rows: DataFrame, parts: DataFrame, target_b
     if before != after:
         remove_path(spark, at)
         raise RuntimeError(f"rows read and rows written differ, nothing is committed: {before} and {after}")
-    pending.write.parquet(f"{at}/commit/inputs")
+    moved_rows = written.groupBy("part_id").agg(F.count("*").alias("rows_written"))
+    empty = pending.join(rows.select("part_id").distinct(), "part_id", "left_anti").select("part_id", F.lit(0).cast("bigint").alias("rows_written"))
+    inputs = moved_rows.unionByName(empty).join(pending, "part_id").select("part_id", "event_count", "index_name", "rows_written")
+    inputs.write.parquet(f"{at}/commit/inputs")
     if written.inputFiles():
         outputs = written.groupBy(F.col("_metadata.file_path").alias("path"), F.col(marker).alias("index_name")).agg(
             F.count("*").alias("event_count"), F.max("_metadata.file_size").alias("size_bytes")
@@ -117,7 +138,6 @@ def consolidate(spark: SparkSession, rows: DataFrame, parts: DataFrame, target_b
     else:
         outputs = spark.createDataFrame([], "path string, index_name string, event_count bigint, size_bytes bigint")
     outputs.write.parquet(f"{at}/commit/outputs")
-    pending.unpersist()
     return spark.read.parquet(f"{at}/commit/inputs"), spark.read.parquet(f"{at}/commit/outputs"), at
 
 
@@ -131,13 +151,13 @@ def _any_file(spark: SparkSession, path: str) -> bool:
 
 
 def part_layout(spark: SparkSession, rows: DataFrame, parts: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """part, event_count: every row of rows in exactly one part: a new one, or the merged part that already holds it.
+    """part, event_count, rewritten: every row of rows in exactly one part: a new one, or the merged part that already holds it.
 
     Rows whose level-0 part was removed without a merged part that holds them stay in it.
     """
-    _, outputs, _ = consolidate(spark, rows, parts, target_bytes)
-    listed = last_listing(parts)
-    pending = pending_parts(parts).select("part_id")
-    rest = rows.select("part_id").join(pending, "part_id", "left_anti").join(covered_parts(listed), "part_id", "left")
-    carried = rest.groupBy(F.coalesce("root", "part_id").alias("part")).agg(F.count("*").alias("event_count"))
-    return outputs.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("part"), "event_count").unionByName(carried)
+    at = work_path(spark, "compact")
+    pending, covered = pending_parts(spark, parts, f"{at}/listing")
+    _, outputs, _ = _rewrite(spark, rows, pending, at, target_bytes)
+    kept = rows.groupBy("part_id").agg(F.count("*").alias("n")).join(pending.select("part_id"), "part_id", "left_anti").join(covered, "part_id", "left")
+    carried = kept.groupBy(F.coalesce("root", "part_id").alias("part")).agg(F.sum("n").alias("event_count"), F.lit(False).alias("rewritten"))
+    return outputs.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("part"), "event_count", F.lit(True).alias("rewritten")).unionByName(carried)

@@ -75,6 +75,11 @@ def p5_layout(spark: SparkSession, d: str) -> DataFrame:
     return compaction.part_layout(spark, read_table(spark, d, "ingest_events"), read_table(spark, d, "part_files"))
 
 
+def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Rows in new parts, and rows left where they were."""
+    return p5_layout(spark, d).groupBy("rewritten").agg(F.sum("event_count").alias("event_count"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return instants.found_times(read_table(spark, d, "ingest_events"), read_table(spark, d, "log_sources"))
 
@@ -83,7 +88,7 @@ def p6_events(spark: SparkSession, d: str) -> DataFrame:
     return instants.normalise_times(read_table(spark, d, "ingest_events"), read_table(spark, d, "log_sources")).withColumn("event_utc", F.timestamp_micros("utc_us"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p1_events, p1_templates, p1_spans, p2_found, p2_kept, p2_kept_per_source, p4_found, p4_tables, p5_found, p5_layout, p6_found, p6_events)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p1_events, p1_templates, p1_spans, p2_found, p2_kept, p2_kept_per_source, p4_found, p4_tables, p5_found, p5_layout, p5_totals, p6_found, p6_events)}
 
 _NORM = r"nullif(regexp_replace(regexp_replace(lower(trim({})), '^\s*urn:[a-z0-9][a-z0-9-]*:', ''), '[^\p{{L}}\p{{N}}]+', '', 'g'), '')"
 _JSON = "CASE WHEN json_valid({0}) THEN coalesce(json_extract_string({0}, '$.msg_id'), json_extract_string({0}, '$.message_id')) END"
@@ -102,15 +107,17 @@ _RAW_LEVEL = r"""upper(CASE WHEN event LIKE '<%' THEN ['emerg','alert','crit','e
   WHEN regexp_matches(event, '^\S+ \[') THEN regexp_extract(event, '^\S+ \[(\w+)\]', 1)
   ELSE regexp_extract(event, '^\S+ \S+ (\w+) +\[', 1) END)"""
 _LEVEL = "CASE WHEN l IN ('TRACE','TRC','T') THEN 'TRACE' WHEN l IN ('DEBUG','DBG','D') THEN 'DEBUG' WHEN l IN ('INFO','INF','NOTICE','LOG','I') THEN 'INFO' WHEN l IN ('WARN','WARNING','WRN','W') THEN 'WARN' WHEN l IN ('ERROR','ERR','E') THEN 'ERROR' WHEN l IN ('FATAL','CRIT','CRITICAL','ALERT','EMERG','PANIC','F') THEN 'FATAL' ELSE '' END"
+_PENDING = """WITH RECURSIVE l AS (SELECT part_id, level, event_count, removed_at, inputs FROM part_files QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY listed_at DESC, removed_at IS NOT NULL DESC) = 1),
+    e AS (SELECT DISTINCT part_id AS parent, event_count, removed_at IS NULL AS alive, regexp_replace(unnest(regexp_extract_all(inputs, '[A-Za-z0-9_.-]+')), '[.][a-z]+$', '') AS child FROM l WHERE level >= 1),
+    c AS (SELECT e.parent FROM e LEFT JOIN l ON l.part_id = e.child GROUP BY e.parent, e.event_count HAVING sum(l.event_count) = e.event_count AND count(*) = count(l.event_count)),
+    k AS (SELECT e.* FROM e JOIN c USING (parent)),
+    h AS (SELECT child FROM k WHERE alive UNION SELECT k.child FROM h JOIN k ON k.parent = h.child),
+    pending AS (SELECT part_id FROM l WHERE level = 0 AND removed_at IS NULL AND part_id NOT IN (SELECT child FROM h)) """
 ORACLES: dict[str, str] = {
     "p1_spans": f"SELECT line_id, n_lines, {_LEVEL} AS log_level FROM (SELECT line_id, coalesce(lead(line_no) OVER (PARTITION BY source ORDER BY line_no), e + 1) - line_no AS n_lines, {_RAW_LEVEL} AS l FROM (SELECT *, max(line_no) OVER (PARTITION BY source) AS e FROM raw_lines) WHERE regexp_matches(event, '{_STARTS}'))",
     "p2_kept_per_source": "WITH i AS (" + _IDS + ") SELECT source, count(*) AS n, count(*) FILTER (WHERE id IS NULL OR r = 1) AS n_kept FROM (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY row_id) AS r FROM i) GROUP BY 1",
     "p2_found": "WITH i AS (SELECT row_id, source, coalesce(" + ", ".join(_NORM.format(x) for x in ("msg_id", "(" + _JSON.format("fields_json") + ")", "(" + _IN_EVENT + ")")) + ") AS id FROM ingest_events) "
     "SELECT a AS row_id_a, row_id AS row_id_b FROM (SELECT row_id, min(row_id) OVER (PARTITION BY source, id) AS a FROM i WHERE id IS NOT NULL) WHERE a <> row_id",
-    "p5_found": """WITH RECURSIVE l AS (SELECT part_id, level, event_count, removed_at, inputs FROM part_files QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY listed_at DESC, removed_at IS NOT NULL DESC) = 1),
-    e AS (SELECT DISTINCT part_id AS parent, event_count, removed_at IS NULL AS alive, regexp_replace(unnest(regexp_extract_all(inputs, '[A-Za-z0-9_.-]+')), '[.][a-z]+$', '') AS child FROM l WHERE level >= 1),
-    c AS (SELECT e.parent FROM e LEFT JOIN l ON l.part_id = e.child GROUP BY e.parent, e.event_count HAVING sum(l.event_count) = e.event_count AND count(*) = count(l.event_count)),
-    k AS (SELECT e.* FROM e JOIN c USING (parent)),
-    h AS (SELECT child FROM k WHERE alive UNION SELECT k.child FROM h JOIN k ON k.parent = h.child)
-    SELECT part_id FROM l WHERE level = 0 AND removed_at IS NULL AND part_id NOT IN (SELECT child FROM h)""",
+    "p5_found": _PENDING + "SELECT part_id FROM pending",
+    "p5_totals": _PENDING + "SELECT part_id IN (SELECT part_id FROM pending) AS rewritten, count(*) AS event_count FROM ingest_events GROUP BY 1",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import slots
 from brindle.operators import compaction, dedup, instants, nesting, templates
+from brindle.plans.shared import work_path
 
 UTC = dt.UTC
 
@@ -139,8 +140,14 @@ def test_pending_parts(spark):
         p("M1", 1, 3, dt.datetime(2025, 1, 2), '["a", "b"]'), p("M2", 2, 3, None, "/x/M1.lsg"), p("M3", 1, 4, None, "c; d"), p("M4", 1, 6, dt.datetime(2025, 1, 2), "f"), p("M5", 1, None, None, "c"), p("M6", 1, 0, None, "zz"), p("M7", 1, 9, None, ""),
     ]
     df = spark.createDataFrame(rows, "part_id string, level int, event_count bigint, removed_at timestamp, inputs string, listed_at timestamp, index_name string, size_bytes bigint")
-    assert {r.part_id for r in compaction.pending_parts(df).collect()} == {"c", "d", "f", "h"}
-    assert compaction.pending_parts(df.limit(0)).count() == 0
+    pending = lambda df: {r.part_id for r in compaction.pending_parts(spark, df, work_path(spark, "t"))[0].collect()}
+    assert pending(df) == {"c", "d", "f", "h"}
+    assert pending(df.limit(0)) == set()
+    # levels that don't fall along the links, a huge one, and merged parts that hold each other
+    odd = [
+        p("a", 0, 1), p("b", 0, 2), p("m1", 1, 3, dt.datetime(2025, 1, 2), "a,b"), p("m2", 1, 3, None, "m1"), p("c", 0, 1), p("d", 0, 5), p("n1", 1_000_000_000, 1, None, "c"), p("x", 2, 5, None, "y"), p("y", 2, 5, dt.datetime(2025, 1, 2), "x"),
+    ]
+    assert pending(spark.createDataFrame(odd, df.schema)) == {"d"}
 
 
 def test_consolidation_keeps_every_row(spark):
@@ -151,6 +158,7 @@ def test_consolidation_keeps_every_row(spark):
     assert inputs.count() == 49 and outputs.agg(F.sum("event_count")).first()[0] == rows.filter("part_id <> 'p0'").count() and outputs.count() <= 4
     written = spark.read.parquet(at_ + "/staged").drop("__x")
     assert compaction.checksum(written, rows.columns).first() == compaction.checksum(rows.filter("part_id <> 'p0'"), rows.columns).first()
+    assert inputs.agg(F.sum("rows_written")).first()[0] == written.count()
     layout = compaction.part_layout(spark, rows, parts)
     assert layout.agg(F.sum("event_count")).first()[0] == rows.count()
     empty = compaction.consolidate(spark, rows.limit(0), parts.limit(0))
