@@ -1,225 +1,268 @@
 """Deeply nested semi-structured records, turned into related flat tables.
 
-Every JSON text is parsed as a stream into triples of path, value and ordinal. Triples
-are grouped by their repeated ancestor (the nearest enclosing object that is an element
-of an array), and each group is pivoted into one table whose rows keep row_id, origin,
-their own path and their parent's.
+Every JSON text is read as a stream, token by token, into triples of path, value and
+ordinal; no tree of it is built. Triples are grouped by their repeated ancestor (the
+nearest enclosing object that is an element of an array), and each group is pivoted into
+one table whose rows keep row_id, origin, their own number and path and their parent's.
 
 Defined results:
 - null, blank, plain text and broken JSON (as a whole text) give no triples;
 - a string that holds a valid JSON array or object counts as that value, however deep;
 - an object key given twice: the last one counts; NaN and Infinity aren't JSON;
-- depth is limited only by the length of the text, since nothing recurses;
+- depth is limited only by the length of the text;
+- a key that holds a dot, a bracket or a quote stands in table and column names as ['key'],
+  so that different keys never share a name, and records are told apart by their numbers;
+- empty arrays and objects are leaves [] and {}, which absent keys aren't;
 - equal rows give equal triples, each of its own row_id; an empty table gives empty tables.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct leaf names of one table up to which they become columns; beyond, a map column holds them all.
-MAX_COLUMNS = 2_000
-
-TRIPLES = T.StructType(
-    [
-        T.StructField("row_id", T.LongType()),
-        T.StructField("origin", T.StringType()),
-        T.StructField("record", T.StringType()),
-        T.StructField("parent", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("leaf", T.StringType()),
-        T.StructField("value", T.StringType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("ordinal", T.LongType()),
-    ]
-)
+from brindle.plans.shared import work_path
+
+#: Columns of one flat table; further leaf names follow in tables of the same keys beside it.
+WIDTH = 2_000
+
+_COLUMNS = "row_id origin record parent path parent_path table leaf value type ordinal".split()
+_NUMBERS = {"row_id", "record", "parent", "ordinal"}
+TRIPLES = T.StructType([T.StructField(n, T.LongType() if n in _NUMBERS else T.StringType()) for n in _COLUMNS])
 
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(true|false|null))')
 _SPACE = re.compile(r"[ \t\n\r]*\Z")
+_ODD = re.compile(r"[.\[\]'\"]|^$")
 
 
-def tokens(text: str) -> list[tuple[str, str]] | None:
-    """(sort, text) of each token: punctuation as itself, s string, n number, w word. None if it isn't JSON throughout."""
-    out, at = [], 0
-    match = _TOKEN.match
-    while m := match(text, at):
-        at = m.end()
-        k = m.lastindex
-        out.append((m[1], m[1]) if k == 1 else (" snw"[k - 1], m[k]))
-    return out if _SPACE.match(text, at) else None
-
-
-def parse(text: str):
-    """The value of a JSON text as nested tuples ('o', {key: value}), ('a', [value]), (sort, text); None if invalid. Doesn't recurse."""
-    from json.decoder import scanstring
-
-    found = tokens(text)
-    if not found:
-        return None
-    stack: list[tuple] = []
-    root = None
-    want, key = "value", None  # value, first (value or ]), key, first key (key or }), colon, comma
-    for sort, raw in found:
-        if want == "end":
-            return None
-        if want in ("key", "first key"):
-            if sort == "}" and want == "first key":
+def _named(key: str) -> str:
+    """A key as part of a table's or column's name: as it is, or quoted where it could be taken for several."""
+    return "['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']" if _ODD.search(key) else key
+
+
+class _Reader:
+    """Reads one text. out holds (record, parent, path, parent path, table, leaf or None, value, type), or None for what a later key replaced."""
+
+    def __init__(self, leaves: bool):
+        self.leaves = leaves
+        self.out: list = []
+        self.records = 0
+
+    def text(self, text: str) -> list:
+        self.opened(text, ("$", "$", 0, -1, "$", "", "", False))
+        return [x for x in self.out if x is not None]
+
+    def opened(self, text: str, at: tuple) -> bool:
+        """Reads a string that holds an array or object, perhaps as a string again. False if it doesn't."""
+        from json.decoder import scanstring
+
+        while True:
+            bare = text.strip(" \t\n\r")
+            c = bare[:1]
+            if c == "{" or c == "[":
+                return self.stream(bare, at)
+            if c != '"':
+                return False
+            m = _TOKEN.match(bare)
+            if not m or m.end() != len(bare):
+                return False
+            text = scanstring(m[2], 1, True)[0]
+
+    def leaf(self, at: tuple, value, kind: str) -> None:
+        if self.leaves:
+            path, table, record, parent, own, parent_path, leaf, _ = at
+            self.out.append((record, parent, own, parent_path, table, leaf, value, kind))
+
+    def stream(self, text: str, at: tuple) -> bool:
+        """at: path, table, number of the record, of its parent, path of the record, of its parent, leaf name, whether an array's element."""
+        from json.decoder import scanstring
+
+        out, match = self.out, _TOKEN.match
+        begun, records = len(out), self.records
+        # of each open container: [is object, where it is, elements or keys with where their triples begin, the last key]
+        stack: list[list] = []
+        pos, want, here = 0, "value", at
+        while m := match(text, pos):
+            pos = m.end()
+            k = m.lastindex
+            raw = m[k]
+            if want == "value" or want == "first":
+                if k == 1:
+                    if raw == "{" or raw == "[":
+                        path, table, record, parent, own, parent_path, leaf, element = here
+                        if raw == "{":
+                            if element:
+                                # an element of an array is a record of its own
+                                self.records += 1
+                                here = (path, table + leaf_sep(leaf), self.records, record, path, own, "", False)
+                                out.append((self.records, record, path, own, here[1], None, None, None))
+                            stack.append([True, here, {}, None, len(out)])
+                            want = "first key"
+                        else:
+                            stack.append([False, here, 0, None, len(out)])
+                            here = inside(stack[-1])
+                            want = "first"
+                        continue
+                    if raw != "]" or want != "first":
+                        break
+                    frame = stack.pop()
+                    self.leaf(frame[1], "[]", "array")
+                elif k == 2:
+                    value = scanstring(raw, 1, True)[0]
+                    if not (value and value.lstrip(" \t\n\r")[:1] in ("{", "[", '"') and self.opened(value, here)):
+                        self.leaf(here, value, "string")
+                elif k == 3:
+                    self.leaf(here, raw, "number")
+                else:
+                    self.leaf(here, None if raw == "null" else raw, "null" if raw == "null" else "bool")
+            elif want == "comma":
+                top = stack[-1]
+                if raw == "," and k == 1:
+                    if top[0]:
+                        want = "key"
+                    else:
+                        top[2] += 1
+                        here, want = inside(top), "value"
+                    continue
+                if k != 1 or raw != ("}" if top[0] else "]"):
+                    break
                 stack.pop()
-                want = "comma" if stack else "end"
-            elif sort == "s":
-                key, want = scanstring(raw, 1, True)[0], "colon"
-            else:
-                return None
-            continue
-        if want == "colon":
-            if sort != ":":
-                return None
-            want = "value"
-            continue
-        if want == "comma":
-            top = stack[-1][0]
-            if sort == ",":
-                want = "key" if top == "o" else "value"
-            elif sort == ("}" if top == "o" else "]"):
+            elif want == "colon":
+                if k != 1 or raw != ":":
+                    break
+                want = "value"
+                continue
+            elif want == "end":
+                break
+            else:  # a key, or the end of an object that may be empty
+                top = stack[-1]
+                if k == 2:
+                    key = scanstring(raw, 1, True)[0]
+                    keys = top[2]
+                    if key in keys:
+                        low, high = keys[key]
+                        out[low:high] = [None] * (high - low)
+                    top[3] = key
+                    keys[key] = (len(out), len(out))
+                    path, table, record, parent, own, parent_path, leaf, _ = top[1]
+                    name = _named(key)
+                    here = (f"{path}.{key}", table, record, parent, own, parent_path, f"{leaf}.{name}" if leaf and name[0] != "[" else leaf + name, False)
+                    want = "colon"
+                    continue
+                if k != 1 or raw != "}" or want != "first key":
+                    break
                 stack.pop()
-                want = "comma" if stack else "end"
+                if top[1][6]:
+                    self.leaf(top[1], "{}", "object")
+            # a value has ended
+            if stack:
+                top = stack[-1]
+                if top[0]:
+                    top[2][top[3]] = (top[2][top[3]][0], len(out))
+                want = "comma"
             else:
-                return None
-            continue
-        if sort == "]" and want == "first":
-            stack.pop()
-            want = "comma" if stack else "end"
-            continue
-        if sort in "}],:":
-            return None
-        if sort == "{":
-            node, after = ("o", {}), "first key"
-        elif sort == "[":
-            node, after = ("a", []), "first"
-        else:
-            node, after = (sort, scanstring(raw, 1, True)[0] if sort == "s" else raw), "comma"
-        if not stack:
-            root = node
-        elif stack[-1][0] == "o":
-            stack[-1][1].pop(key, None)
-            stack[-1][1][key] = node
-        else:
-            stack[-1][1].append(node)
-        if sort in "{[":
-            stack.append(node)
-            want = after
-        else:
-            want = "comma" if stack else "end"
-    return root if want == "end" else None
-
-
-def _opened(node):
-    """A string that holds an array or object, as that value (again and again)."""
-    while node[0] == "s":
-        bare = node[1].strip(" \t\n\r")
-        if bare[:1] not in ("{", "[", '"'):
-            return node
-        inner = parse(bare)
-        if inner is None or inner[0] not in "oas" or (inner[0] == "s" and _opened(inner)[0] == "s"):
-            return node
-        node = inner
-    return node
-
-
-def triples_of(text: str | None) -> Iterator[tuple]:
-    """(record, parent, kind, leaf, value, type, ordinal) in document order; kind is record or leaf."""
-    root = _opened(("s", text)) if text else ("s", "")
-    if root[0] not in "oa":
-        return
-    names = {"s": "string", "n": "number", "w": "word"}
-    n = 0
-    # (node, full path, record path, leaf path inside its record, parent path, is array element)
-    stack = [(root, "$", "$", "", None, False)]
-    while stack:
-        node, path, record, leaf, parent, element = stack.pop()
-        node = _opened(node)
-        if node[0] == "o":
-            if element:
-                parent, record, leaf = record, path, ""
-                yield record, parent, "record", None, None, None, n
-                n += 1
-            stack += [(v, f"{path}.{k}", record, f"{leaf}.{k}" if leaf else k, parent, False) for k, v in reversed(node[1].items())]
-        elif node[0] == "a":
-            stack += [(v, f"{path}[{i}]", record, f"{leaf}[{i}]", parent, True) for i, v in reversed(list(enumerate(node[1])))]
-        else:
-            kind = {"true": "bool", "false": "bool", "null": "null"}.get(node[1], "word") if node[0] == "w" else names[node[0]]
-            yield record, parent, "leaf", leaf, None if kind == "null" else node[1], kind, n
-            n += 1
-
-
-def triples(df: DataFrame, origins: tuple[str, ...] = ("event", "fields_json")) -> DataFrame:
-    """The triples of all JSON texts in df, which has row_id and the columns named in origins."""
+                want = "end"
+        if want == "end" and _SPACE.match(text, pos):
+            return True
+        del out[begun:]
+        self.records = records
+        return False
+
+
+def leaf_sep(leaf: str) -> str:
+    return leaf if not leaf or leaf[0] == "[" else "." + leaf
+
+
+def inside(frame: list) -> tuple:
+    """Where the next element of an open array is."""
+    path, table, record, parent, own, parent_path, leaf, _ = frame[1]
+    return f"{path}[{frame[2]}]", table, record, parent, own, parent_path, f"{leaf}[]", True
+
+
+def triples_of(text: str | None, leaves: bool = True) -> list[tuple]:
+    """(record, parent, path, parent path, table, leaf, value, type) in document order; leaf is null for a record itself. Record 0 is what lies outside of arrays."""
+    if not text or text.lstrip(" \t\n\r")[:1] not in ("{", "[", '"'):
+        return []
+    return _Reader(leaves).text(text)
+
+
+def triples(df: DataFrame, origins: tuple[str, ...] = ("event", "fields_json"), leaves: bool = True) -> DataFrame:
+    """The triples of all JSON texts in df, which has row_id and the columns named in origins; without leaves only records."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("row_id", pa.int64()), *((f.name, pa.int64() if f.name == "ordinal" else pa.string()) for f in TRIPLES.fields[1:])])
+        schema = pa.schema([(n, pa.int64() if n in _NUMBERS else pa.string()) for n in _COLUMNS])
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         for b in batches:
             rows: list[tuple] = []
             ids = b.column(0).to_pylist()
             for i, origin in enumerate(origins, 1):
                 for row_id, text in zip(ids, b.column(i).to_pylist()):
-                    rows += [(row_id, origin, *t) for t in triples_of(text)]
+                    rows += [(row_id, origin, *t, n) for n, t in enumerate(triples_of(text, leaves))]
                     if len(rows) > 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        yield made(rows)
                         rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield made(rows)
 
     return df.select(F.col("row_id").cast("bigint"), *(F.col(o).cast("string") for o in origins)).mapInArrow(run, TRIPLES)
 
 
-def table_of(record):
-    """The repeated ancestor of a record's path: its path with every position left out."""
-    return F.regexp_replace(record, r"\[\d+\]", "[]")
-
-
 def records(found: DataFrame) -> DataFrame:
     """row_id, origin, parent_path, child_path, one row for each nested record."""
-    return found.filter("kind = 'record'").select("row_id", "origin", F.col("parent").alias("parent_path"), F.col("record").alias("child_path"))
+    return found.filter("leaf is null").select("row_id", "origin", "parent_path", F.col("path").alias("child_path"))
+
+
+KEY = ["table", "row_id", "origin", "record", "parent", "path", "parent_path"]
 
 
 def grouped(found: DataFrame) -> DataFrame:
-    """Every record of every table with its leaves as a map; the record `$` of a text stands for what lies outside of arrays."""
-    leaf = F.when(F.col("kind") == "leaf", F.struct(F.regexp_replace("leaf", r"\[\d+\]", "[]").alias("k"), F.col("ordinal").alias("o"), F.col("value").alias("v")))
-    return (
-        found.groupBy(table_of(F.col("record")).alias("table"), "row_id", "origin", "record")
-        .agg(F.max("parent").alias("parent"), F.array_sort(F.collect_list(leaf)).alias("leaves"))
-    )
+    """Every record of every table with its leaves (k, o, v) in document order; record 0 of a text stands for what lies outside of arrays."""
+    leaf = F.when(F.col("leaf").isNotNull(), F.struct(F.col("leaf").alias("k"), F.col("ordinal").alias("o"), F.col("value").alias("v")))
+    # all other columns follow from the record's number
+    one = found.groupBy("row_id", "origin", "record").agg(F.max(F.struct("table", "parent", "path", "parent_path")).alias("s"), F.array_sort(F.collect_list(leaf)).alias("leaves"))
+    return one.select("s.table", "row_id", "origin", "record", F.when(F.col("s.parent") >= 0, F.col("s.parent")).alias("parent"), "s.path", F.when(F.col("s.parent") >= 0, F.col("s.parent_path")).alias("parent_path"), "leaves")
 
 
-def flat_tables(found: DataFrame) -> dict[str, DataFrame]:
-    """One table for each kind of nested record: row_id, origin, parent_path, path and a column for each leaf.
+class FlatTables:
+    """The flat tables of parsed records, written once below path: rows by table, and the columns of each table.
 
-    Values of a scalar array share one column, joined as a JSON array in order. A table
-    with more than MAX_COLUMNS leaf names keeps them in one map column.
+    Neither tables nor columns are brought to the driver but for those of a table that is
+    opened; sender-made keys may make as many as they will.
     """
-    names = found.select(table_of(F.col("record")).alias("table"), F.regexp_replace("leaf", r"\[\d+\]", "[]").alias("leaf")).distinct()
-    counted = names.groupBy("table").agg(F.count("leaf").alias("n"), F.slice(F.sort_array(F.collect_set("leaf")), 1, MAX_COLUMNS + 1).alias("leaves"))
-    key = ["row_id", "origin", F.col("parent").alias("parent_path"), F.col("record").alias("path")]
-    rows = grouped(found)
-    out = {}
-    for r in counted.collect():  # one row for each kind of record, not for each record
-        of = rows.filter(F.col("table") == r["table"])
-        one = lambda k: F.filter("leaves", lambda x: x.k == k)
-        if r["n"] > MAX_COLUMNS:
-            out[r["table"]] = of.select(*key, F.to_json("leaves").alias("leaves"))
-            continue
-        out[r["table"]] = of.select(
-            *key,
-            *(
-                (F.when(F.size(one(k)) > 0, F.to_json(F.transform(one(k), lambda x: x.v))) if k.endswith("[]") else F.try_element_at(F.transform(one(k), lambda x: x.v), F.lit(1))).alias(f"f_{k}")
-                for k in r["leaves"]
-            ),
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.rows = spark.read.parquet(f"{path}/rows")
+        self.columns = spark.read.parquet(f"{path}/columns")
+
+    @classmethod
+    def write(cls, spark: SparkSession, found: DataFrame) -> FlatTables:
+        """One parse; the rows lie sorted by table, so that opening one reads its own row groups only."""
+        path = work_path(spark, "flat")
+        grouped(found).write.parquet(f"{path}/records")
+        stored = spark.read.parquet(f"{path}/records")
+        # ranges split a table that holds most of the rows
+        stored.repartitionByRange("table", "row_id").sortWithinPartitions("table", "row_id").write.parquet(f"{path}/rows")
+        leaves = stored.select("table", F.explode_outer("leaves").alias("l")).groupBy("table", F.col("l.k").alias("leaf")).agg(F.count("l.v").alias("n_values"))
+        leaves.write.parquet(f"{path}/columns")
+        return cls(spark, path)
+
+    def open(self, table: str, part: int = 0) -> DataFrame | None:
+        """row_id, origin, record, parent, path, parent_path and a column f_... for each leaf; values of an array share one column, as a JSON array in order.
+
+        A table of more than WIDTH leaf names goes on in further parts of the same rows; None beyond the last.
+        """
+        of = self.columns.filter((F.col("table") == table) & F.col("leaf").isNotNull())
+        names = [r["leaf"] for r in of.select("leaf").orderBy("leaf").offset(part * WIDTH).limit(WIDTH).collect()]
+        if not names and part:
+            return None
+        lists = F.map_from_entries(F.transform(F.array_distinct(F.transform("leaves", lambda x: x.k)), lambda k: F.struct(k, F.transform(F.filter("leaves", lambda x: x.k == k), lambda x: x.v))))
+        at = lambda k: F.try_element_at("m", F.lit(k))
+        return self.rows.filter(F.col("table") == table).withColumn("m", lists).select(
+            *KEY[1:], *((F.to_json(at(k)) if k.endswith("[]") else F.try_element_at(at(k), F.lit(1))).alias(f"f_{k}") for k in names)
         )
-    return out

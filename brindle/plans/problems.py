@@ -57,13 +57,23 @@ def p1_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return nesting.records(nesting.triples(read_table(spark, d, "nested_events")))
+    return nesting.records(nesting.triples(read_table(spark, d, "nested_events"), leaves=False))
 
 
 def p4_tables(spark: SparkSession, d: str) -> DataFrame:
     """All flat tables below each other: table, keys and the leaves as a JSON object in document order."""
     rows = nesting.grouped(nesting.triples(read_table(spark, d, "nested_events")))
-    return rows.select("table", "row_id", "origin", F.col("parent").alias("parent_path"), F.col("record").alias("path"), F.size("leaves").alias("n_leaves"), F.to_json("leaves").alias("leaves"))
+    return rows.select("table", "row_id", "origin", "record", "parent", "parent_path", "path", F.size("leaves").alias("n_leaves"), F.to_json("leaves").alias("leaves"))
+
+
+def p4_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of every flat table, with how many values each holds."""
+    return nesting.FlatTables.write(spark, nesting.triples(read_table(spark, d, "nested_events"))).columns
+
+
+def p4_entries(spark: SparkSession, d: str) -> DataFrame:
+    """One flat table opened: the entries of transactions, pivoted, with the keys of their parents."""
+    return nesting.FlatTables.write(spark, nesting.triples(read_table(spark, d, "nested_events"))).open("$.txn.entries[]")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +98,7 @@ def p6_events(spark: SparkSession, d: str) -> DataFrame:
     return instants.normalise_times(read_table(spark, d, "ingest_events"), read_table(spark, d, "log_sources")).withColumn("event_utc", F.timestamp_micros("utc_us"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p1_events, p1_templates, p1_spans, p2_found, p2_kept, p2_kept_per_source, p4_found, p4_tables, p5_found, p5_layout, p5_totals, p6_found, p6_events)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p1_events, p1_templates, p1_spans, p2_found, p2_kept, p2_kept_per_source, p4_found, p4_tables, p4_columns, p4_entries, p5_found, p5_layout, p5_totals, p6_found, p6_events)}
 
 _NORM = r"nullif(regexp_replace(regexp_replace(lower(trim({})), '^\s*urn:[a-z0-9][a-z0-9-]*:', ''), '[^\p{{L}}\p{{N}}]+', '', 'g'), '')"
 _JSON = "CASE WHEN json_valid({0}) THEN coalesce(json_extract_string({0}, '$.msg_id'), json_extract_string({0}, '$.message_id')) END"

@@ -107,29 +107,79 @@ def test_nested_records(spark):
     assert set(got) == {0, 1, 2, 9, 10}
 
 
-def test_flat_tables_keep_the_links(spark):
-    df = spark.createDataFrame([(7, '{"t": 1, "a": [{"b": 1, "tags": ["x", "y"]}, {"c": {"d": true}}]}')], "row_id bigint, event string").withColumn("fields_json", F.lit(None).cast("string"))
-    tables = nesting.flat_tables(nesting.triples(df))
-    assert set(tables) == {"$", "$.a[]"}
-    rows = {r.path: r for r in tables["$.a[]"].collect()}
-    assert rows["$.a[0]"].f_b == "1" and rows["$.a[0]"]["f_tags[]"] == '["x","y"]' and rows["$.a[1]"]["f_c.d"] == "true" and rows["$.a[1]"].parent_path == "$"
+def test_flat_tables_keep_the_links(spark, monkeypatch):
+    df = spark.createDataFrame([(7, '{"t": 1, "a": [{"b": 1, "tags": ["x", "y"], "none": []}, {"c": {"d": true, "e": {}}}]}'), (8, '{"a": [{"b": null}]}'), (9, "plain")], "row_id bigint, event string").withColumn("fields_json", F.lit(None).cast("string"))
+    tables = nesting.FlatTables.write(spark, nesting.triples(df))
+    assert {(r.table, r.leaf): r.n_values for r in tables.columns.collect()} == {("$", "t"): 1, ("$.a[]", "b"): 1, ("$.a[]", "tags[]"): 2, ("$.a[]", "none"): 1, ("$.a[]", "c.d"): 1, ("$.a[]", "c.e"): 1}
+    rows = {(r.row_id, r.path): r for r in tables.open("$.a[]").collect()}
+    one, two = rows[7, "$.a[0]"], rows[7, "$.a[1]"]
+    assert one.f_b == "1" and one["f_tags[]"] == '["x","y"]' and one.f_none == "[]" and two.f_none is None and two["f_c.d"] == "true" and two["f_c.e"] == "{}" and two.parent_path == "$" and two.parent == 0 and len(rows) == 3
+    monkeypatch.setattr(nesting, "WIDTH", 3)
+    parts = [tables.open("$.a[]", i) for i in range(3)]
+    assert [c for p in parts[:2] for c in p.columns if c[:2] == "f_"] == ["f_b", "f_c.d", "f_c.e", "f_none", "f_tags[]"] and parts[2] is None and parts[1].count() == 3
+    assert nesting.FlatTables.write(spark, nesting.triples(df.limit(0))).columns.count() == 0
 
 
-JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text(max_size=3), c, max_size=3), max_leaves=12)
+def test_records_of_keys_that_look_alike_stay_apart(spark):
+    df = spark.createDataFrame([(1, '{"a.b": [{"x": 1}], "a": {"b": [{"x": 2}]}, "a[]": {"": [{"x": 3}]}}')], "row_id bigint, event string").withColumn("fields_json", F.lit(None).cast("string"))
+    rows = nesting.grouped(nesting.triples(df)).select("table", "record", F.col("leaves")[0]["v"].alias("v")).collect()
+    assert sorted((r.table, r.v) for r in rows if r.record) == [("$.a.b[]", "2"), ("$['a.b'][]", "1"), ("$['a[]'][''][]", "3")]
+    assert nesting.records(nesting.triples(df, leaves=False)).count() == 3
 
 
-@settings(max_examples=150, deadline=None)
+JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5) | st.sampled_from(["[]", '{"k": [{}]}', '"[{}]"', "[1", "{}x"]), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text(max_size=3), c, max_size=3), max_leaves=12)
+
+
+def tree_model(text):
+    """The records and leaves of a text by way of its tree."""
+    import json
+
+    def opened(s):
+        while isinstance(s, str) and s.strip(" \t\n\r")[:1] in ("{", "[", '"'):
+            try:
+                s = json.loads(s)
+            except ValueError:
+                return None
+        return s if isinstance(s, (dict, list)) else None
+
+    out = []
+
+    def walk(v, path, own, element):
+        if isinstance(v, str) and (inner := opened(v)) is not None:
+            v = inner
+        if isinstance(v, dict):
+            if element:
+                out.append((path, own, None))
+                own = path
+            for k, x in v.items():
+                walk(x, f"{path}.{k}", own, False)
+            if not v and not element and path != "$":
+                out.append((own, None, "{}"))
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                walk(x, f"{path}[{i}]", own, True)
+            if not v:
+                out.append((own, None, "[]"))
+        else:
+            out.append((own, None, None if v is None else v if isinstance(v, str) else json.dumps(v)))
+
+    root = opened(text)
+    if root is not None:
+        walk(root, "$", "$", False)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
 @given(JSON)
-def test_parser_agrees_with_the_standard_one(value):
+def test_stream_agrees_with_the_tree(value):
     import json
 
     text = json.dumps(value)
-
-    def build(n):
-        return {k: build(v) for k, v in n[1].items()} if n[0] == "o" else [build(v) for v in n[1]] if n[0] == "a" else n[1] if n[0] == "s" else json.loads(n[1])
-
-    assert build(nesting.parse(text)) == value
-    assert nesting.parse(text + "x") is None and nesting.parse(text[:-1] if len(text) > 1 and text[-1] in "]}\"" else text + ",") is None
+    got = [(path, parent, None) if leaf is None else (path, None, v) for _, _, path, parent, _, leaf, v, _ in nesting.triples_of(text)]
+    assert got == tree_model(text)
+    assert [x[:4] for x in nesting.triples_of(text, leaves=False)] == [x[:4] for x in nesting.triples_of(text) if x[5] is None]
+    if isinstance(value, (list, dict)):
+        assert nesting.triples_of(text + "x") == [] and nesting.triples_of(text[:-1]) == []
 
 
 # small files
