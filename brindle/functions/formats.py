@@ -16,89 +16,100 @@ from brindle.plans.syntax import QueryError, closest
 #: Distinct keys of a dynamic format up to which each becomes a column.
 MAX_KEYS = 2_000
 
-_Q = r'"((?:[^"\\]|\\.)*)"'
-_CLF = rf"^(?<client_ip>\S+) (?<ident>\S+) (?<user>\S+) \[(?<timestamp>[^\]]+)\] \"(?<request>(?:[^\"\\]|\\.)*)\" (?<status>\d{{3}}) (?<bytes>\d+|-)"
+_CLF = r'^(?<client_ip>\S+) (?<ident>\S+) (?<user>\S+) \[(?<timestamp>[^\]]+)\] "(?<request>(?:[^"\\]|\\.)*)" (?<status>\d{3}) (?<bytes>\d+|-)'
+_TIME = r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d+)?(?: \w+)?"
+_HEADER = r"(?:[^|\\]|\\.)*"
 #: name: (regex, integer fields, float fields)
 FIXED: dict[str, tuple[str, str, str]] = {
-    "combined": (_CLF + r" \"(?<referer>(?:[^\"\\]|\\.)*)\" \"(?<useragent>(?:[^\"\\]|\\.)*)\"", "status bytes", ""),
+    "combined": (_CLF + r' "(?<referer>(?:[^"\\]|\\.)*)" "(?<user_agent>(?:[^"\\]|\\.)*)"', "status bytes", ""),
     "clf": (_CLF, "status bytes", ""),
     "syslog": (
         r"^(?:<(?<priority>\d{1,3})>)?(?:(?<version>\d) )?(?<timestamp>[A-Z][a-z]{2} +\d+ \d\d:\d\d:\d\d|\d{4}-\d\d-\d\dT\S+|-) (?<hostname>\S+) "
-        r"(?:(?<appname>[^\s:\[]+)(?:\[(?<procid>[^\]]*)\])?: ?|(?<app5>\S+) (?<proc5>\S+) (?<msgid>\S+) (?<structureddata>-|(?:\[[^\]]*\])+) ?)(?<message>.*)$",
+        r"(?:(?<appname>[^\s:\[]+)(?:\[(?<procid>[^\]]*)\])?: ?|(?<new_appname>\S+) (?<new_procid>\S+) (?<msgid>\S+) (?<structured_data>-|(?:\[[^\]]*\])+) ?)(?<message>.*)$",
         "priority", "",
     ),
     "nginx_error": (
-        r"^(?<timestamp>\d{4}/\d\d/\d\d \d\d:\d\d:\d\d) \[(?<severity>\w+)\] (?<pid>\d+)#(?<tid>\d+): (?:\*(?<cid>\d+) )?(?<message>.*?)"
-        r"(?:, client: (?<client>[^,]+))?(?:, server: (?<server>[^,]*))?(?:, request: \"(?<request>[^\"]*)\")?(?:, upstream: \"(?<upstream>[^\"]*)\")?(?:, host: \"(?<host>[^\"]*)\")?(?:, referrer: \"(?<referrer>[^\"]*)\")?$",
+        r'^(?<timestamp>\d{4}/\d\d/\d\d \d\d:\d\d:\d\d) \[(?<severity>\w+)\] (?<pid>\d+)#(?<tid>\d+): (?:\*(?<cid>\d+) )?(?<message>.*?)(?<tail>(?:, [a-z_]+: (?:"[^"]*"|[^,"]*))*)$',
         "pid tid cid", "",
     ),
     "apache_error": (
-        r"^\[(?<timestamp>[^\]]+)\] \[(?:(?<module>[^:\]]*):)?(?<severity>\w+)\] (?:\[pid (?<pid>\d+)(?::tid (?<tid>\d+))?\] )?(?:\[client (?<clientip>[^\]]+?)(?::(?<clientport>\d+))?\] )?(?:(?<errorcode>AH\d+): )?(?<message>.*)$",
-        "pid tid clientport", "",
+        r"^\[(?<timestamp>[^\]]+)\] \[(?:(?<module>[^:\]]*):)?(?<severity>\w+)\] (?:\[pid (?<pid>\d+)(?::tid (?<tid>\d+))?\] )?(?:\[client (?<client_ip>[^\]]+?)(?::(?<client_port>\d+))?\] )?(?:(?<error_code>AH\d+): )?(?<message>.*)$",
+        "pid tid client_port", "",
     ),
-    "redis": (r"^(?<pid>\d+):(?<rolechar>[A-Z]) (?<timestamp>\d+ \w{3} (?:\d{4} )?\d\d:\d\d:\d\d(?:\.\d+)?) (?<levelchar>[.\-*#]) (?<message>.*)$", "pid", ""),
+    "redis": (r"^(?<pid>\d+):(?<role_char>[A-Z]) (?<timestamp>\d+ \w{3} (?:\d{4} )?\d\d:\d\d:\d\d(?:\.\d+)?) (?<level_char>[.\-*#]) (?<message>.*)$", "pid", ""),
     "postgres": (
-        r"^(?<timestamp>\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d+)?(?: \w+)?) \[(?<pid>\d+)\](?: (?<user>[^@\s]+)@(?<database>\S+))? (?<severity>[A-Z]+\d?): +(?<message>(?:duration: (?<durationms>[\d.]+) ms)?(?: *(?:statement|execute [^:]*): (?<statement>.*))?.*)$",
-        "pid", "durationms",
+        rf"^(?<timestamp>{_TIME}) \[(?<pid>\d+)\](?: (?<user>[^@\s]+)@(?<database>\S+))? (?<severity>[A-Z]+\d?): +(?<message>(?:duration: (?<duration_ms>[\d.]+) ms)?(?: *(?:statement|execute [^:]*): (?<statement>.*))?.*)$",
+        "pid", "duration_ms",
     ),
     "haproxy": (
-        r"^(?:.*?haproxy\[\d+\]: )?(?<clientip>[\d.a-fA-F:]+):(?<clientport>\d+) \[(?<timestamp>[^\]]+)\] (?<frontend>\S+) (?<backend>[^/\s]+)/(?<server>\S+) (?<tq>-?\d+)/(?<tw>-?\d+)/(?<tc>-?\d+)/(?<tr>-?\d+)/(?<tt>\+?-?\d+) (?<status>-?\d+) (?<bytes>\+?\d+) \S+ \S+ (?<termstate>\S+)"
-        r"(?: (?<actconn>\d+)/(?<feconn>\d+)/(?<beconn>\d+)/(?<srvconn>\d+)/(?<retries>\+?\d+) \d+/\d+)?(?: (?:\{[^}]*\} ?)*)?(?: ?\"(?<method>\S+) (?<uri>\S+)(?: (?<protocol>[^\"]*))?\")?",
-        "clientport tq tw tc tr tt status bytes actconn feconn beconn srvconn retries", "",
+        r"^(?:.*?haproxy\[\d+\]: )?(?<client_ip>[\d.a-fA-F:]+):(?<client_port>\d+) \[(?<timestamp>[^\]]+)\] (?<frontend>[^\s~]+)~? (?<backend>[^/\s]+)/(?<server>\S+) (?<tq>-?\d+)/(?<tw>-?\d+)/(?<tc>-?\d+)/(?<tr>-?\d+)/\+?(?<tt>-?\d+) (?<status>-?\d+) \+?(?<bytes>\d+) \S+ \S+ (?<term_state>\S+)"
+        r'(?: (?<actconn>\d+)/(?<feconn>\d+)/(?<beconn>\d+)/(?<srv_conn>\d+)/\+?(?<retries>\d+) \d+/\d+)?(?: (?:\{[^}]*\} ?)*)?(?: ?"(?<method>\S+) (?<uri>\S+)(?: (?<protocol>[^"]*))?")?',
+        "client_port tq tw tc tr tt status bytes actconn feconn beconn srv_conn retries", "",
     ),
     "mysql_slow": (
-        r"(?s)^(?:# Time: (?<timestamp>\S+(?: \S+)?)\s+)?# User@Host: (?<user>[^\[\s]+)\[[^\]]*\] @ *(?<host>\S*) *\[(?<clientip>[^\]]*)\](?: +Id: +(?<connectionid>\d+))?\s+(?:# Schema: (?<schema>\S+).*?\n)?# Query_time: (?<querytime>[\d.]+) +Lock_time: (?<locktime>[\d.]+) +Rows_sent: (?<rowssent>\d+) +Rows_examined: (?<rowsexamined>\d+)\s+(?:SET timestamp=\d+;\s+)?(?<statement>.*)$",
-        "connectionid rowssent rowsexamined", "querytime locktime",
+        r"(?s)^(?:# Time: (?<timestamp>\S+(?: \S+)?)\s+)?# User@Host: (?<user>[^\[\s]+)\[[^\]]*\] @ *(?<host>\S*) *\[(?<client_ip>[^\]]*)\](?: +Id: +(?<connection_id>\d+))?\s+(?:# Schema: (?<schema>\S+).*?\n)?# Query_time: (?<query_time>[\d.]+) +Lock_time: (?<lock_time>[\d.]+) +Rows_sent: (?<rows_sent>\d+) +Rows_examined: (?<rows_examined>\d+)\s+(?:SET timestamp=\d+;\s+)?(?<statement>.*?);*\s*$",
+        "connection_id rows_sent rows_examined", "query_time lock_time",
+    ),
+    "cef": (
+        rf"(?s)^(?:.*?)CEF:(?<cef_version>\d+)\|(?<device_vendor>{_HEADER})\|(?<device_product>{_HEADER})\|(?<device_version>{_HEADER})\|(?<signature_id>{_HEADER})\|(?<name>{_HEADER})\|(?<severity>{_HEADER})(?:\|(?<extension>.*))?$",
+        "cef_version", "",
+    ),
+    "leef": (
+        r"(?s)^\s*(?i:LEEF):(?<leef_version>[\d.]+)\|(?<device_vendor>[^|]*)\|(?<device_product>[^|]*)\|(?<device_version>[^|]*)\|(?<event_id>[^|]*)(?:\|(?:(?<delimiter>0[xX][0-9a-fA-F]{2}|[^=|])\|)?(?<extension>.*))?$",
+        "", "leef_version",
     ),
-    "cef": (r"(?s)^(?:.*?)CEF:(?<cefversion>\d+)\|(?<devicevendor>(?:[^|\\]|\\.)*)\|(?<deviceproduct>(?:[^|\\]|\\.)*)\|(?<deviceversion>(?:[^|\\]|\\.)*)\|(?<signatureid>(?:[^|\\]|\\.)*)\|(?<name>(?:[^|\\]|\\.)*)\|(?<severity>(?:[^|\\]|\\.)*)\|(?<extension>.*)$", "cefversion", ""),
-    "leef": (r"(?s)^(?:.*?)LEEF:(?<leefversion>[\d.]+)\|(?<devicevendor>[^|]*)\|(?<deviceproduct>[^|]*)\|(?<deviceversion>[^|]*)\|(?<eventid>[^|]*)\|(?<extension>.*)$", "", ""),
-}
-#: Java's group names have no underscores: how fields are called outside (fixed values).
-_SPELL = {
-    "useragent": "user_agent", "procid": "procid", "structureddata": "structured_data", "clientip": "client_ip", "client_ip": "client_ip", "clientport": "client_port", "errorcode": "error_code", "rolechar": "role_char", "levelchar": "level_char",
-    "durationms": "duration_ms", "termstate": "term_state", "srvconn": "srv_conn", "connectionid": "connection_id", "querytime": "query_time", "locktime": "lock_time", "rowssent": "rows_sent", "rowsexamined": "rows_examined",
-    "cefversion": "cef_version", "devicevendor": "device_vendor", "deviceproduct": "device_product", "deviceversion": "device_version", "signatureid": "signature_id", "leefversion": "leef_version", "eventid": "device_event_id",
 }
 _FACILITIES = "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp audit alert clock local0 local1 local2 local3 local4 local5 local6 local7".split()
-_SEVERITIES = "emerg alert crit err warning notice info debug".split()
-_ROLES = {"M": "master", "S": "replica", "C": "child", "X": "sentinel"}
+_SEVERITIES = "emergency alert critical error warning notice info debug".split()
+_ROLES = {"M": "master", "S": "replica", "C": "rdb_child", "X": "sentinel"}
 _REDIS_LEVELS = {".": "debug", "-": "verbose", "*": "notice", "#": "warning"}
 DYNAMIC = ("json", "logfmt", "kv", "docker", "w3c")
 NAMES = [*FIXED, *DYNAMIC, "regex", "pattern"]
+#: Stands before each group of a text that a regex has taken apart; texts don't hold it.
+_MARK = "\x1f"
 
 
 def group_names(pattern: str) -> list[str]:
     return re.findall(r"\(\?<([A-Za-z]\w*)>", pattern)
 
 
-def by_regex(col: Column, pattern: str, keep_empty: bool = True) -> tuple[Column, dict[str, Column]]:
-    """(matched, field columns) of a regex with named groups; a group that takes no part is null."""
-    names = group_names(pattern)
+def taken_apart(col: Column, pattern: str) -> Column:
+    """The named groups of a regex in col as an array, after one run of the regex; null if it doesn't match.
+
+    Where it is used several times it must be a column of its own, so that it is made once.
+    """
     java = re.sub(r"\(\?<([A-Za-z]\w*)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
-    numbered, n = {}, 0
-    for m in re.finditer(r"\\.|\[(?:[^\]\\]|\\.)*\]|\((?!\?)|\(\?<([A-Za-z]\w*)>", java):
-        if m[0][0] == "(":
-            n += 1
-            if m[1]:
-                numbered[m[1]] = n
-    ok = col.rlike(java)
-    value = lambda i: F.when(ok, F.nullif(F.regexp_extract(col, java, i), F.lit("")))
-    return ok, {name: value(numbered[name.replace("_", "")]) for name in names}
-
-
-def fixed(name: str, col: Column) -> tuple[Column, dict[str, Column]]:
+    whole = ("" if re.match(r"(\(\?s\))?\^", java) else r"^(?s:.*?)") + f"(?:{java})" + ("" if java.endswith("$") else r"(?s:.*)$")
+    marked = F.regexp_replace(col, whole, "".join(_MARK + "${" + n.replace("_", "") + "}" for n in group_names(pattern)) or _MARK)
+    return F.when(marked.startswith(_MARK), F.split(F.substring(marked, 2, F.length(marked)), _MARK, -1))
+
+
+def by_regex(groups: Column, pattern: str) -> tuple[Column, dict[str, Column]]:
+    """(matched, field columns) of a regex with named groups, from what taken_apart gave; a group that takes no part is null."""
+    return groups.isNotNull(), {n: F.nullif(groups[i], F.lit("")) for i, n in enumerate(group_names(pattern))}
+
+
+def fixed(name: str, groups: Column) -> tuple[Column, dict[str, Column]]:
+    """The fields of a fixed format, from what taken_apart gave."""
     pattern, ints, floats = FIXED[name]
-    ok, raw = by_regex(col, pattern)
-    out = {}
-    for k, c in raw.items():
-        c = c.try_cast("bigint") if k in ints.split() else c.try_cast("double") if k in floats.split() else c
-        out[_SPELL.get(k, k)] = c
-    if name == "combined" or name == "clf":
+    ok, out = by_regex(groups, pattern)
+    if name in ("combined", "clf"):
+        out = {k: F.nullif(c, F.lit("-")) for k, c in out.items()}
+    if name == "cef":
+        plain = lambda c: F.regexp_replace(c, r"\\([|\\])", "$1")
+        out = {k: c if k in ("extension", "cef_version") else plain(c) for k, c in out.items()}
+    out = {k: c.try_cast("bigint") if k in ints.split() else c.try_cast("double") if k in floats.split() else c for k, c in out.items()}
+    if name in ("combined", "clf"):
+        words = F.split(out["request"], " ")
+        out |= {"method": words[0], "uri": F.try_element_at(words, F.lit(2)), "protocol": F.try_element_at(words, F.lit(3))}
+    if name == "nginx_error":
+        tail = out.pop("tail")
+        for k in ("client", "server", "request", "upstream", "host", "referrer"):
+            out[k] = F.nullif(F.regexp_replace(F.regexp_extract(tail, rf', {k}: ("[^"]*"|[^,]*)', 1), '^"|"$', ""), F.lit(""))
         words = F.split(out["request"], " ")
-        extra = {"method": words[0], "uri": F.try_element_at(words, F.lit(2)), "protocol": F.try_element_at(words, F.lit(3))}
-        out = {k: v for k, v in out.items()} | extra
+        out |= {"method": words[0], "uri": F.try_element_at(words, F.lit(2))}
     if name == "syslog":
-        out["appname"], out["procid"] = F.coalesce(out["appname"], out.pop("app5")), F.coalesce(out["procid"], out.pop("proc5"))
+        out["appname"], out["procid"] = F.coalesce(out["appname"], out.pop("new_appname")), F.coalesce(out["procid"], out.pop("new_procid"))
         p = out["priority"]
         out |= {"facility": F.floor(p / 8).cast("bigint"), "severity": (p % 8).cast("bigint")}
         out["facility_name"] = F.try_element_at(F.array(*map(F.lit, _FACILITIES)), (out["facility"] + 1).cast("int"))
@@ -109,6 +120,18 @@ def fixed(name: str, col: Column) -> tuple[Column, dict[str, Column]]:
     return ok, out
 
 
+def leef_pairs(extension: Column, delimiter: Column) -> Column:
+    """key=value pairs of a LEEF text, between tabs or the character its header names."""
+    hexed = F.when(F.length(delimiter) == 4, F.char(F.conv(F.substring(delimiter, 3, 2), 16, 10).cast("int")))
+    by = F.coalesce(hexed, delimiter, F.lit("\t"))
+    each = F.filter(F.split(F.translate(extension, _MARK, " "), F.concat(F.lit(r"\Q"), by, F.lit(r"\E"))), lambda x: x.contains("="))
+    keyed = F.transform(each, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("value")))
+    # of equal keys the last counts
+    names = F.transform(keyed, lambda e: e.key)
+    last = F.filter(keyed, lambda e, i: i == F.size(keyed) - F.array_position(F.reverse(names), e.key))
+    return F.when(F.size(keyed) > 0, F.map_from_entries(last))
+
+
 def _mapped(c: Column, names: dict[str, str]) -> Column:
     return F.coalesce(*(F.when(c == k, F.lit(v)) for k, v in names.items()))
 

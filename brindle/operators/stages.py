@@ -411,7 +411,10 @@ def parse(f: Frame, formats_: list[tuple[str, dict]], from_: str = "_raw", into=
     src = text(Typed(q(from_), f.df.schema[from_].dataType))
     if any(name == "w3c" and not given.get("fields") for name, given in formats_):
         f = _with_w3c_header(f, src)
-    tried = [(name, *_fields(f, name, given, src, wanted)) for name, given in formats_]
+    # each regex runs once for a row: what it takes apart is a column of its own
+    regexes = {f"__m{i}": r for i, (name, given) in enumerate(formats_) if (r := _regex(name, given)) is not None}
+    f = f.to(f.df.withColumns({c: fm.taken_apart(src, r) for c, r in regexes.items()}), sorted_by=f.sorted_by) if regexes else f
+    tried = [(name, *_fields(f, name, given, src, wanted, q(f"__m{i}"))) for i, (name, given) in enumerate(formats_)]
     names: dict[str, list[tuple[Column, Column]]] = {}
     for _, ok, fields in tried:
         for n, c in fields.items():
@@ -457,7 +460,15 @@ def parse(f: Frame, formats_: list[tuple[str, dict]], from_: str = "_raw", into=
         df = df.withColumn("_error", F.coalesce(kept, F.when(failed, F.lit(f"parse:{label}: no match"))))
         if "_error_detail" not in f.columns:
             df = df.withColumn("_error_detail", F.when(failed, detail))
-    return f.to(df.drop(W3C))
+    return f.to(df.drop(W3C, *regexes))
+
+
+def _regex(name: str, given: dict) -> str | None:
+    if name == "regex":
+        return given["text"].replace("(?P<", "(?<")
+    if name == "pattern":
+        return fm.pattern_regex(given["text"])
+    return fm.FIXED[fm.known(name)][0] if name in fm.FIXED else None
 
 
 def _w3c_header(src: Column) -> Column:
@@ -475,12 +486,11 @@ def _with_w3c_header(f: Frame, src: Column) -> Frame:
     return f.to(f.df.withColumn(W3C, F.lit(headers[0]["h"] if headers else None).cast("string")), sorted_by=f.sorted_by)
 
 
-def _fields(f: Frame, name: str, given: dict, src: Column, wanted: dict) -> tuple[Column, dict[str, Column]]:
+def _fields(f: Frame, name: str, given: dict, src: Column, wanted: dict, groups: Column) -> tuple[Column, dict[str, Column]]:
     fm.known(name)
-    if name == "regex":
-        return fm.by_regex(src, given["text"].replace("(?P<", "(?<"))
-    if name == "pattern":
-        return fm.by_regex(src, fm.pattern_regex(given["text"]))
+    if name in ("regex", "pattern"):
+        ok, out = fm.by_regex(groups, _regex(name, given))
+        return F.when(src.isNotNull(), ok), out
     if name in ("json", "docker"):
         value = F.try_parse_json(src)
         ok = F.when(src.isNotNull(), F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)))
@@ -502,20 +512,20 @@ def _fields(f: Frame, name: str, given: dict, src: Column, wanted: dict) -> tupl
         parts, data = F.split(line, r"\s+"), (line != "") & ~line.startswith("#")
         value = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit("-"))
         if given.get("fields"):
-            return F.when(src.isNotNull(), data), {n: F.when(data, value(i)) for i, n in enumerate(given["fields"].split())}
+            return F.when(src.isNotNull(), data), {n.replace("-", "_"): F.when(data, value(i)) for i, n in enumerate(given["fields"].split())}
         headers = [r["h"] for r in f.df.select(_w3c_header(src).alias("h")).filter("h is not null").distinct().orderBy("h").collect()]
         if not headers:
             raise QueryError("w3c needs a #Fields: line or w3c(fields=...)")
         at: dict[str, Column] = {}
         for h in headers:
-            for i, n in enumerate(h.split()):
+            for i, n in enumerate(h.replace("-", "_").split()):
                 at[n] = (at[n] if n in at else F).when(F.col(W3C) == h, value(i))
         ok = data & F.col(W3C).isNotNull()
         return F.when(src.isNotNull(), ok), {n: F.when(ok, c) for n, c in at.items()}
-    ok, out = fm.fixed(name, src)
+    ok, out = fm.fixed(name, groups)
     if name in ("cef", "leef"):
         ext = out.pop("extension")
-        m = fm.pairs(ext, "\t" if name == "leef" else None, "=")
+        m = fm.leef_pairs(ext, out.pop("delimiter")) if name == "leef" else fm.pairs(ext, None, "=")
         if name == "cef":  # values hold spaces: a value ends before the next key=
             keys = F.regexp_extract_all(ext, F.lit(r"(?:^|\s)([\w.]+)=((?:[^=\\]|\\.)*)(?=\s[\w.]+=|$)"), F.lit(1))
             values = F.regexp_extract_all(ext, F.lit(r"(?:^|\s)([\w.]+)=((?:[^=\\]|\\.)*)(?=\s[\w.]+=|$)"), F.lit(2))

@@ -123,7 +123,7 @@ def test_parse_formats(spark):
         "mysql_slow": "# User@Host: root[root] @ localhost [1.2.3.4]  Id: 7\n# Query_time: 1.5  Lock_time: 0.1 Rows_sent: 3  Rows_examined: 9\nselect 1",
         "docker": '{"log": "hello\\n", "stream": "stdout", "time": "2026-02-10T08:12:03Z"}',
     }
-    want = {"combined": ("status", 200), "syslog": ("severity_name", "crit"), "nginx_error": ("client", "1.2.3.4"), "apache_error": ("error_code", "AH00001"), "redis": ("level", "notice"), "postgres": ("duration_ms", 1.5), "haproxy": ("tt", 10), "cef": ("msg", "two words"), "leef": ("dst", "5.6.7.8"), "mysql_slow": ("rows_examined", 9), "docker": ("log", "hello")}
+    want = {"combined": ("status", 200), "syslog": ("severity_name", "critical"), "nginx_error": ("client", "1.2.3.4"), "apache_error": ("error_code", "AH00001"), "redis": ("level", "notice"), "postgres": ("duration_ms", 1.5), "haproxy": ("tt", 10), "cef": ("msg", "two words"), "leef": ("dst", "5.6.7.8"), "mysql_slow": ("rows_examined", 9), "docker": ("log", "hello")}
     for name, line in lines.items():
         e.catalog.add(name, spark.createDataFrame([(line,)], "_raw string"))
         r = e.query(f"from {name} | parse {name}").first()
@@ -131,6 +131,24 @@ def test_parse_formats(spark):
         assert r["_error"] is None
 
 
+def test_parse_format_fields(spark):
+    e = Engine(spark, now=NOW)
+    for name, line, want in [
+        ("syslog", "<165>1 2026-02-10T08:12:03Z host app 77 ID [a b=\"c\"] hello", {"facility_name": "local4", "severity_name": "notice", "structured_data": '[a b="c"]', "msgid": "ID", "procid": "77", "message": "hello"}),
+        ("syslog", "Feb 10 08:12:03 host app[9]: hi", {"priority": None, "severity_name": None, "appname": "app", "procid": "9", "format": "rfc3164"}),
+        ("redis", "9:C 10 Feb 2026 08:12:03.456 # saved", {"role": "rdb_child", "level": "warning", "message": "saved"}),
+        ("leef", "LEEF:2.0|v|p|1|e|0x5E|a=1^b=x=y", {"event_id": "e", "leef_version": 2.0, "a": 1, "b": "x=y"}),
+        ("leef", "LEEF:1.0|v|p|1|e|a=1\tb=2", {"event_id": "e", "a": 1, "b": 2}),
+        ("clf", '1.2.3.4 - - [10/Feb/2026:08:12:03 +0000] "GET /x HTTP/1.1" 200 -', {"user": None, "ident": None, "bytes": None, "uri": "/x"}),
+        ("nginx_error", "2026/01/01 00:00:00 [warn] 1#1: *0 simple, with comma", {"message": "simple, with comma", "client": None}),
+        ("mysql_slow", "# User@Host: r[r] @ h [1.2.3.4]\n# Query_time: 1.5  Lock_time: 0.1 Rows_sent: 3  Rows_examined: 9\nselect 1;\n", {"statement": "select 1", "connection_id": None}),
+        ("haproxy", '10.0.0.1:80 [01/Jan/2026:00:00:00.000] fe~ be/srv -1/0/-1/-1/0 503 0 - - CD-- 0/0/0/0/0 0/0 "GET / HTTP/1.0"', {"frontend": "fe", "tq": -1, "term_state": "CD--"}),
+    ]:
+        e.catalog.add("one", spark.createDataFrame([(line,)], "_raw string"))
+        r = e.query(f"from one | parse {name}").first()
+        assert {k: r[k] for k in want} == want and r["_error"] is None, (name, r)
+
+
 def test_analysis(engine):
     assert rows(engine, "from main | where exists(_time) | sessionize maxpause=10m by svc | sort id | keep _session_id", "_session_id") == [3, 3, 1, 2, 4]
     r = engine.query("from main | where exists(_time) and exists(svc) | transaction svc maxspan=10m | sort svc, _time").collect()
