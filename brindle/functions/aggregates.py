@@ -34,7 +34,7 @@ def percentile_of(agg: Agg, scope: Scope) -> float | None:
     return None
 
 
-def _numbers(agg: Agg, scope: Scope) -> Column:
+def numbers(agg: Agg, scope: Scope) -> Column:
     x = bind(agg.args[0], scope)
     c = x.col.try_cast("double") if x.kind == "string" else x.col.cast("double") if x.kind in ("int", "float", "bool") else F.try_variant_get(x.col, "$", "double") if x.kind == "any" else F.lit(None).cast("double")
     return F.when(predicate(agg.where, scope), c) if agg.where is not None else c
@@ -43,7 +43,7 @@ def _numbers(agg: Agg, scope: Scope) -> Column:
 def percentiles_of(aggs: list[Agg], scope: Scope) -> Column:
     """Percentiles of one value and condition as one array, in order of aggs."""
     shares = F.array(*(F.lit(percentile_of(a, scope)) for a in aggs))
-    x = _numbers(aggs[0], scope)
+    x = numbers(aggs[0], scope)
     return F.percentile_approx(x, shares, PERCENTILE_ACCURACY) if scope.approximate else F.percentile(x, shares)
 
 

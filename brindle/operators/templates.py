@@ -29,13 +29,13 @@ from operator import eq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.slots import GAP, HEAD_TOKENS, MOST, SEVERITY, form
+from brindle.functions.slots import GAP, HEAD_TOKENS, MOST, SEVERITY, SOME, form
 from brindle.plans.shared import small_side, work_path
 
 #: Share of the longer sequence that two must have in common to become one template.
 TAU = 0.6
 #: Sequences of one clustering task, and lines of a source in one window.
-SHARD_ITEMS, BLOCK_LINES = 4_000, 50_000
+SHARD_ITEMS, SHARD_BYTES, BLOCK_LINES = 4_000, 64 << 20, 50_000
 #: Cells of an exact table of common subsequences; longer pairs are split at symbols both hold once.
 CELLS = 4_000_000
 #: Symbols at the start of a line whose form two lines of one template share: heads come first.
@@ -292,58 +292,53 @@ def tokenised(lines: DataFrame, first_line: bool = False) -> DataFrame:
 
 
 def _round(items: DataFrame, column: str, shards: int, tau: float) -> DataFrame:
-    """(column, template): one round of clustering of distinct sequences, in that many shards."""
+    """items with their template: one round of clustering of distinct sequences (column), in that many shards."""
     by = F.pmod(F.xxhash64(column, F.lit(shards)), F.lit(shards))
+    kept = [c for c in items.columns if c != column]
+    fields = ", ".join(f"{c} {t}" for c, t in items.dtypes if c in (kept or [column]))
 
     def run(pdf):
-        import pandas as pd
-
-        texts = sorted(pdf[column].unique())
-        of, templates = cluster([s.split(_SEP) for s in texts], tau)
+        pdf = pdf.drop_duplicates(column).sort_values(column)
+        of, templates = cluster([s.split(_SEP) for s in pdf[column]], tau)
         made = [_SEP.join(t) for t in templates]
-        return pd.DataFrame({column: texts, "template": [made[k] for k in of]})
+        return pdf[kept or [column]].assign(template=[made[k] for k in of])
 
-    return items.select(column).groupBy(by.alias("shard")).applyInPandas(run, f"{column} string, template string")
+    return items.groupBy(by.alias("shard")).applyInPandas(run, f"{fields}, template string")
 
 
-def mine_templates(spark: SparkSession, sigs: DataFrame, at: str, tau: float = TAU, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """(sig, template) of sequences (sig): rounds of clustering in shards of about shard_items distinct sequences.
+def mine_templates(spark: SparkSession, lines: DataFrame, at: str, tau: float = TAU, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """(key, event, template) of each distinct sequence in lines, written below at: rounds of clustering in shards of about shard_items sequences and SHARD_BYTES.
 
     A round clusters what the one before left; the last one is a single shard, unless the
     templates themselves are too many for it and a round no longer makes them fewer.
     """
-    items, column, n, found, k = sigs.select("sig").distinct(), "sig", None, None, 0
-    count = sigs.select(F.approx_count_distinct("sig")).first()[0]
+    items, column, before, k = lines.filter("sig is not null").select("key", "event", "sig"), "sig", None, 0
+    steps: list[DataFrame] = []
     while True:
-        shards = max(1, -(-count // shard_items))
+        count, size = items.agg(F.approx_count_distinct(column) if k == 0 else F.count("*"), F.coalesce(F.sum(F.length(column)), F.lit(0))).first()
+        if before is not None and max(count, size * shard_items / SHARD_BYTES) > shard_items and count > 0.9 * before:
+            break
+        shards = max(1, -(-count // shard_items), -(-size // SHARD_BYTES))
         _round(items, column, shards, tau).write.parquet(f"{at}/round{k}")
-        step = spark.read.parquet(f"{at}/round{k}")
-        if found is None:
-            found = step
-        else:
-            found = found.withColumnRenamed("template", column).join(small_side(step), column).select("sig", "template")
+        steps.append(spark.read.parquet(f"{at}/round{k}"))
         if shards == 1:
             break
-        left = step.select("template").distinct()
-        n, count = count, left.count()
-        if count > shard_items and count > 0.9 * n:
-            break
-        k, column = k + 1, f"part{k}"
-        items = left.withColumnRenamed("template", column)
+        k, column, before = k + 1, f"part{k}", count
+        items = steps[-1].select(F.col("template").alias(column)).distinct()
+    found = steps[0]
+    for i, step in enumerate(steps[1:]):
+        found = found.withColumnRenamed("template", f"part{i}").join(small_side(step), f"part{i}").select("key", "event", "template")
+    if len(steps) > 1:
+        found.write.parquet(f"{at}/shapes")
+        found = spark.read.parquet(f"{at}/shapes")
     return found
 
 
-def _shapes(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, sig, event, template): lines that gave a sequence first, with its template."""
-    return lines.filter("sig is not null").select("key", "sig", "event").join(found, "sig")
-
-
 def slot_types(shapes: DataFrame, first_line: bool = False) -> DataFrame:
-    """(template, n, begins, types): what the slots of each template hold, over all of its sequences.
+    """(template, n, begins, levels, digits): what the slots of each template hold, over all of its sequences.
 
-    begins is the share of sequences that have a timestamp in their head; types holds, for the
-    places behind the timestamp, how many values there are and how many of them are levels and
-    have digits.
+    begins is the share of sequences that have a timestamp in their head; levels and digits
+    are the places behind the timestamp whose values are levels, or have digits.
     """
 
     def run(batches):
@@ -380,9 +375,10 @@ def slot_types(shapes: DataFrame, first_line: bool = False) -> DataFrame:
     counted = each.groupBy("template", "place").agg(F.sum("n").alias("n"), F.sum("levels").alias("levels"), F.sum("digits").alias("digits"))
     here = F.col("place") == ""
     # places are named by position and the marks beside them: few for each template, however many lines it has
+    named = lambda test: F.sort_array(F.collect_list(F.when(~here & test, F.col("place"))))
     return counted.groupBy("template").agg(
         F.max(F.when(here, F.col("n"))).alias("n"), F.max(F.when(here, F.col("levels") / F.col("n"))).alias("begins"),
-        F.map_from_entries(F.collect_list(F.when(~here, F.struct("place", F.struct((F.col("levels") / F.col("n")).alias("level"), (F.col("digits") / F.col("n")).alias("digit")))))).alias("types"),
+        named(F.col("levels") >= SOME * F.col("n")).alias("levels"), named(F.col("digits") >= MOST * F.col("n")).alias("digits"),
     )
 
 
@@ -391,8 +387,8 @@ ROLES = "key binary, stamp_from int, stamp_to int, level string, priority int, c
 
 def slot_roles(shapes: DataFrame, types: DataFrame, first_line: bool = False) -> DataFrame:
     """One row for each sequence whose template begins entries: which of its tokens are stamp, priority, component and message, and its level."""
-    known = types.filter(F.col("begins") >= MOST).select("template", "types")
-    typed = shapes.join(small_side(known), "template").select("key", "event", "template", F.map_keys("types").alias("p"), F.map_values("types").alias("v"))
+    known = types.filter(F.col("begins") >= MOST).select("template", "levels", "digits")
+    typed = shapes.join(small_side(known), "template").select("key", "event", "template", "levels", "digits")
 
     def run(batches):
         import pyarrow as pa
@@ -403,26 +399,25 @@ def slot_roles(shapes: DataFrame, types: DataFrame, first_line: bool = False) ->
         names = [w.split()[0] for w in ROLES.split(", ")]
         for b in batches:
             rows = []
-            read: dict[str, tuple[list[str], dict]] = {}
-            for key, event, template, p, v in zip(*(b.column(c).to_pylist() for c in ("key", "event", "template", "p", "v"))):
+            read: dict[str, list[str]] = {}
+            for key, event, template, has_level, has_digit in zip(*(b.column(c).to_pylist() for c in ("key", "event", "template", "levels", "digits"))):
                 x = S.tokenised(event.split("\n", 1)[0] if first_line else event)
                 stamp = S.stamp_of(x)
                 if stamp is None:
                     continue
-                if template not in read:
-                    read[template] = template.split(_SEP)[1:], dict(zip(p, v))
-                slots, share = S.aligned(read[template][0], x.symbols), read[template][1]
                 levels, digits = [], []
-                if slots is not None and stamp.pairs is None:
-                    for place in S.places(slots, x.symbols, stamp.end, min(len(slots), stamp.end + HEAD_TOKENS)):
-                        o = share.get(place)
-                        levels.append(o is not None and o["level"] >= S.SOME)
-                        digits.append(o is not None and o["digit"] >= MOST)
+                if stamp.pairs is None:
+                    if template not in read:
+                        read[template] = template.split(_SEP)[1:]
+                    slots = S.aligned(read[template], x.symbols)
+                    if slots is not None:
+                        at = S.places(slots, x.symbols, stamp.end, min(len(slots), stamp.end + HEAD_TOKENS))
+                        levels, digits = [p in has_level for p in at], [p in has_digit for p in at]
                 r = S.roles(x, stamp, levels, digits)
                 rows.append((key, *r.stamp, r.level, r.priority, *r.component, *r.message, r.json, template))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
-    return typed.mapInArrow(run, ROLES).dropDuplicates(["key"])
+    return typed.mapInArrow(run, ROLES)
 
 
 def mined(spark: SparkSession, lines: DataFrame, name: str, first_line: bool = False, tau: float = TAU, shard_items: int = SHARD_ITEMS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -430,8 +425,7 @@ def mined(spark: SparkSession, lines: DataFrame, name: str, first_line: bool = F
     at = work_path(spark, name)
     tokenised(lines, first_line).write.parquet(f"{at}/lines")
     found = spark.read.parquet(f"{at}/lines")
-    _shapes(found, mine_templates(spark, found.filter("sig is not null"), at, tau, shard_items)).write.parquet(f"{at}/shapes")
-    shapes = spark.read.parquet(f"{at}/shapes")
+    shapes = mine_templates(spark, found, at, tau, shard_items)
     slot_types(shapes, first_line).write.parquet(f"{at}/types")
     types = spark.read.parquet(f"{at}/types")
     slot_roles(shapes, types, first_line).write.parquet(f"{at}/roles")
@@ -536,10 +530,7 @@ def template_report(spark: SparkSession, lines: DataFrame) -> DataFrame:
     at = work_path(spark, "templates")
     tokenised(lines).write.parquet(f"{at}/lines")
     found = spark.read.parquet(f"{at}/lines")
-    of = mine_templates(spark, found.filter("sig is not null"), at)
-    _shapes(found, of).write.parquet(f"{at}/shapes")
-    shapes = spark.read.parquet(f"{at}/shapes")
-    keys = shapes.select("key", "template").dropDuplicates(["key"])
+    shapes = mine_templates(spark, found, at)
     counted = found.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"))
     types = slot_types(shapes).select("template", (F.col("begins") >= MOST).alias("begins"))
-    return counted.join(keys, "key").groupBy("template").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_shapes")).join(types, "template").select(shown("template").alias("template"), "begins", "n_lines", "n_shapes")
+    return counted.join(shapes.select("key", "template"), "key").groupBy("template").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_shapes")).join(types, "template").select(shown("template").alias("template"), "begins", "n_lines", "n_shapes")
