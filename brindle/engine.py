@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators.analysis import ANALYSIS, compare
-from brindle.operators.stages import ORD, STAGE_FUNCTIONS, Frame, join, orderable, union
+from brindle.operators.stages import ORD, STAGE_FUNCTIONS, Frame, join, orderable, partial, union
 from brindle.plans.binding import predicate
+from brindle.plans.shared import work_path
 from brindle.plans.syntax import STAGES, UNITS, Query, QueryError, Stage, parse, parse_expr, parse_stage
 from brindle.plans.views import Views
 from brindle.sources import sinks
@@ -78,17 +79,19 @@ class Engine:
     def query(self, text: str, since: str | None = None, until: str | None = None) -> DataFrame:
         return self.frame(text, since, until).result()
 
-    def frame(self, text: str, since: str | None = None, until: str | None = None) -> Frame:
+    def frame(self, text: str, since: str | None = None, until: str | None = None, dry: bool = False) -> Frame:
+        """dry: stages that write (tee, materialize) write nothing."""
         tree = parse(text)
         now = self.now or dt.datetime.now(dt.UTC)
         self.warnings = []
-        return Run(self, now, instant(since, now) if since else None, instant(until, now) if until else None).query(tree)
+        moving = any(t and instant(t, now) != instant(t, now + dt.timedelta(days=1)) for t in (since, until))
+        return Run(self, now, instant(since, now) if since else None, instant(until, now) if until else None, dry=dry, moving=moving).query(tree)
 
     def explain(self, text: str) -> str:
-        """The stages as understood, and Spark's plan for them."""
+        """The stages as understood, and Spark's plan for them; nothing is written."""
         tree = parse(text)
         lines = [f"let ${n}: " + " | ".join(s.text for s in ss) for n, ss in tree.lets.items()]
-        plan = self.query(text)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        plan = self.frame(text, dry=True).result()._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return "\n".join([*lines, *(f"{i}. {s.text}" for i, s in enumerate(tree.stages, 1)), plan])
 
     def table(self, name: str) -> Pipe:
@@ -135,12 +138,25 @@ class Engine:
 
     def refresh_view(self, name: str) -> None:
         """Run a view's own query again over all rows."""
-        stages = self.views._get(name).stages
+        v = self.views._get(name)
+        since, until = ((dt.datetime.fromisoformat(b) if b else None for b in v.bounds) if v.bounds and v.stages[0].args["range"] is None else (None, None))
+        run = Run(self, self.now or dt.datetime.now(dt.UTC), since, until)
+        self.views.refresh(name, run.stored(v.stages), run.stamp(v.stages[0]))
+
+    def append_to_view(self, name: str, rows: DataFrame, batch: str) -> None:
+        """Rows of a view's source as one more batch of it; a batch given again replaces itself."""
+        v = self.views._get(name)
         run = Run(self, self.now or dt.datetime.now(dt.UTC))
-        f = run.scan(stages[0])
-        for i in range(1, len(stages)):
-            f = run.stage(f, stages, i)
-        self.views.refresh(name, f.result())
+        self.views.append(name, run.stored(v.stages, Frame(rows, run.now, approximate=self.approximate)), batch)
+
+    def backfill(self, name: str, since: str, until: str) -> None:
+        """A view's query over a time range of its source, as a batch of that range; in slices, again and in any order."""
+        now = self.now or dt.datetime.now(dt.UTC)
+        low, high = instant(since, now), instant(until, now)
+        run = Run(self, now, low, high - dt.timedelta(microseconds=1))
+        first, *rest = self.views._get(name).stages
+        whole = Stage(first.name, {**first.args, "range": None}, first.text)  # the slice counts, not the view's own range
+        self.views.append(name, run.stored([whole, *rest]), f"backfill {low.isoformat()} {high.isoformat()}")
 
     def sources(self) -> DataFrame:
         return self.spark.createDataFrame([(n, ", ".join(self.catalog.open(n).df.columns)) for n in self.catalog.names()], "source string, fields string")
@@ -170,8 +186,9 @@ class Pipe:
 class Run:
     """One query being bound, stage by stage: what a stage makes decides what the next may name."""
 
-    def __init__(self, engine: Engine, now: dt.datetime, since=None, until=None, shift: dt.timedelta = dt.timedelta(0)):
-        self.e, self.now, self.since, self.until, self.shift = engine, now, since, until, shift
+    def __init__(self, engine: Engine, now: dt.datetime, since=None, until=None, shift: dt.timedelta = dt.timedelta(0), dry: bool = False, moving: bool = False):
+        """dry: nothing is written; moving: since and until depend on the time of the query."""
+        self.e, self.now, self.since, self.until, self.shift, self.dry, self.moving = engine, now, since, until, shift, dry, moving
         self.lets: dict[str, list[Stage]] = {}
         self.made: dict[str, Frame] = {}
 
@@ -196,15 +213,45 @@ class Run:
         stages = self.spliced(stages)
         if stages[0].name != "from":
             stages = [Stage("from", {"sources": [self.e.default], "range": None, "search": None}, "from " + self.e.default), *stages]
-        found = self.e.views.rewrite(stages) if not self.shift else None
+        found = self.e.views.rewrite(stages, self.absolute(stages), lambda: self.stamp(stages[0])) if not self.shift and self.e.views.known else None
         if found is not None:
             f, rest = Frame(found[0], self.now, keys=found[1]), found[2]
         else:
             f, rest = self.scan(stages[0]), 1
         for i in range(rest, len(stages)):
-            f = self.stage(f, stages, i)
+            self.before = before if i > rest else None
+            before, f = f, self.stage(f, stages, i)
         return f
 
+    def absolute(self, stages: list[Stage]) -> list[str | None] | None:
+        """The time bounds of a pipeline; None if they depend on the time of the query, or if it reads more than named sources."""
+        if stages[0].args["sources"][0].startswith("$") or any(s.name in ("join", "union", "compare") for s in stages):
+            return None
+        text = stages[0].args["range"]
+        if text is None:
+            return None if self.moving else [t.isoformat() if t else None for t in (self.since, self.until)]
+        found = bounds(text, self.now)
+        return [t.isoformat() for t in found] if found == bounds(text, self.now + dt.timedelta(days=1, hours=1)) else None
+
+    def stamp(self, first: Stage) -> str | None:
+        """What tells one state of the sources of a query from another: their files and sizes, else their plan."""
+        import hashlib
+
+        df = self.e.catalog.resolve(first.args["sources"]).df
+        files = sorted(df.inputFiles())
+        size = str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return hashlib.sha256("\n".join([*files, size] if files else [str(df.semanticHash())]).encode()).hexdigest()
+
+    def stored(self, stages: list[Stage], rows: Frame | None = None) -> DataFrame:
+        """What a view of these stages stores for the source's rows, or for the rows given."""
+        f = rows if rows is not None else self.scan(stages[0])
+        for i in range(1, len(stages) - 1):
+            f = self.stage(f, stages, i)
+        last = stages[-1]
+        if last.name == "stats" and (made := partial(f, last.args["aggs"], last.args["by"])) is not None:
+            return made[0].result()
+        return self.stage(f, stages, len(stages) - 1).result() if len(stages) > 1 else f.result()
+
     def spliced(self, stages: list[Stage]) -> list[Stage]:
         out: list[Stage] = []
         for s in stages:
@@ -257,19 +304,36 @@ class Run:
             if stages[0].args.get("range") is None and not (self.since or self.until):
                 raise QueryError("compare needs a time range", hint="from name[-1h]")
             shift = dt.timedelta(microseconds=int(s.args["shift"]))
-            before = Run(self.e, self.now, self.since, self.until, self.shift + shift)
+            before = Run(self.e, self.now, self.since, self.until, self.shift + shift, dry=True)
             before.lets = self.lets
             return compare(f, before.pipeline(stages[:i]), int(s.args["shift"]))
         if s.name == "tee":
+            if self.dry:
+                return f
+            # computed once: the rows written are those that go on
+            at = work_path(self.e.spark, "tee")
+            f.df.write.parquet(at)
+            f = f.to(self.e.spark.read.parquet(at), sorted_by=f.sorted_by)
             sinks.write(f.result(), s.args["path"])
             return f
         if s.name == "materialize":
             if i != len(stages) - 1:
                 raise QueryError("materialize must come last")
-            self.e.views.create(s.args["name"], stages[:i], f.result(), s.args.get("partition_by"), s.args.get("retention"))
+            if not self.dry:
+                self.materialize(f, stages[:i], s.args)
             return f
         raise QueryError(f"{s.name} isn't a stage here")
 
+    def materialize(self, f: Frame, stages: list[Stage], a: dict) -> None:
+        last = stages[-1]
+        options = {"partition_by": a.get("partition_by"), "retention": a.get("retention"), "bounds": self.absolute(stages), "stamp": None if stages[0].args["sources"][0].startswith("$") else self.stamp(stages[0])}
+        made = partial(self.before, last.args["aggs"], last.args["by"]) if last.name == "stats" and self.before is not None else None
+        if made is None:
+            df = f.result()
+            self.e.views.create(a["name"], stages, df, df.columns, **options)
+        else:
+            self.e.views.create(a["name"], stages, made[0].result(), f.columns, made[1], made[0].keys, **options)
+
 
 def check(text: str) -> None:
     """Raises QueryError if text isn't a query."""

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.aggregates import PERCENTILE_ACCURACY
 from brindle.functions.scalar import text
+from brindle.operators import runs
 from brindle.operators.stages import ORD, Frame, _keys, q, time_bucket
 from brindle.plans.binding import Typed, bind, predicate
 from brindle.plans.syntax import QueryError
@@ -29,9 +31,14 @@ def outliers(f: Frame, field: str, method: str = "iqr", threshold: float | None
         raise QueryError(f"outliers has no method {method}", hint="iqr, zscore or mad")
     values = f.df.select(x.alias("x")).filter("x is not null")
     zero = F.lit(0.0)
+    one_row = lambda n, **v: f.df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("__n"), *(F.lit(c).cast("double").alias(k) for k, c in v.items()))
     if method == "iqr":
-        one = values.agg(F.count("*").alias("__n"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("__p"))
-        q1, q3 = F.col("__p")[0], F.col("__p")[1]
+        if f.approximate:
+            one = values.agg(F.count("*").alias("__n"), F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.75)), PERCENTILE_ACCURACY).alias("__p")).select("__n", F.col("__p")[0].alias("__m"), F.col("__p")[1].alias("__s"))
+        else:
+            n, (low, high) = runs.quantiles(values, [0.25, 0.75])
+            one = one_row(n, __m=low, __s=high)
+        q1, q3 = F.col("__m"), F.col("__s")
         width = q3 - q1
         away = F.greatest(q1 - x, x - q3, zero)
         score = F.when(width > 0, away / width).otherwise(F.when(away > 0, F.lit(float("inf"))).otherwise(zero))
@@ -41,29 +48,42 @@ def outliers(f: Frame, field: str, method: str = "iqr", threshold: float | None
         score = F.when(F.col("__s") > 0, F.abs(x - F.col("__m")) / F.col("__s")).otherwise(zero)
         flag, least = score > t, 2
     else:
-        middle = values.agg(F.count("*").alias("__n"), F.percentile("x", F.lit(0.5)).alias("__m"))
-        spread = values.join(F.broadcast(middle)).agg(F.percentile(F.abs(F.col("x") - F.col("__m")), F.lit(0.5)).alias("__d"))
-        one = middle.join(F.broadcast(spread))
+        if f.approximate:
+            middle = values.agg(F.count("*").alias("__n"), F.percentile_approx("x", F.lit(0.5), PERCENTILE_ACCURACY).alias("__m"))
+            spread = values.join(F.broadcast(middle)).agg(F.percentile_approx(F.abs(F.col("x") - F.col("__m")), F.lit(0.5), PERCENTILE_ACCURACY).alias("__d"))
+            one = middle.join(F.broadcast(spread))
+        else:
+            n, (middle,) = runs.quantiles(values, [0.5])
+            _, (spread,) = runs.quantiles(values.select(F.abs(F.col("x") - F.lit(middle).cast("double")).alias("x")), [0.5])
+            one = one_row(n, __m=middle, __d=spread)
         score = F.when(F.col("__d") > 0, F.abs(x - F.col("__m")) * 0.6745 / F.col("__d")).otherwise(zero)
         flag, least = score > t, 3
     fine = x.isNotNull() & (F.col("__n") >= least)
     df = f.df.join(F.broadcast(one))
     df = df.withColumn("_score", F.when(fine, score).otherwise(zero)).withColumn("_outlier", F.coalesce(fine & flag, F.lit(False)))
-    return f.to(df.drop(*(c for c in ("__n", "__p", "__m", "__s", "__d"))))
+    return f.to(df.drop(*(c for c in ("__n", "__m", "__s", "__d"))))
 
 
 def sessionize(f: Frame, maxpause: int = HALF_HOUR, by=()) -> Frame:
     """_session_id (1, 2, ... by keys and start), _session_start, _session_end; a gap longer than maxpause begins a session."""
+    is_new = lambda before: (before.isNull() | q("_time").isNull() | (F.unix_micros("_time") - F.unix_micros(before) > int(maxpause))).cast("int")
+    ends = [F.min("_time").alias("_session_start"), F.max("_time").alias("_session_end")]
+    if not by:
+        df = runs.blocked(f.df.withColumn("__at", F.struct(q("_time"), f.ord().alias("o"))), "__at")
+        df = runs.carried(df, {"__t": (F.max("_time"), F.max)})
+        df = df.withColumn("__new", is_new(F.coalesce(F.lag("_time").over(Window.partitionBy(runs.BLOCK).orderBy("__at")), "__t")))
+        df = runs.carried(df, {"__c": (F.sum("__new"), F.sum)}).withColumn("_session_id", F.sum("__new").over(runs.inside("__at")) + F.coalesce("__c", F.lit(0).cast("bigint")))
+        one = df.groupBy(F.col("_session_id").alias("__s")).agg(*ends)
+        return f.to(df.join(one, q("_session_id") == q("__s")).drop("__s", "__new", "__t", "__c", "__at", runs.BLOCK))
     keys = [(f"__g{i}", c) for i, (_, c, _) in enumerate(_keys(f, by))]
-    df = f.df.withColumns(dict(keys)) if keys else f.df
+    df = f.df.withColumns(dict(keys))
     names = [n for n, _ in keys]
     w = Window.partitionBy(*names).orderBy(q("_time"), f.ord())
-    gap = F.unix_micros("_time") - F.unix_micros(F.lag("_time").over(w))
-    df = df.withColumn("__new", (gap.isNull() | (gap > int(maxpause))).cast("int"))
+    df = df.withColumn("__new", is_new(F.lag("_time").over(w)))
     df = df.withColumn("__s", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    one = df.groupBy(*names, "__s").agg(F.min("_time").alias("_session_start"), F.max("_time").alias("_session_end"))
-    # one row for each session, not for each event
-    one = one.withColumn("_session_id", F.row_number().over(Window.orderBy(*(q(n).asc_nulls_first() for n in names), "_session_start")).cast("bigint"))
+    # one row for each session, numbered in ranges of keys and start
+    one = df.groupBy(*names, "__s").agg(*ends).withColumn("__at", F.struct(*names, "_session_start", "__s"))
+    one = runs.numbered(runs.ranged(one, F.col("__at")), "__at", "_session_id").withColumn("_session_id", F.col("_session_id").cast("bigint"))
     right = one.select(*(q(n).alias(f"{n}r") for n in [*names, "__s"]), "_session_id", "_session_start", "_session_end")
     on = q("__s") == q("__sr")
     for n in names:
@@ -119,7 +139,10 @@ def correlate(f: Frame, a: str, b: str, method: str = "pearson") -> Frame:
     """One row; null for fewer than two pairs, 0 where a side has no variance. Ranks of spearman ignore ties."""
     pairs = f.df.select(_number(f, a).alias("a"), _number(f, b).alias("b"), f.ord().alias("o")).filter("a is not null and b is not null")
     if method == "spearman":
-        pairs = pairs.select(F.row_number().over(Window.orderBy("a", "o")).cast("double").alias("a"), F.row_number().over(Window.orderBy("b", "o")).cast("double").alias("b"))
+        for side in ("a", "b"):
+            placed = pairs.withColumn("__at", F.struct(side, "o"))
+            pairs = runs.numbered(runs.ranged(placed, F.col("__at")), "__at", f"__{side}").drop("__at", runs.BLOCK)
+        pairs = pairs.select(F.col("__a").cast("double").alias("a"), F.col("__b").cast("double").alias("b"))
     elif method != "pearson":
         raise QueryError(f"correlate has no method {method}", hint="pearson or spearman")
     one = pairs.agg(F.count("*").alias("_n"), F.corr("a", "b").alias("c"))
@@ -211,6 +234,10 @@ _MASKS = (
 )
 
 
+#: First words that lead to a leaf of the tree.
+LEAF_WORDS = 2
+
+
 def patterns(f: Frame, field: str = "_raw", max_templates: int = 50, similarity: float = 0.4) -> Frame:
     """pattern, count, percent, example: masked texts grouped exactly, then merged where enough of their words agree."""
     s = text(Typed(q(field), f.df.schema[field].dataType)) if field in f.columns else F.lit(None).cast("string")
@@ -219,12 +246,16 @@ def patterns(f: Frame, field: str = "_raw", max_templates: int = 50, similarity:
         masked = F.regexp_replace(masked, m, "<*>")
     df = f.df.select(F.trim(masked).alias("m"), s.alias("s")).filter("m is not null")
     exact = df.groupBy("m").agg(F.count("*").alias("n"), F.min("s").alias("example"))
-    keyed = exact.withColumn("w", F.size(F.split("m", r"\s+"))).withColumn("k", F.regexp_replace(F.substring_index(F.col("m"), " ", 1), r".*\d.*|.*<\*>.*", "<*>"))
-    need = float(similarity)
+    # the leaf of a tree of depth four: number of words, then the first words, those with digits as one
+    words = F.split("m", r"\s+")
+    first = F.transform(F.slice(words, 1, LEAF_WORDS), lambda t: F.when(t.rlike(r"\d|<\*>"), F.lit("<*>")).otherwise(t))
+    keyed = exact.withColumn("w", F.size(words)).withColumn("k", F.array_join(first, " "))
+    need, leaf = float(similarity), "w int, k string, m string, n bigint, example string"
 
     def merge(pdf):
         import pandas as pd
 
+        w, k = pdf["w"].iat[0], pdf["k"].iat[0]
         pdf = pdf.sort_values(["n", "m"], ascending=[False, True])
         made: list[list] = []
         for m, n, e in zip(pdf["m"], pdf["n"], pdf["example"]):
@@ -239,9 +270,11 @@ def patterns(f: Frame, field: str = "_raw", max_templates: int = 50, similarity:
                 made[at][1] += n
             else:
                 made.append([words, n, e])
-        return pd.DataFrame([(" ".join(t), n, e) for t, n, e in made], columns=["pattern", "count", "example"])
+        return pd.DataFrame([(w, k, " ".join(t), n, e) for t, n, e in made], columns=["w", "k", "m", "n", "example"])
 
-    merged = keyed.groupBy("w", "k").applyInPandas(merge, "pattern string, count bigint, example string")
+    # first in lots of each leaf, then what those left of it
+    lots = keyed.groupBy("w", "k", F.pmod(F.xxhash64("m"), F.lit(64))).applyInPandas(merge, leaf)
+    merged = lots.groupBy("w", "k", "m").agg(F.sum("n").alias("n"), F.min("example").alias("example")).groupBy("w", "k").applyInPandas(merge, leaf).select(F.col("m").alias("pattern"), F.col("n").alias("count"), "example")
     merged = merged.groupBy("pattern").agg(F.sum("count").alias("count"), F.min("example").alias("example"))
     total = exact.agg(F.sum("n").alias("__n"))
     out = merged.join(F.broadcast(total)).select("pattern", "count", F.round(F.col("count") * 100.0 / F.col("__n"), 2).alias("percent"), "example")

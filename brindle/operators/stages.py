@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions import formats as fm
-from brindle.functions.aggregates import build, percentile_of, percentiles_of, window_column
+from brindle.functions.aggregates import build, numbers, percentile_of, percentiles_of, window_column
 from brindle.functions.scalar import FUNCTIONS, bin_micros, text
+from brindle.operators import runs
 from brindle.plans.binding import Scope, Typed, bind, kind, predicate
 from brindle.plans.syntax import Agg, QueryError
 
@@ -147,6 +148,27 @@ def stats(f: Frame, aggs: list[Agg], by=()) -> Frame:
     return Frame(df, f.now, keys=tuple(n for n, _, _ in keys), approximate=f.approximate)
 
 
+def partial(f: Frame, aggs: list[Agg], by=()) -> tuple[Frame, list[list]] | None:
+    """(keys and mergeable state of a stats stage, what each state is); None if an aggregate doesn't merge."""
+    from brindle.plans.views import kind_of, state_columns
+
+    kinds = [kind_of(a, f.scope()) for a in aggs]
+    if not aggs or any(k is None for k in kinds):
+        return None
+    cols, state = [], []
+    for i, (a, (kind_, share)) in enumerate(zip(aggs, kinds)):
+        test = predicate(a.where, f.scope()) if a.where is not None else None
+        number = numbers(a, f.scope()) if a.args else None
+        value = text(bind(a.args[0], f.scope())) if a.args else None
+        made = state_columns(kind_, build(a, f.scope(), f.ord()), number, F.when(test, value) if test is not None else value)
+        names = [f"{a.alias}#{i}.{j}" for j in range(len(made))]
+        cols += [c.alias(n) for c, n in zip(made, names)]
+        state.append([a.alias, kind_, share, names])
+    keys = _keys(f, by)
+    df = (f.df.groupBy(*(c.alias(n) for n, c, _ in keys)) if keys else f.df.groupBy()).agg(*cols)
+    return Frame(df, f.now, keys=tuple(n for n, _, _ in keys), approximate=f.approximate), state
+
+
 def _attach(f: Frame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """Columns of totals at every row of its group; no window, so that a group may be of any size."""
     if not keys:
@@ -176,13 +198,75 @@ def eventstats(f: Frame, aggs: list[Agg], by=()) -> Frame:
     return f.to(out.drop(*(n for n in names if n.startswith("__g"))))
 
 
+#: Aggregates whose running value follows from that of the blocks before; the others hold all values they have seen.
+CUMULATIVE = "count sum rate avg min max stdev var stdevp varp sumsq range first last earliest latest running_sum row_number per_second per_minute per_hour per_day".split()
+
+
 def streamstats(f: Frame, aggs: list[Agg], by=(), window: int = 0, current: bool = True) -> Frame:
+    """Running aggregates of each group. Without groups they run over blocks of rows (brindle.operators.runs), but for those that hold all values seen so far."""
     scope = f.scope()
-    w = Window.partitionBy(*(c for _, c, _ in _keys(f, by))).orderBy(f.ord())
-    low = Window.unboundedPreceding if not window or window <= 0 else -(window - 1) if current else -window
-    framed = w.rowsBetween(low, 0 if current else -1)
-    cols = {a.alias: window_column(a, scope, f.ord(), w, framed) for a in aggs}
-    return f.to(f.df.withColumns(cols))
+    bounded = bool(window and window > 0)
+    low = Window.unboundedPreceding if not bounded else -(window - 1) if current else -window
+    if by:
+        w = Window.partitionBy(*(c for _, c, _ in _keys(f, by))).orderBy(f.ord())
+        return f.to(f.df.withColumns({a.alias: window_column(a, scope, f.ord(), w, w.rowsBetween(low, 0 if current else -1)) for a in aggs}))
+    names = {id(a): f"__o{i}" for i, a in enumerate(aggs)}
+    reach = [a for a in aggs if a.name in ("lag", "lead", "moving_avg") or bounded and a.name not in ("row_number", "running_sum")]
+    running = [a for a in aggs if a not in reach and a.name in CUMULATIVE]
+    df = f.df.withColumn(ORD, f.ord())
+    if running:
+        df = _running(df, running, names, scope, current)
+    if reach:
+        rows = lambda a: int(bind(a.args[1], scope).value) if len(a.args) > 1 and a.name in ("lag", "lead", "moving_avg") else 1 if a.name in ("lag", "lead") else window or 0
+        made = {names[id(a)]: window_column(a, scope, F.col(ORD), runs.piece(), runs.piece().rowsBetween(low, 0 if current else -1)) for a in reach}
+        df = runs.framed(df, ORD, made, max((rows(a) for a in reach if a.name != "lead"), default=0), max((rows(a) for a in reach if a.name == "lead"), default=0))
+    w = Window.partitionBy().orderBy(F.col(ORD))
+    df = df.withColumns({a.alias: q(names[id(a)]) if a in reach or a in running else window_column(a, scope, F.col(ORD), w, w.rowsBetween(low, 0 if current else -1)) for a in aggs})
+    return f.to(df.drop(*names.values()))
+
+
+def _running(df: DataFrame, aggs: list[Agg], names: dict, scope: Scope, current: bool) -> DataFrame:
+    df = runs.blocked(df, ORD)
+    r = {c: runs.Running(ORD, c) for c in (True, False)}
+    middles = {}
+    for a in aggs:
+        x = bind(a.args[0], scope) if a.args else None
+        test = predicate(a.where, scope) if a.where is not None else None
+        kept = (lambda c, t=test: F.when(t, c)) if test is not None else (lambda c: c)
+        own = r[True if a.name in ("running_sum", "row_number") else current]
+        rate = {"per_minute": 60, "per_hour": 3600, "per_day": 86400}.get(a.name, 1)
+        if a.name in ("count", "rate"):
+            out = own.count(kept(x.col if x is not None and a.name == "count" else F.lit(1)))
+            out = out if a.name == "count" else out / F.lit(1.0)
+        elif a.name == "row_number":
+            out = own.count(F.lit(1))
+        elif a.name in ("min", "max"):
+            out = own.extreme(kept(text(x) if x.kind in ("any", "object") else x.col), a.name == "min")
+        elif a.name in ("first", "earliest"):
+            out = own.first(kept(x.col), F.col(ORD))
+        elif a.name in ("last", "latest"):
+            out = own.last(kept(x.col), F.col(ORD))
+        else:
+            v = numbers(a, scope)
+            if a.name == "range":
+                out = own.extreme(v, False) - own.extreme(v, True)
+            elif a.name == "avg":
+                out = own.sum(v) / F.nullif(own.count(v), F.lit(0))
+            elif a.name == "sumsq":
+                out = own.sum(v * v)
+            elif a.name in ("sum", "running_sum") or a.name.startswith("per_"):
+                out = own.sum(v) * F.lit(float(rate)) if rate != 1 else own.sum(v)
+            else:
+                middle = f"__mid{len(middles)}"
+                middles[middle] = F.avg(v)
+                spread = own.spread(v, F.col(middle), a.name in ("stdev", "var"))
+                out = F.sqrt(spread) if a.name.startswith("stdev") else spread
+        own.out[names[id(a)]] = out
+    if middles:
+        df = df.join(F.broadcast(df.agg(*(c.alias(n) for n, c in middles.items()))))  # one row
+    for one in r.values():
+        df = one.applied(df) if one.out else df
+    return df.drop(runs.BLOCK, *middles)
 
 
 def sort(f: Frame, keys: list[tuple[str, bool]]) -> Frame:
@@ -306,11 +390,14 @@ def describe(f: Frame) -> Frame:
     named = [(c, f.df.schema[c].dataType) for c in f.columns]
     long = f.df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.lit(kind(t)).alias("type"), text(Typed(q(c), t)).alias("v")) for c, t in named))).alias("s")).select("s.*")
     counted = long.groupBy("field", "type", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("field").orderBy(F.col("v").isNull(), F.desc("n"), "v")
-    rows = counted.withColumn("rank", F.row_number().over(w)).groupBy("field", "type").agg(
-        F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("present"), F.count("v").alias("distinct_est"),
-        F.array_sort(F.collect_list(F.when((F.col("rank") <= 5) & F.col("v").isNotNull(), F.struct("rank", "v", "n")))).alias("t"),
-    )
+    sums = counted.groupBy("field", "type").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("present"), F.count("v").alias("distinct_est"))
+    # the most frequent of each of many lots first, so that no task ranks all values of a field
+    best = [F.desc("n"), F.col("v")]
+    lots = counted.filter("v is not null").withColumn("lot", F.pmod(F.xxhash64("v"), F.lit(256)))
+    few = lots.withColumn("rank", F.row_number().over(Window.partitionBy("field", "lot").orderBy(*best))).filter("rank <= 5")
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(*best))).filter("rank <= 5")
+    tops = ranked.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("rank", "v", "n"))).alias("t"))
+    rows = sums.join(tops, "field", "left").withColumn("t", F.coalesce("t", F.array().cast("array<struct<rank:int,v:string,n:bigint>>")))
     out = rows.join(F.broadcast(total)).select(
         "field", "type", F.coalesce(F.try_divide(F.coalesce("present", F.lit(0)).cast("double"), F.col("__n").cast("double")), F.lit(0.0)).alias("coverage"), "distinct_est", F.transform("t", lambda x: F.struct(x.v.alias("value"), x.n.alias("count"))).alias("top_values")
     )
@@ -386,6 +473,12 @@ def baseline(f: Frame, field: str, window: int, by=()) -> Frame:
 
 def changes(f: Frame, field: str, by=()) -> Frame:
     """Rows whose value differs from the previous non-null one of its group, in time order."""
+    if not by:
+        df = runs.blocked(f.df.withColumn(ORD, f.ord()).withColumn("__c", F.struct(*(["_time"] if "_time" in f.columns else []), ORD)), "__c")
+        r = runs.Running("__c", False)
+        r.out = {f"previous_{field}": r.last(q(field), F.col("__c"))}
+        out = r.applied(df).drop(runs.BLOCK, "__c")
+        return f.to(out.filter(q(field).isNotNull() & q(f"previous_{field}").isNotNull() & (q(field) != q(f"previous_{field}"))))
     order = F.struct("_time", f.ord()) if "_time" in f.columns else f.ord()
     w = Window.partitionBy(*(c for _, c, _ in _keys(f, by))).orderBy(order)
     prev = F.last(q(field), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -477,9 +570,13 @@ def _w3c_header(src: Column) -> Column:
 
 def _with_w3c_header(f: Frame, src: Column) -> Frame:
     """Each row with the last #Fields: line at or before it in its source, in row order."""
-    if ORD in f.df.columns:
-        by = Window.partitionBy(*([q("_source")] if "_source" in f.columns else [])).orderBy(F.col(ORD)).rowsBetween(Window.unboundedPreceding, 0)
+    if ORD in f.df.columns and "_source" in f.columns:
+        by = Window.partitionBy(q("_source")).orderBy(F.col(ORD)).rowsBetween(Window.unboundedPreceding, 0)
         return f.to(f.df.withColumn(W3C, F.last(_w3c_header(src), ignorenulls=True).over(by)), sorted_by=f.sorted_by)
+    if ORD in f.df.columns:
+        r = runs.Running(ORD, True)
+        r.out = {W3C: r.last(_w3c_header(src), F.col(ORD))}
+        return f.to(r.applied(runs.blocked(f.df, ORD)).drop(runs.BLOCK), sorted_by=f.sorted_by)
     headers = f.df.select(_w3c_header(src).alias("h")).filter("h is not null").distinct().limit(2).collect()
     if len(headers) > 1:
         raise QueryError("w3c: several #Fields: lines need a source with an order")

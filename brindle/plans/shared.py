@@ -34,9 +34,37 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
+def _files(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written anew."""
+    hadoop, files = _files(spark, path)
+    out = files.create(hadoop, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    hadoop, files = _files(spark, path)
+    stream = files.open(hadoop)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """The files in a folder; none if it isn't there."""
+    hadoop, files = _files(spark, path)
+    return sorted(f.getPath().toString() for f in files.listStatus(hadoop)) if files.exists(hadoop) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    hadoop, files = _files(spark, path)
+    files.delete(hadoop, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

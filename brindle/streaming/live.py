@@ -98,17 +98,10 @@ def tail(batch: DataFrame, stream: DataFrame, n: int = 10) -> tuple[DataFrame, D
     return last.orderBy("_time"), stream.filter(F.col("_time") > F.lit(seen)) if seen is not None else stream
 
 
-def keep_view(stream: DataFrame, engine, name: str, text: str, checkpoint: str):
-    """A stream that appends each micro-batch's partial results to a materialized view."""
-
-    def add(batch: DataFrame, _: int) -> None:
-        from brindle.engine import Run
-
-        run = Run(engine, dt.datetime.now(dt.UTC))
-        f = Frame(batch, run.now)
-        stages = parse(text).stages
-        for i in range(1, len(stages)):
-            f = run.stage(f, stages, i)
-        engine.views.append(name, f.result())
+def keep_view(stream: DataFrame, engine, name: str, checkpoint: str):
+    """A stream that appends each micro-batch's partial results to a materialized view; a batch that is tried again replaces itself."""
+
+    def add(rows: DataFrame, number: int) -> None:
+        engine.append_to_view(name, rows, f"stream {number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -172,20 +172,123 @@ def test_trace_terminates(spark):
 
 
 def test_views(engine):
-    engine.query('from main | stats count() as n, sum(ms) as s by svc, status | materialize "v"')
+    engine.query('from main | stats count() as n, sum(ms) as s, avg(ms) as a, range(ms) as r by svc, status | materialize "v"')
     direct = Engine(engine.spark, now=NOW)
     direct.catalog = engine.catalog
-    text = "from main | stats count() as n, sum(ms) as s by svc"
+    text = "from main | stats count() as n, sum(ms) as s, avg(ms) as a by svc"
     assert sorted(engine.query(text).collect(), key=str) == sorted(direct.query(text).collect(), key=str)
-    assert "parquet" in engine.explain(text)
-    engine.views.append("v", engine.query("from logs-a | stats count() as n, sum(ms) as s by svc, status"))
+    assert "batch" in engine.explain(text)  # read from the view's folders
+    more = engine.catalog.open("logs-a").df
+    for _ in range(2):  # the same batch again takes its own place
+        engine.append_to_view("v", more, "b1")
     assert engine.query("from v | stats sum(n) as n").first()["n"] == 8.0
+    whole = engine.query("from v | stats sum(n) as n, sum(s) as s by svc").collect()
+    assert engine.query(text).collect() and "batch" not in engine.explain(text)  # it now holds more than its source
     engine.refresh_view("v")
-    assert engine.query("from v | stats sum(n) as n").first()["n"] == 6.0
+    assert engine.query("from v | stats sum(n) as n").first()["n"] == 6.0 and whole
     engine.views.delete("v")
     assert not engine.views.has("v")
 
 
+def test_views_answer_only_for_their_own_time_and_rows(spark, tmp_path):
+    path, store = str(tmp_path / "src"), "file://" + str(tmp_path / "views")
+    rows = spark.range(100).select(F.col("id"), (F.col("id") % 4).alias("k"), F.timestamp_seconds(F.unix_timestamp(F.lit(NOW)) - F.col("id") * 3600).alias("t"))
+    rows.write.parquet(path)
+    def fresh():
+        e = Engine(spark, now=NOW, store=store)
+        e.catalog.add("x", spark.read.parquet(path), time="t")
+        return e
+
+    e, q = fresh(), "from x | stats count() as n by k"
+    n = lambda e, text=q, **o: sum(r.n for r in e.query(text, **o).collect())
+    e.query(q + ' | materialize "all"')
+    assert n(e) == 100 and n(e, since="-10h") == 11 and n(e, text="from x[-10h] | stats count() as n by k") == 11
+    e.query('from x[-10h] | stats count() as n by k | materialize "late"')
+    e.now = NOW - dt.timedelta(days=1)
+    assert n(e, text="from x[-10h] | stats count() as n by k") == 11  # of the day before
+    # another session knows the views, and a source that has changed is read itself
+    again = fresh()
+    assert {v["name"] for v in again.views.list()} == {"all", "late"} and "batch" in again.explain(q)
+    rows.limit(5).write.mode("append").parquet(path)
+    changed = fresh()
+    assert n(changed) == 105 and "batch" not in changed.explain(q)
+    changed.refresh_view("all")
+    assert n(changed) == 105 and "batch" in fresh().explain(q)
+
+
+def test_views_backfill_alter_and_expire(spark, tmp_path):
+    e = Engine(spark, store="file://" + str(tmp_path / "v"))
+    now = dt.datetime.now(dt.UTC)
+    e.catalog.add("x", spark.createDataFrame([(now - dt.timedelta(days=d), d) for d in range(10)], "_time timestamp, d bigint"))
+    e.query('from x | where d < 0 | stats count() as n by bin(_time, 1d) | materialize "empty"')
+    e.query('from x | every 1d stats count() as n | materialize "days"')
+    e.query('from x[-3d..now] | stats count() as n, max(d) as m | materialize "slice"')
+    for _ in range(2):
+        e.backfill("slice", "-20d", "-5d")
+    assert e.query("from slice").first()["m"] == 9
+    assert e.query("from days").count() == 10 and e.query("from empty").count() == 0
+    e.views.alter("days", retention=4 * 86_400_000_000)
+    kept = e.query("from days").count()
+    e.views.expire("days")
+    again = Engine(spark, store="file://" + str(tmp_path / "v"))
+    assert kept < 7 and again.query("from days").count() == kept and again.views.list()[0]["created"]
+
+
+def test_sketches_in_views(spark):
+    e = Engine(spark, now=NOW, approximate=True)
+    e.catalog.add("n", spark.range(20_000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 4).alias("g")))
+    q = "from n | stats dc(v) as d, p50(v) as p by g"
+    e.query(q + ' | materialize "s"')
+    r = e.query("from n | stats dc(v) as d, p50(v) as p").first()
+    assert abs(r.d - 20_000) < 1_500 and abs(r.p - 10_000) < 300 and e.query("from s").count() == 4
+
+
+def test_tee_writes_once_and_not_for_plans(spark, tmp_path):
+    e = Engine(spark, now=NOW)
+    e.catalog.add("x", spark.createDataFrame([(NOW, 1)], "_time timestamp, a bigint"))
+    at = str(tmp_path / "tee")
+    text = f'from x[-2h] | tee "{at}" | stats count() as n | compare previous 1h'
+    e.explain(text)
+    assert not (tmp_path / "tee").exists()
+    assert e.query(text).count() == 1 and spark.read.json(at).count() == 1
+
+
+def test_running_without_groups(spark, monkeypatch):
+    """Blocks against one window over all rows; and no plan that brings all rows into one task."""
+    from pyspark.sql import Window
+
+    from brindle.operators import runs
+
+    monkeypatch.setattr(runs, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(runs, "FEW", 20)
+    rows = spark.range(200).select("id", F.when(F.col("id") % 11 != 0, F.timestamp_seconds(F.col("id") * 37 % 3_000)).alias("_time"), F.when(F.col("id") % 5 != 0, (F.col("id") * 7919 % 101).cast("double")).alias("v"), (F.col("id") % 3).alias("g")).repartition(4)
+    e = Engine(spark, now=NOW)
+    e.catalog.add("r", rows, order=("id",))
+    w = Window.orderBy("_time", "id")
+    want = {r.id: r for r in rows.select("id", "_time", "v", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.stddev_samp("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("d"), F.avg("v").over(w.rowsBetween(-3, 0)).alias("m"), F.lag("v", 2).over(w).alias("l"), F.lead("v").over(w).alias("n"), F.row_number().over(w).alias("i"), F.min("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("lo"), F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("f"), F.count("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("c"), F.avg("v").over(w.rowsBetween(-10, -1)).alias("b"), F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("p")).collect()}
+    near = lambda a, b: a == b or (a is not None and b is not None and abs(a - b) < 1e-9 * max(1, abs(b)))
+    for text in ("from r", "from r | sort _time, id"):
+        got = {r.id: r for r in e.query(text + " | streamstats sum(v) as s, stdev(v) as d, moving_avg(v, 4) as m, lag(v, 2) as l, lead(v) as n, row_number() as i, min(v) as lo, first(v) as f").collect()}
+        if "sort" not in text:
+            assert all(near(getattr(got[k], c), getattr(r, c)) for k, r in want.items() for c in ("s", "d", "m", "l", "n", "i", "lo", "f"))
+        assert len(got) == 200 and got[1].s is not None
+    got = {r.id: r for r in e.query("from r | streamstats current=false count(v) as c").collect()}
+    assert all(got[k].c == r.c for k, r in want.items())
+    got = {r.id: r for r in e.query("from r | baseline v window=10").collect()}
+    assert all(near(got[k].baseline_avg, r.b) for k, r in want.items())
+    changed = {r.id for r in e.query("from r | changes v").collect()}
+    assert changed == {k for k, r in want.items() if r.v is not None and r.p is not None and r.v != r.p}
+    one = {r.id: r for r in e.query("from r | sessionize maxpause=5s").collect()}
+    assert len(one) == 200 and {r._session_id for r in one.values()} == set(range(1, max(r._session_id for r in one.values()) + 1)) and all(r._session_start is None or r._session_start <= r._time <= r._session_end for r in one.values() if r._time)
+    n, q = runs.quantiles(rows.select(F.col("v").alias("x")).filter("x is not null"), [0.0, 0.25, 0.5, 0.9, 1.0])
+    assert (n, q) == (160, rows.agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.9, 1.0))))).first()[0])
+    for text in ("streamstats sum(v) as s, lag(v) as l", "baseline v window=10", "changes v", "sessionize maxpause=5s", "sessionize maxpause=5s by g", "correlate id v method=spearman", "describe", "outliers field=v", "outliers field=v method=mad"):
+        plan = e.explain(f"from r | {text}")
+        for part in plan.split("Exchange")[1:]:
+            if "SinglePartition" in part[:400]:
+                assert "__block" in part[:400] or "avg" in part[:900] or "count" in part[:900] or "corr" in part[:900] or "Range" in plan, (text, part[:900])
+
+
 def test_time_ranges():
     assert instant("-1h", NOW) == NOW - dt.timedelta(hours=1)
     assert instant("@d", NOW) == dt.datetime(2026, 2, 10, tzinfo=dt.UTC)
