@@ -52,16 +52,32 @@ def message_id(msg_id: Column, fields_json: Column, event: Column) -> Column:
 
 
 def locate(df: DataFrame) -> DataFrame:
-    """(source, id, row_id, file, pos) of the rows that state an identifier; df must be read from Parquet."""
+    """(source, id, row_id, file, pos) of the rows that state an identifier; df must be read from Parquet. A file is known by a number, the hash of its path."""
     return df.select(
         F.coalesce(F.col("source"), F.lit("\0")).alias("source"),
         message_id(F.col("msg_id"), F.col("fields_json"), F.col("event")).alias("id"),
         F.col("row_id"),
-        F.col("_metadata.file_path").alias("file"),
+        F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("pos"),
     ).filter("id is not null")
 
 
+#: Digits of a place behind those of its row_id: nine of the file's number, ten of the position in it.
+_SHIFT = 10**19
+
+
+def _place() -> Column:
+    """row_id, file and position as one number of fixed width, which hash aggregation can hold; it orders by row_id first."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    behind = wide(F.pmod("file", F.lit(10**9))) * F.lit(10**10) + wide(F.col("pos"))
+    return (wide(F.col("row_id")) * F.lit(str(_SHIFT)).cast("decimal(38,0)") + behind).cast("decimal(38,0)")
+
+
+def _row_id(place: Column) -> Column:
+    shift = F.lit(str(_SHIFT)).cast("decimal(38,0)")
+    return F.call_function("div", (place - F.pmod(place, shift)).cast("decimal(38,0)"), shift)
+
+
 def surplus(located: DataFrame) -> DataFrame:
     """(row_id_a, row_id_b, file, pos) of each delivery that isn't the first of its message.
 
@@ -69,7 +85,8 @@ def surplus(located: DataFrame) -> DataFrame:
     so their broadcast is bounded) find their winner without a shuffle; in the join their
     key is spread over all tasks.
     """
-    place = F.struct("row_id", "file", "pos")
+    located = located.withColumn("place", _place())
+    place = F.col("place")
     winners = (
         located.groupBy("source", "id").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     )
@@ -87,7 +104,7 @@ def surplus(located: DataFrame) -> DataFrame:
         marked.join(cold, ["source", "key"], "left")
         .withColumn("first", F.coalesce("hot_first", "first"))
         .filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place))
-        .select(F.col("first.row_id").alias("row_id_a"), F.col("row_id").alias("row_id_b"), "file", "pos")
+        .select(_row_id(F.col("first")).alias("row_id_a"), F.col("row_id").alias("row_id_b"), "file", "pos")
     )
 
 
@@ -115,7 +132,7 @@ def keep_first_delivery(spark: SparkSession, path: str, vector_bytes: int = VECT
     names = {k: free_name(df, k) for k in ("file", "bucket", "bits", "pos")}
     wide = df.select(
         "*",
-        F.col("_metadata.file_path").alias(names["file"]),
+        F.xxhash64("_metadata.file_path").alias(names["file"]),
         F.col("_metadata.row_index").alias(names["pos"]),
     )
     # every bitmap has BLOCK / 8 bytes, so their number bounds the size
@@ -133,6 +150,14 @@ def keep_first_delivery(spark: SparkSession, path: str, vector_bytes: int = VECT
     return wide.mapInArrow(_apply_from(at, names), df.schema)
 
 
+def _arrow_uri(at: str) -> str:
+    """A path of Hadoop's as Arrow names it."""
+    for scheme, name in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/")):
+        if at.startswith(scheme):
+            return name + at[len(scheme) :]
+    return at if ":" in at.split("/")[0] else "file://" + at
+
+
 def _apply_from(at: str, names: dict[str, str]):
     """Reads, per file, only that file's vectors from the shared folder."""
 
@@ -142,7 +167,7 @@ def _apply_from(at: str, names: dict[str, str]):
         import pyarrow.dataset as ds
         from pyarrow import fs
 
-        where, root = fs.FileSystem.from_uri(at)
+        where, root = fs.FileSystem.from_uri(_arrow_uri(at))
         stored = ds.dataset(root, filesystem=where, format="parquet")
         known: dict[str, dict[int, np.ndarray]] = {}
         for b in batches:

@@ -7,9 +7,10 @@ Catalyst expressions.
 
 Policies:
 - explicit offset or Z: that instant; no zone or a zone abbreviation: the zone of the source;
-- an ambiguous local time (clocks set back), a date without a year and digits whose
-  order nothing settles leave several instants: the latest not after received_at,
-  the earliest of all if every one is later (or received_at is null: the earliest);
+- an ambiguous local time (clocks set back) with a zone abbreviation of summer or standard
+  time: the one it names; without one, and for a date without a year and digits whose order
+  nothing settles, several instants are left: the latest not after received_at, the
+  earliest of all if every one is later (or received_at is null: the earliest);
 - a nonexistent local time (clocks set forward) is read with the offset before the change;
 - digits beyond microseconds are cut off;
 - null, blank and placeholder texts, and texts no pattern accepts, state no time (null);
@@ -26,6 +27,9 @@ from brindle.plans.shared import fence, small_side
 #: Texts that state no time (fixed values).
 PLACEHOLDERS = ("", "-", "--", "null", "none", "nil", "n/a", "na", "nan", "unknown", "undefined", "?")
 
+#: Abbreviations of summer time, and of standard time (fixed values).
+SUMMER, STANDARD = "^([A-Z]{1,3}DT|CEST|EEST|WEST|MEST|MESZ|BST|IST)$", "^(CET|EET|WET|MET|MEZ|GMT|[A-Z]{1,3}ST)$"
+
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 _MONTH = r"([A-Za-z]{3})[A-Za-z]{0,6}\.?"
@@ -147,6 +151,7 @@ def with_instant(df: DataFrame, text: Column, zone: Column, order: Column, recei
             "__hour": _number(p[4]), "__minute": _number(p[5]), "__second": F.coalesce(_number(p[6]), F.lit(0)),
             "__micros": _micros(p[7]),
             "__half": F.lower(p[8]),
+            "__abbr": F.upper(p[9]),
             "__kind": p[0],
         }
     ).drop("__p")
@@ -182,7 +187,9 @@ def with_instant(df: DataFrame, text: Column, zone: Column, order: Column, recei
     # read with the offset before a change of clocks and with the one after: an overlap has two valid instants
     read = F.transform(c("__locals"), lambda x: F.struct(x.alias("local"), to_utc(x).alias("u"), (to_utc(x + day) - day).alias("v")))
     back = lambda x: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(x.v), c("__zone"))) == x.local
-    both = F.flatten(F.transform(read, lambda x: F.when((x.u == x.v) | ~back(x), F.array(x.u)).otherwise(F.array(x.u, x.v))))
+    # clocks go back from summer to standard time: an abbreviation that names one of them settles which
+    two = lambda x: F.when(c("__abbr").rlike(SUMMER), F.array(F.least(x.u, x.v))).when(c("__abbr").rlike(STANDARD), F.array(F.greatest(x.u, x.v))).otherwise(F.array(x.u, x.v))
+    both = F.flatten(F.transform(read, lambda x: F.when((x.u == x.v) | ~back(x), F.array(x.u)).otherwise(two(x))))
     step = step.withColumn(
         "__all",
         F.when(c("__offset").isNotNull(), F.transform(c("__locals"), lambda x: x - c("__offset"))).when(F.size("__locals") > 0, both),

@@ -49,6 +49,10 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
     assert dedup.keep_first_delivery(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_paths_as_arrow_names_them():
+    assert [dedup._arrow_uri(p) for p in ("s3a://b/x", "dbfs:/x/y", "hdfs://h/x", "file:///x", "/tmp/x")] == ["s3://b/x", "file:///dbfs/x/y", "hdfs://h/x", "file:///x", "file:///tmp/x"]
+
+
 def test_hot_message(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(dedup, "HOT_ROWS", 5)
     path = deliveries(spark, tmp_path, [(i, "same" if i % 3 == 0 else f"m{i}", "s", None, None) for i in range(60)], False)
@@ -78,10 +82,10 @@ def test_instants(spark):
 
 
 def test_folded_time_and_open_order_take_the_latest_possible(spark):
-    df = spark.createDataFrame([(1, "2025-10-26 02:30:00", dt.datetime(2025, 10, 26, 0, 45)), (2, "05/10/2025 00:00:00", dt.datetime(2025, 6, 1)), (3, "05/10/2025 00:00:00", dt.datetime(2024, 1, 1)), (4, "2025-10-20T00:00:00Z", None)], "row_id bigint, event_time string, received_at timestamp").withColumns({"source": F.lit("s"), "event": F.lit("")})
+    df = spark.createDataFrame([(1, "2025-10-26 02:30:00", dt.datetime(2025, 10, 26, 0, 45)), (2, "05/10/2025 00:00:00", dt.datetime(2025, 6, 1)), (3, "05/10/2025 00:00:00", dt.datetime(2024, 1, 1)), (4, "2025-10-20T00:00:00Z", None), (5, "2025-10-26 02:30:00 CEST", dt.datetime(2025, 11, 1)), (6, "2025-10-26 02:30:00 CET", dt.datetime(2025, 11, 1)), (7, "2025-10-26 02:30:00 XYZ", dt.datetime(2025, 11, 1))], "row_id bigint, event_time string, received_at timestamp").withColumns({"source": F.lit("s"), "event": F.lit("")})
     src = spark.createDataFrame([("s", "Europe/Berlin", None)], "source string, tz string, date_order string")
     got = {r.row_id: r.utc_us for r in instants.found_times(df, src).collect()}
-    assert got == {1: at(2025, 10, 26, 0, 30), 2: at(2025, 5, 9, 22), 3: at(2025, 5, 9, 22), 4: at(2025, 10, 20)}
+    assert got == {1: at(2025, 10, 26, 0, 30), 2: at(2025, 5, 9, 22), 3: at(2025, 5, 9, 22), 4: at(2025, 10, 20), 5: at(2025, 10, 26, 0, 30), 6: at(2025, 10, 26, 1, 30), 7: at(2025, 10, 26, 1, 30)}
 
 
 def test_entry_states_the_time_only_in_its_head(spark):
