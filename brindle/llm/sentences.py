@@ -1,9 +1,11 @@
 """Sentence boundaries across languages and scripts.
 
 A pushdown automaton runs over each text. Its first level classifies lines (heading,
-list item, log or query line: one unit each; blank lines end a unit); over the rest it
+list item, log or query line: one unit each; blank lines end a unit) and keeps a stack of
+list levels, by which an indented line goes on the item it stands under; over the rest it
 keeps a stack of open quotations and brackets and emits a boundary at a terminator only
-with an empty stack. Abbreviations are held in a trie read backwards from the full stop.
+with an empty stack. Terminators are those of all scripts in Unicode. Abbreviations are
+held in a trie read backwards from the full stop; further ones may be given.
 
 Defined results: null, empty and blank texts give no units; texts of any length are read
 whole; an unclosed quotation or bracket counts as plain text; equal texts under several
@@ -20,24 +22,37 @@ from pyspark.sql import functions as F
 #: Abbreviations that never end a sentence, that end one only before a capital, and that don't before a digit (fixed values).
 NEVER = (
     "e.g i.e vs cf approx aprox esp insb bzw ca env ver p.ex p.ej z.b d.h u.a т.е т.к см напр viz al mr mrs ms. dr prof st hr fr sr sra ggf evtl vgl inkl zzgl "
-    "z d p т"
+    "z d p т gov sen capt sgt hon messrs mme mlle"
 ).split()
 MAY = "etc usw p.m a.m u.s u.k inc ltd corp co т.д т.п г гг ч мин сек bros jr".split()
 BEFORE_DIGIT = (
-    "no nr núm num n fig figs sec sect abs art pág pag pp p abb tab kap bd vol ch chap eq ref рис стр табл гл п "
+    "no nr núm num rs n fig figs sec sect abs art pág pag pp p abb tab kap bd vol ch chap eq ref рис стр табл гл п "
     "jan feb mar apr jun jul aug sep sept oct nov dec"
 ).split()
 _GERMAN_MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "“": "”", "„": "“", "‹": "›", "»": "«"}
 _QUOTES = set("\"«“„‹「『»")
-_ENDS = ".!?…。！？｡।॥؟۔‼⁇⁈⁉"
+#: Terminators that may also stand inside a sentence, or be followed by more of it.
+_OPEN_ENDS = ".!?…‼⁇⁈⁉"
+
+
+def _sentence_terminals() -> str:
+    """The characters that end sentences in any script, but for those above."""
+    import regex
+
+    planes = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x20000))))
+    return "".join(c for c in regex.findall(r"\p{Sentence_Terminal}", planes) if c not in _OPEN_ENDS)
+
+
+_FULL_ENDS = frozenset(_sentence_terminals())
+_ENDS = _FULL_ENDS | set(_OPEN_ENDS)
+_AFTER = _ENDS | set(")）”\"»」")
 _CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\uac00-\ud7af"
 _PARTICLES = set("とのがはをにでも的")
 _THAI = "\u0e01-\u0e3a\u0e40-\u0e4e"
-_EVENT = re.compile(rf"[{re.escape(_ENDS)}]+|[\"()\[\]{{}}（）【】「」『』《》〈〉«»“”„‹›]|(?<=[{_THAI}])\s+(?=[{_THAI}])")
+_EVENT = re.compile(rf"[{re.escape(''.join(sorted(_ENDS)))}]+|[\"()\[\]{{}}（）【】「」『』《》〈〉«»“”„‹›]|(?<=[{_THAI}])\s+(?=[{_THAI}])")
 _CJK_CHAR = re.compile(f"[{_CJK}]")
-_WORD_BEFORE = re.compile(r"[\w.’'-]*$")
 _SPECIAL = re.compile(
     r"[ \t]*(?:"
     r"(?P<heading>#{1,6}(?:\s|$))"
@@ -108,6 +123,37 @@ def _pairs(text: str, low: int, high: int) -> dict[int, int]:
     return out
 
 
+class _Words:
+    """Where the word before a place begins, in one pass over the text however long its words are."""
+
+    def __init__(self, text: str, low: int):
+        self.text, self.seen, self.first = text, low, low
+        self.of, self.letter, self.dot = -1, 0, 0
+
+    def before(self, i: int, start: int) -> tuple[int, bool]:
+        """(its first character, whether a dot stands between characters of it other than digits and dots)."""
+        text = self.text
+        for k in range(i - 1, self.seen - 1, -1):
+            if not (text[k].isalnum() or text[k] in "_.’'-"):
+                self.first = k + 1
+                break
+        self.seen = max(self.seen, i)
+        first = max(self.first, start)
+        if self.of != first:
+            self.of, self.letter = first, first
+            self.dot = -1
+        while self.letter < i and text[self.letter] in "0123456789.":
+            self.letter += 1
+            self.dot = -1
+        if self.dot < self.letter:
+            found = text.find(".", self.letter, i)
+            self.dot = found if found >= 0 else -1
+        last = i
+        while last > self.letter and text[last - 1] in "0123456789.":
+            last -= 1
+        return first, self.letter <= self.dot < last
+
+
 def _case(c: str) -> str:
     return "up" if c.isupper() else "low" if c.islower() else "digit" if c.isdigit() else "none"
 
@@ -121,6 +167,7 @@ def _block(text: str, low: int, high: int) -> list[int]:
         pairs = _pairs(text, low, high)
     start, at = low, low
     match = _EVENT.search
+    words = None
     while m := match(text, at, high):
         i, j, c = m.start(), m.end(), m[0][0]
         at = j
@@ -142,7 +189,7 @@ def _block(text: str, low: int, high: int) -> list[int]:
             if k >= high or text[at] in _ENDS:
                 continue
             begins = not text[start:i].strip()
-            n, cjk = text[k], inside[-1] in "。！？｡"
+            n, cjk = text[k], inside[-1] in "。！？｡．"
             quote = c in _QUOTES
             if cjk:
                 split = n not in _PARTICLES and (begins or not quote or k > at)
@@ -165,7 +212,7 @@ def _block(text: str, low: int, high: int) -> list[int]:
             break
         ahead = text[k]
         run = m[0]
-        if run[-1] in "。！？｡।॥؟۔" and "…" not in run:
+        if run[-1] in _FULL_ENDS and "…" not in run:
             split = True
         elif run[0] == "…" or (run.startswith("..") and set(run) == {"."}):
             split = _case(ahead) == "up" or (ahead in _OPEN or ahead == '"') and space
@@ -173,11 +220,13 @@ def _block(text: str, low: int, high: int) -> list[int]:
             token = re.match(r"\S*", text[j:high])[0]
             glued = bool(_CJK_CHAR.search(token))
             if run == ".":
-                before = _WORD_BEFORE.search(text, max(start, i - 40), i)[0]
-                plain = before and (before[-1].islower() or before[-1].isdigit()) and "." not in before.strip("0123456789.") and not before[:1].isupper()
+                words = words or _Words(text, low)
+                first, dotted = words.before(i, start)
+                before = text[max(first, i - 1) : i]
+                plain = before and (before.islower() or before.isdigit()) and not dotted and not text[first].isupper()
                 glued_word = bool(re.match(r"[^\W\d_][\w’'-]*[,:;!?.]*(?:\s|$)", token + " ")) and n.isupper()
                 opened = (n in _OPEN or n == '"') and j in pairs
-                split = bool(plain and (glued_word or opened)) or (glued and not n.isdigit() and not (before[-1:].isdigit() and n.isdigit()))
+                split = bool(plain and (glued_word or opened)) or (glued and not n.isdigit())
             else:
                 split = glued or n.isupper() or (n in _OPEN or n == '"') and j in pairs
         elif run != ".":
@@ -211,15 +260,17 @@ def _goes_on(line: str) -> bool:
         return False
     if line[-1] == ".":
         return _abbreviation(line, len(line) - 1, 0) in ("never", "digit")
-    return line[-1] not in _ENDS + ")）”\"»」"
+    return line[-1] not in _AFTER
 
 
 def units(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of each sentence unit, in code points."""
     if not text or text.isspace():
         return []
+    # (start, end); a start below 0 is one unit whatever it contains
     cuts: list[tuple[int, int]] = []
     at, block, last = 0, None, ""
+    levels: list[int] = []  # indentation of the list items that are open, the innermost last
     n = len(text)
     while at <= n:
         end = text.find("\n", at)
@@ -229,12 +280,24 @@ def units(text: str | None) -> list[tuple[int, int]]:
         m = _SPECIAL.match(line) if bare else None
         if m and block is not None and last and (m["bullet"] in ("–", "—") or m["number"] and _goes_on(last)):
             m = None  # a number or dash that a line break put first
+        depth = len(line) - len(line.lstrip(" \t")) if bare else -1
+        while levels and (depth < levels[-1] or depth == levels[-1] and not (m and (m["bullet"] or m["number"]))):
+            levels.pop()
+        if bare and not m and levels and depth > levels[-1]:
+            cuts[-1] = (cuts[-1][0], end)  # the item goes on
+            at = end + 1
+            continue
         if not bare or m:
             if block is not None:
                 cuts.append((block, at))
                 block = None
             if m:
                 cuts.append((-at - 1, end))
+                if m["bullet"] or m["number"]:
+                    if not levels or depth > levels[-1]:
+                        levels.append(depth)
+                else:
+                    levels.clear()
             last = ""
         else:
             block = at if block is None else block
@@ -259,12 +322,13 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_units(documents: DataFrame) -> DataFrame:
-    """doc_id, start_char, end_char of every unit of every document."""
+def sentence_units(documents: DataFrame, abbreviations: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, start_char, end_char of every unit of every document. abbreviations: further ones that never end a sentence, without their last full stop."""
 
     def run(batches):
         import pyarrow as pa
 
+        _trie([w.lower() for w in abbreviations], "never", _ABBREVIATIONS)
         for b in batches:
             ids, starts, ends = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -133,6 +133,8 @@ CASES = [
     ("画面には「保存。再試行。」と出た。本当か？！「満杯です。」待った……諦めた。", ["画面には「保存。再試行。」と出た。", "本当か？！", "「満杯です。」", "待った……諦めた。"]), ("控制台显示“已满。请稍候。”的提示。“已满。”版本1.2把它改了。", ["控制台显示“已满。请稍候。”的提示。", "“已满。”", "版本1.2把它改了。"]),
     ("ระบบล้ม 3 ครั้ง งานค้าง", ["ระบบล้ม 3 ครั้ง", "งานค้าง"]), ("मान बदल गया। क्यों? \"भर गई। रुकिए।\" लिखा था।", ["मान बदल गया।", "क्यों?", "\"भर गई। रुकिए।\" लिखा था।"]), ("«ممتلئ. انتظر.» ظهرت هنا. انتهى؟ نعم.", ["«ممتلئ. انتظر.» ظهرت هنا.", "انتهى؟", "نعم."]), ("Хранятся журналы и т. д. Очередь, т. е. всё. См. стр. 5.", ["Хранятся журналы и т. д.", "Очередь, т. е. всё.", "См. стр. 5."]),
     ("«Полон. Ждите.»\n— написано там. См. рис.\n5. Очередь пуста.", ["«Полон. Ждите.»\n— написано там.", "См. рис.\n5.", "Очередь пуста."]),
+    ("- one\n  goes on. Here.\n  - two\n    more\nafter. Next.", ["- one\n  goes on. Here.", "- two\n    more", "after.", "Next."]), ("1. a\n   b\n\n   c. D.", ["1. a\n   b", "c.", "D."]), ("* a\n* b\n# c\n  dog. Eel.", ["* a", "* b", "# c", "dog.", "Eel."]),
+    ("Բարեւ։ Ինչպես։", ["Բարեւ։", "Ինչպես։"]), ("ሰላም። እንዴት።", ["ሰላም።", "እንዴት።"]), ("មួយ។ ពីរ។", ["មួយ។", "ពីរ។"]), ("တစ်။ နှစ်။", ["တစ်။", "နှစ်။"]), ("Gov. Smith paid Rs. 500. Done.", ["Gov. Smith paid Rs. 500.", "Done."]),
     ("", []), ("  \n\n ", []), (None, []), ('An "open quote. And more.', ['An "open quote.', "And more."]),
 ]
 
@@ -142,6 +144,25 @@ def test_units(text, want):
     assert [text[a:b] for a, b in sentences.units(text)] == want
 
 
+def test_word_before_a_place_is_found_in_one_pass():
+    import re
+
+    rng = random.Random(11)
+    for _ in range(300):
+        t = "".join(rng.choice("ab1.. -x,") for _ in range(40))
+        w = sentences._Words(t, 0)
+        for i in range(1, 40):
+            if t[i] == "." and rng.random() < 0.7:
+                word = re.search(r"[\w.’'-]*$", t[:i])[0]
+                first, dotted = w.before(i, 0)
+                assert t[first:i] == word and dotted == ("." in word.strip("0123456789."))
+
+
+def test_given_abbreviations(spark):
+    df = spark.createDataFrame([(1, "It is ca2. Five abbr. Six.")], "doc_id bigint, text string")
+    assert sentences.sentence_units(df).count() == 3 and sentences.sentence_units(df, ("abbr",)).count() == 2
+
+
 def test_units_cover_the_text_and_scale(spark):
     rng = random.Random(9)
     parts = list("aB. !?\n\"()「。」«» ก1") + ["... ", "\n\n", "Fig. "]
