@@ -73,15 +73,20 @@ def _trie(words: list[str], kind: str, root: dict) -> None:
         node[None] = kind
 
 
-_ABBREVIATIONS: dict = {}
-_trie(BEFORE_DIGIT, "digit", _ABBREVIATIONS)
-_trie(MAY, "may", _ABBREVIATIONS)
-_trie(NEVER, "never", _ABBREVIATIONS)
+def trie_of(further: tuple[str, ...] = ()) -> dict:
+    """The abbreviations, read backwards, with further ones that never end a sentence."""
+    root: dict = {}
+    for words, kind in ((BEFORE_DIGIT, "digit"), (MAY, "may"), (NEVER, "never"), ([w.lower() for w in further], "never")):
+        _trie(words, kind, root)
+    return root
 
 
-def _abbreviation(text: str, at: int, low: int) -> str | None:
+_ABBREVIATIONS = trie_of()
+
+
+def _abbreviation(text: str, at: int, low: int, known: dict) -> str | None:
     """The kind of the longest abbreviation that ends before the full stop at at, in text[low:]."""
-    node, found, i = _ABBREVIATIONS, None, at - 1
+    node, found, i = known, None, at - 1
     while i >= low:
         c = text[i].lower()
         if c.isspace():  # z. B., p. ex.
@@ -158,7 +163,7 @@ def _case(c: str) -> str:
     return "up" if c.isupper() else "low" if c.islower() else "digit" if c.isdigit() else "none"
 
 
-def _block(text: str, low: int, high: int) -> list[int]:
+def _block(text: str, low: int, high: int, known: dict) -> list[int]:
     """Ends of the units of a paragraph text[low:high], without the last."""
     ends: list[int] = []
     if not any(c in text[low:high] for c in '"([{（【「『《〈«“„‹'):
@@ -232,7 +237,7 @@ def _block(text: str, low: int, high: int) -> list[int]:
         elif run != ".":
             split = True
         else:
-            kind = _abbreviation(text, i, start)
+            kind = _abbreviation(text, i, start, known)
             if kind == "digit":
                 kind = "never" if ahead.isdigit() or ahead in "°#" else None
             if kind == "never":
@@ -254,16 +259,16 @@ def _block(text: str, low: int, high: int) -> list[int]:
     return ends
 
 
-def _goes_on(line: str) -> bool:
+def _goes_on(line: str, known: dict) -> bool:
     """Whether the sentence that ends a line goes on in the next one."""
     if line[-1] in ":：":
         return False
     if line[-1] == ".":
-        return _abbreviation(line, len(line) - 1, 0) in ("never", "digit")
+        return _abbreviation(line, len(line) - 1, 0, known) in ("never", "digit")
     return line[-1] not in _AFTER
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
+def units(text: str | None, known: dict = _ABBREVIATIONS) -> list[tuple[int, int]]:
     """(start, end) of each sentence unit, in code points."""
     if not text or text.isspace():
         return []
@@ -278,7 +283,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
         line = text[at:end]
         bare = line.strip()
         m = _SPECIAL.match(line) if bare else None
-        if m and block is not None and last and (m["bullet"] in ("–", "—") or m["number"] and _goes_on(last)):
+        if m and block is not None and last and (m["bullet"] in ("–", "—") or m["number"] and _goes_on(last, known)):
             m = None  # a number or dash that a line break put first
         depth = len(line) - len(line.lstrip(" \t")) if bare else -1
         while levels and (depth < levels[-1] or depth == levels[-1] and not (m and (m["bullet"] or m["number"]))):
@@ -310,7 +315,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
         if low < 0:
             pieces = [(-low - 1, high)]
         else:
-            ends = _block(text, low, high)
+            ends = _block(text, low, high, known)
             pieces = list(zip([low, *ends], [*ends, high]))
         for a, b in pieces:
             while a < b and text[a].isspace():
@@ -328,11 +333,11 @@ def sentence_units(documents: DataFrame, abbreviations: tuple[str, ...] = ()) ->
     def run(batches):
         import pyarrow as pa
 
-        _trie([w.lower() for w in abbreviations], "never", _ABBREVIATIONS)
+        known = trie_of(abbreviations)
         for b in batches:
             ids, starts, ends = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for a, z in units(text):
+                for a, z in units(text, known):
                     ids.append(doc)
                     starts.append(a)
                     ends.append(z)
