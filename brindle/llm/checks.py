@@ -20,6 +20,12 @@ def p7_overfull(spark: SparkSession, d: str) -> DataFrame:
     return of.join(bins, "pack_id").select("pack_id", "n_documents", "n_overfull", "n_split")
 
 
+def p7_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """pack_id and how many items share a container with a copy of their text."""
+    docs, targets = read_table(spark, d, "documents"), read_table(spark, d, "pack_targets")
+    return packing.fill_report(packing.packed(spark, docs, targets), targets, docs).select("pack_id", "same_text")
+
+
 def p8_caps(spark: SparkSession, d: str) -> DataFrame:
     """mix_id, its sources, and how many were used more often than allowed."""
     report = mixing.share_report(*mixing.mixed(spark, read_table(spark, d, "documents"), read_table(spark, d, "mix_targets")))
@@ -46,9 +52,10 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return cut.groupBy("doc_id", "source").agg(F.sum("n").alias("n")).join(whole, "doc_id").groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if(F.col("n") != F.col("all")).alias("n_torn"))
 
 
-QUERIES = {f.__name__: f for f in (p7_overfull, p8_caps, p8_reached, p9_documents)}
+QUERIES = {f.__name__: f for f in (p7_overfull, p7_conflicts, p8_caps, p8_reached, p9_documents)}
 ORACLES = {
     "p7_overfull": "SELECT pack_id, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, 0 AS n_overfull, 0 AS n_split FROM pack_targets",
+    "p7_conflicts": "SELECT pack_id, 0 AS same_text FROM pack_targets",
     "p8_caps": "SELECT mix_id, count(*) AS n_sources, 0 AS n_over FROM mix_targets GROUP BY 1",
     "p8_reached": "SELECT mix_id, count(*) AS n_sources, count(*) AS n_reached FROM mix_targets GROUP BY 1",
     "p9_documents": "SELECT source, count(*) AS n_documents, 0 AS n_torn FROM documents WHERE regexp_matches(text, '\\S') GROUP BY 1",

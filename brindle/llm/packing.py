@@ -3,11 +3,11 @@
 Items are hashed into shards of a bounded number of items; each shard is packed by
 decreasing size. Its open bins are ordered by residual capacity and carry two bitmaps:
 the sources and the duplicate clusters they hold. The search starts at the tightest bin
-that is large enough and goes on to its successors until one is compatible: a bin that
-already holds a copy of the same text never is (unless a shard holds more copies of it
-than containers can be filled: then as few as possible meet); a bin that holds the same source is
-passed over for one without it as long as that wastes no more than source_slack of the
-capacity. An item larger than the capacity is split at it, nothing else is.
+that is large enough and goes on through all of its successors until one is compatible,
+that is holds neither a copy of the same text nor the same source. If no open bin is, the
+tightest one without a copy is taken, since more items than sources must share a large
+container; copies never meet unless a shard holds more of them than containers can be
+filled with: then as few as possible do. fill_report counts both. An item larger than the capacity is split at it, nothing else is.
 
 Defined results: null and empty texts have no tokens and go into no container; a capacity
 that is null or below 1 packs nothing; equal sizes are taken in order of doc_id; a doc_id
@@ -25,36 +25,28 @@ from brindle.llm.tokens import VOCABULARY, sized
 from brindle.plans.shared import work_path
 
 SHARD_ITEMS = 20_000
-SOURCE_SLACK = 0.01
 MAX_TARGETS = 1_000
 
 
-def best_fit(items: list[tuple[int, int, int]], capacity: int, slack: float = SOURCE_SLACK) -> list[int]:
+def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[int]:
     """The bin of each item (size, source bit, cluster bit or 0); items must be ordered by decreasing size."""
     open_: list[tuple[int, int]] = []  # (residual, bin)
     sources: list[int] = []
     clusters: list[int] = []
-    allowed = int(slack * capacity)
     smallest = items[-1][0] if items else 0
     out = []
     for size, source, cluster in items:
-        at = bisect_left(open_, (size, -1))
-        chosen = fallback = -1
-        while at < len(open_):
-            residual, b = open_[at]
-            if not clusters[b] & cluster:
-                if not sources[b] & source:
-                    chosen = at
-                    break
-                if fallback < 0:
-                    fallback = at
-            if fallback >= 0 and residual - open_[fallback][0] > allowed:
+        chosen = second = -1
+        for at in range(bisect_left(open_, (size, -1)), len(open_)):
+            b = open_[at][1]
+            if clusters[b] & cluster:
+                continue
+            if not sources[b] & source:
+                chosen = at
                 break
-            at += 1
-        if chosen >= 0 and fallback >= 0 and open_[chosen][0] - open_[fallback][0] > allowed:
-            chosen = fallback
-        if chosen < 0:
-            chosen = fallback
+            if second < 0:
+                second = at
+        chosen = second if chosen < 0 else chosen
         if chosen < 0:
             residual, b = capacity, len(sources)
             sources.append(0)
@@ -109,7 +101,11 @@ def packed(spark: SparkSession, documents: DataFrame, targets: DataFrame, vocabu
     return pieces.groupBy("pack_id", "shard").applyInPandas(_pack, schema)
 
 
-def fill_report(packs: DataFrame, targets: DataFrame) -> DataFrame:
-    """pack_id, containers, items, tokens, fill (share of all capacity that is used)."""
-    of = packs.groupBy("pack_id").agg(F.countDistinct("container").alias("containers"), F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
-    return of.join(targets, "pack_id").select("pack_id", "containers", "items", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+def fill_report(packs: DataFrame, targets: DataFrame, documents: DataFrame) -> DataFrame:
+    """pack_id, containers, items, tokens, fill (share of all capacity that is used), and items that share a container with their source or with a copy of their text."""
+    named = documents.select(F.col("doc_id").cast("bigint"), F.coalesce("source", F.lit("")).alias("source"), F.md5(F.coalesce("text", F.lit(""))).alias("copy_of")).dropDuplicates(["doc_id"])
+    held = packs.join(named, "doc_id", "left")
+    met = lambda c: held.groupBy("pack_id", "container", c).agg((F.count("*") - 1).alias("n")).groupBy("pack_id").agg(F.sum("n").alias(f"same_{c}"))
+    of = packs.groupBy("pack_id", "container").agg(F.count("*").alias("k"), F.sum("tokens").alias("n")).groupBy("pack_id").agg(F.count("*").alias("containers"), F.sum("k").alias("items"), F.sum("n").alias("tokens"))
+    fill = (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill")
+    return of.join(targets, "pack_id").join(met("source"), "pack_id").join(met("copy_of"), "pack_id").select("pack_id", "containers", "items", "tokens", fill, "same_source", F.col("same_copy_of").alias("same_text"))

@@ -34,16 +34,15 @@ def test_best_fit_against_a_plain_model():
     rng = random.Random(3)
     for _ in range(20):
         items = sorted(((rng.randint(1, 60), 1 << rng.randrange(4), rng.choice([0, 0, 1, 2])) for _ in range(120)), key=lambda x: -x[0])
-        bins = packing.best_fit(items, 100, slack=0.0)
-        load, clusters = {}, {}
-        for (n, _, c), b in zip(items, bins):
+        load, clusters, sources = {}, {}, {}
+        for (n, s, c), b in zip(items, packing.best_fit(items, 100)):
             fits = [x for x in load if 100 - load[x] >= n and not clusters[x] & c]
-            if b in load:  # no compatible bin was tighter
-                assert b in fits and load[b] == max(load[x] for x in fits)
+            best = [x for x in fits if not sources[x] & s] or fits
+            if b in load:  # no compatible bin was tighter, and none had to do without a compatible one
+                assert b in best and load[b] == max(load[x] for x in best)
             else:
                 assert not fits
-            load[b] = load.get(b, 0) + n
-            clusters[b] = clusters.get(b, 0) | c
+            load[b], clusters[b], sources[b] = load.get(b, 0) + n, clusters.get(b, 0) | c, sources.get(b, 0) | s
         assert max(load.values()) <= 100
 
 
@@ -60,8 +59,8 @@ def test_every_token_is_packed_once(spark):
 
     total = sized(docs(spark, texts)).agg(F.sum("tokens")).first()[0]
     p = packing.packed(spark, docs(spark, texts), targets, shard_items=100).cache()
-    fill = {r.pack_id: r for r in packing.fill_report(p, targets).collect()}
-    assert set(fill) == {"a", "b"} and all(r.tokens == total for r in fill.values()) and fill["b"].fill > 0.9
+    fill = {r.pack_id: r for r in packing.fill_report(p, targets, docs(spark, texts)).collect()}
+    assert set(fill) == {"a", "b"} and all(r.tokens == total for r in fill.values()) and fill["b"].fill > 0.9 and all(r.same_text == 0 for r in fill.values())
     assert p.groupBy("pack_id", "container").agg(F.sum("tokens").alias("n")).join(targets, "pack_id").filter("n > capacity_tokens").count() == 0
     split = p.groupBy("pack_id", "doc_id").agg(F.count("*").alias("k"), F.sum("tokens").alias("n")).join(targets, "pack_id").filter("k > 1")
     assert split.filter("n <= capacity_tokens").count() == 0 and split.count() >= 2
