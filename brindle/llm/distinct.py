@@ -56,14 +56,49 @@ def mask_of(code_: Column) -> Column:
     return F.when(top > 2, F.call_function("shiftleft", three, top - 3)).otherwise(F.call_function("shiftright", three, F.lit(3) - top))
 
 
+#: Registers in use up to which a stored sketch lists them, three bytes each; beyond, it has a byte for every register.
+LISTED = ((1 << P) - 1) // 3
+
+
+def _packed(registers):
+    import numpy as np
+    import pandas as pd
+
+    def one(r) -> bytes:
+        r = np.asarray(r, np.uint32)
+        if len(r) <= LISTED:
+            return np.column_stack([r >> 16, r >> 8 & 255, r & 255]).astype(np.uint8).tobytes()
+        dense = np.zeros(1 << P, np.uint8)
+        dense[r >> 8] = r & 255
+        return dense.tobytes()
+
+    return pd.Series([one(r) for r in registers])
+
+
+def _unpacked(stored):
+    import numpy as np
+    import pandas as pd
+
+    def one(b: bytes):
+        a = np.frombuffer(b, np.uint8).astype(np.int32)
+        if len(a) < 1 << P:
+            a = a.reshape(-1, 3)
+            return a[:, 0] << 16 | a[:, 1] << 8 | a[:, 2]
+        used = np.flatnonzero(a).astype(np.int32)
+        return used << 8 | a[used]
+
+    return pd.Series([one(b) for b in stored])
+
+
 def sketches(found: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, sketch): registers in use as sorted numbers register * 256 + code, at most 2^P of them."""
-    return found.select(*keys, (F.col("register") * 256 + code(F.col("mask"))).alias("r")).groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("sketch"))
+    """(keys, sketch): one byte a register, 2^P bytes at most; fewer where few registers are in use."""
+    listed = found.select(*keys, (F.col("register") * 256 + code(F.col("mask"))).alias("r")).groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return listed.select(*keys, F.pandas_udf(_packed, "binary")("r").alias("sketch"))
 
 
 def merged_cells(stored: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of the union of stored sketches, by keys."""
-    each = stored.select(*keys, F.explode("sketch").alias("r"))
+    each = stored.select(*keys, F.explode(F.pandas_udf(_unpacked, "array<int>")("sketch")).alias("r"))
     return each.select(*keys, F.expr("r div 256").cast("int").alias("register"), mask_of(F.col("r") % 256).alias("mask")).groupBy(*keys, "register").agg(F.bit_or("mask").alias("mask"))
 
 

@@ -20,6 +20,8 @@ def test_estimates_merge_without_loss(spark):
     stored = distinct.sketches(found, ["g"])
     again = distinct.estimates(distinct.merged_cells(stored.withColumn("all", F.lit(1)), ["all"]), ["all"], [["all"]]).first()
     assert again.estimate == pytest.approx(got[0, None])
+    sizes = stored.select(F.length("sketch").alias("n")).collect()
+    assert all(r.n <= 1 << distinct.P for r in sizes) and distinct.sketches(distinct.cells(df.limit(40), ["g"], F.col("h")), ["g"]).agg(F.max(F.length("sketch"))).first()[0] <= 120
     assert distinct.estimates(distinct.cells(df.limit(0), ["g"], F.col("h")), ["g"], [["g"]]).count() == 0
 
 
