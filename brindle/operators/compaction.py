@@ -105,7 +105,7 @@ def consolidate(spark: SparkSession, rows: DataFrame, parts: DataFrame, target_b
     inputs of the commit are the parts whose rows were written, and the pending ones that
     have none.
     """
-    at = work_path(spark, "compact")
+    at = work_path(spark, "compact", keep=True)
     pending, _ = pending_parts(spark, parts, f"{at}/listing")
     return _rewrite(spark, rows, pending, at, target_bytes)
 
@@ -137,7 +137,7 @@ def _rewrite(spark: SparkSession, rows: DataFrame, pending: DataFrame, at: str,
         )
     else:
         outputs = spark.createDataFrame([], "path string, index_name string, event_count bigint, size_bytes bigint")
-    outputs.write.parquet(f"{at}/commit/outputs")
+    outputs.write.parquet(f"{at}/commit/outputs")  # the new parts and their manifest stay
     return spark.read.parquet(f"{at}/commit/inputs"), spark.read.parquet(f"{at}/commit/outputs"), at
 
 
@@ -155,7 +155,7 @@ def part_layout(spark: SparkSession, rows: DataFrame, parts: DataFrame, target_b
 
     Rows whose level-0 part was removed without a merged part that holds them stay in it.
     """
-    at = work_path(spark, "compact")
+    at = work_path(spark, "compact", keep=True)
     pending, covered = pending_parts(spark, parts, f"{at}/listing")
     _, outputs, _ = _rewrite(spark, rows, pending, at, target_bytes)
     kept = rows.groupBy("part_id").agg(F.count("*").alias("n")).join(pending.select("part_id"), "part_id", "left_anti").join(covered, "part_id", "left")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.slots import GAP, HEAD_TOKENS, MOST, SEVERITY, SOME, form
-from brindle.plans.shared import small_side, work_path
+from brindle.plans.shared import list_path, remove_path, small_side, work_path
 
 #: Share of the longer sequence that two must have in common to become one template.
 TAU = 0.6
@@ -429,6 +429,9 @@ def mined(spark: SparkSession, lines: DataFrame, name: str, first_line: bool = F
     slot_types(shapes, first_line).write.parquet(f"{at}/types")
     types = spark.read.parquet(f"{at}/types")
     slot_roles(shapes, types, first_line).write.parquet(f"{at}/roles")
+    for path in list_path(spark, at):
+        if path.rsplit("/", 1)[-1].startswith(("round", "shapes")):
+            remove_path(spark, path)
     return found, types, spark.read.parquet(f"{at}/roles")
 
 

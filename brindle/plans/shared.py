@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -29,9 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_written: list[str] = []
+
+
+def work_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder, removed by clean or when Python ends unless it is kept."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        if not _written:
+            atexit.register(_at_exit, spark)
+        _written.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all work folders written so far; results that read them must have been used or written."""
+    while _written:
+        remove_path(spark, _written.pop())
+
+
+def _at_exit(spark: SparkSession) -> None:
+    try:
+        clean(spark)
+    except Exception:  # Spark has gone already: nothing can be done from here
+        _written.clear()
 
 
 def _files(spark: SparkSession, path: str):

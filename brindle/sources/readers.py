@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators import runs
+
 SAMPLE_LINES = 100
 TIME_KEYS = ("_time", "timestamp", "@timestamp", "time", "ts")
 
@@ -23,9 +25,13 @@ def detect_format(df: DataFrame) -> str:
     votes: dict[str, int] = {}
     for (line,) in df.select("_raw").limit(SAMPLE_LINES).collect():
         kind = (
+            "docker" if re.match(r'\s*\{"log":', line) and '"stream":' in line else
             "json" if re.match(r"\s*\{.*\}\s*$", line) else
+            "cef" if "CEF:" in line else "leef" if line.lstrip().startswith("LEEF:") else
+            "w3c" if line.startswith("#Fields:") else
             "combined" if re.match(r'\S+ \S+ \S+ \[[^\]]+\] "', line) else
             "syslog" if re.match(r"<\d{1,3}>|[A-Z][a-z]{2} +\d+ \d\d:\d\d:\d\d ", line) else
+            "kv" if re.match(r"\w+[:=]\S+[,;]\s?\w+[:=]", line) else
             "logfmt" if len(re.findall(r'(?:^|\s)[\w.]+=(?:"|\S)', line)) >= 2 else
             "tsv" if line.count("\t") >= 2 else "csv" if line.count(",") >= 2 else "text"
         )
@@ -43,12 +49,30 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("_time", F.coalesce(*(F.col(f"`{k}`").cast("string").try_cast("timestamp") for k in keys))) if keys else out
 
 
+def _placed(lines: DataFrame) -> DataFrame:
+    """lines of read_lines with their block and their place in the order of files and lines."""
+    at = lines.withColumn("__at", F.struct("_source", F.coalesce("_block", F.lit(0).cast("bigint")).alias("b"), "_line"))
+    return at.withColumn(runs.BLOCK, F.struct("_source", F.col("__at.b").alias("b")))
+
+
+def read_entries(spark: SparkSession, path: str, start: str, separator: str | None = None) -> DataFrame:
+    """_raw, _source, _line of entries of several lines: a line that start (a regex) finds begins one, the others go on the one before; lines before a file's first one are an entry too."""
+    lines = _placed(read_lines(spark, path, separator))
+    r = runs.Running("__at", True)
+    r.out = {"__n": r.sum(F.when(F.col("_raw").rlike(start), 1).otherwise(0))}
+    counted = r.applied(lines)
+    rows = F.array_sort(F.collect_list(F.struct("__at", "_raw")))
+    return counted.groupBy("_source", "__n").agg(rows.alias("l")).select(F.array_join(F.transform("l", lambda x: x["_raw"]), "\n").alias("_raw"), "_source", F.col("l")[0]["__at"]["_line"].alias("_line"))
+
+
 def read_bulk(spark: SparkSession, path: str) -> DataFrame:
     """Action and document lines in turn: documents with the index of the action line before them."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "_raw"), F.col("_metadata.file_path").alias("f")).filter("_raw <> ''")
+    lines = _placed(read_lines(spark, path))
     action = F.regexp_extract("_raw", r'^\s*\{\s*"(?:index|create)"\s*:', 0) != ""
-    heads = lines.filter(action).select((F.col("n") + 1).alias("n"), "f", F.coalesce(F.get_json_object("_raw", "$.index._index"), F.get_json_object("_raw", "$.create._index"), F.lit("main")).alias("index"))
-    return lines.filter(~action).join(heads, ["f", "n"]).select("_raw", "index")
+    r = runs.Running("__at", False)
+    index = F.coalesce(F.get_json_object("_raw", "$.index._index"), F.get_json_object("_raw", "$.create._index"), F.lit("main"))
+    r.out = {"index": r.last(F.when(action, index), F.col("__at"))}
+    return r.applied(lines).filter(~action & F.col("index").isNotNull()).select("_raw", "index")
 
 
 def read_collector(spark: SparkSession, path: str) -> DataFrame:

@@ -27,9 +27,23 @@ def write(df: DataFrame, path: str, how: str = "ndjson") -> None:
 
 
 def render(df: DataFrame, how: str = "table", rows: int = SHOWN) -> str:
-    """table, markdown, json, ndjson, csv, tsv, vertical, line or raw."""
+    """table, box, ascii, markdown, json, ndjson, csv, tsv, vertical (or G), line or raw; auto is vertical for one row, else table.
+
+    A text of more rows than asked for ends with a line that says so; json, which has no place for one, raises.
+    """
     names = df.columns
-    data = [[None if v is None else v for v in r] for r in df.limit(rows).collect()]
+    found = df.limit(rows + 1).collect()
+    data, more = [list(r) for r in found[:rows]], len(found) > rows
+    if more and how == "json":
+        raise ValueError(f"more than {rows} rows: write them to files, or ask for more")
+    text = _rendered(names, data, how)
+    return text + f"\n... more than {rows} rows, the others aren't shown" if more else text
+
+
+def _rendered(names: list[str], data: list[list], how: str) -> str:
+    how = {"G": "vertical"}.get(how, how)
+    if how == "auto":
+        how = "vertical" if len(data) == 1 else "table"
     say = lambda v: "" if v is None else v.isoformat() if hasattr(v, "isoformat") else v if isinstance(v, str) else json.dumps(v, default=str)
     if how in ("json", "ndjson"):
         objects = [json.dumps(dict(zip(names, r)), default=say, ensure_ascii=False) for r in data]
@@ -50,6 +64,11 @@ def render(df: DataFrame, how: str = "table", rows: int = SHOWN) -> str:
         return "\n".join(say(r[names.index("_raw")] if "_raw" in names else r[0]) for r in data)
     cells = [names, *([say(v) for v in r] for r in data)]
     wide = [max(len(r[i]) for r in cells) for i in range(len(names))]
+    if how in ("box", "ascii"):
+        across, up, joints = ("─", "│", "┌┬┐├┼┤└┴┘") if how == "box" else ("-", "|", "+++++++++")
+        bar = lambda k: joints[k] + joints[k + 1].join(across * (w + 2) for w in wide) + joints[k + 2]
+        body = [up + up.join(f" {c.ljust(w)} " for c, w in zip(r, wide)) + up for r in cells]
+        return "\n".join([bar(0), body[0], bar(3), *body[1:], bar(6)])
     lines = [" | ".join(c.ljust(w) for c, w in zip(r, wide)) for r in cells]
     rule = "-|-".join("-" * w for w in wide)
     if how == "markdown":

@@ -310,6 +310,33 @@ def test_methods_saved_and_sinks(engine, tmp_path):
     assert engine.spark.read.option("header", True).csv(str(tmp_path / "o")).count() == 2
 
 
+def test_shown_results(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n bigint, t string")
+    assert sinks.render(df, "box") == "┌───┬───┐\n│ n │ t │\n├───┼───┤\n│ 1 │ a │\n│ 2 │   │\n└───┴───┘" and sinks.render(df, "ascii").startswith("+---+---+\n| n | t |")
+    assert sinks.render(df.limit(1), "auto") == sinks.render(df.limit(1), "G") == "n: 1\nt: a" and "more than 1 rows" in sinks.render(df, "table", 1)
+    with pytest.raises(ValueError):
+        sinks.render(df, "json", 1)
+
+
+def test_readers_and_ingest(spark, tmp_path):
+    from brindle.sources import ingest, readers
+
+    (tmp_path / "a.log").write_text("lost\n2026 one\n  more\n\n2026 two\n")
+    (tmp_path / "b.log").write_text("  own\n2026 three\n")
+    got = sorted(r["_raw"] for r in readers.read_entries(spark, str(tmp_path / "*.log"), "^2026").collect())
+    assert got == ["  own", "2026 one\n  more", "2026 three", "2026 two", "lost"]
+    (tmp_path / "bulk").write_text('{"index": {"_index": "x"}}\n{"a": 1}\n{"create": {}}\n{"a": 2}\n{"a": 3}\n')
+    assert sorted((r["_raw"], r["index"]) for r in readers.read_bulk(spark, str(tmp_path / "bulk")).collect()) == [('{"a": 1}', "x"), ('{"a": 2}', "main"), ('{"a": 3}', "main")]
+    df = spark.createDataFrame([("<11>Feb 10 08:12:03 host app[7]: k=v j=\"two words\"",), (None,)], "_raw string")
+    df = ingest.with_pairs(ingest.with_format(df, "syslog"))
+    df = ingest.with_time(df, F.col("timestamp"), F.lit("Europe/Berlin"), F.lit(NOW))
+    r = {x["_raw"]: x for x in ingest.routed(ingest.with_json(df, {"q": "$.q"}), [(F.col("severity") <= 3, "errors")]).collect()}
+    one = next(v for k, v in r.items() if k)
+    assert one["fields"] == {"k": "v", "j": "two words"} and one["appname"] == "app" and one["index"] == "errors" and one["_time"] == dt.datetime(2026, 2, 10, 7, 12, 3) and one["q"] is None and r[None]["index"] == "main"
+    for text, kind in (('{"log":"x","stream":"s"}', "docker"), ("a:1,b:2", "kv"), ("CEF:0|a", "cef"), ("#Fields: a", "w3c"), ("x a=1 b=2", "logfmt")):
+        assert readers.detect_format(spark.createDataFrame([(text,)], "_raw string")) == kind
+
+
 def test_live(spark, tmp_path):
     from brindle.streaming.live import live_query, session_counts
 
