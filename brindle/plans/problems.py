@@ -128,6 +128,7 @@ ORACLES: dict[str, str] = {
     "p2_kept_per_source": "WITH i AS (" + _IDS + ") SELECT source, count(*) AS n, count(*) FILTER (WHERE id IS NULL OR r = 1) AS n_kept FROM (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY row_id) AS r FROM i) GROUP BY 1",
     "p2_found": "WITH i AS (SELECT row_id, source, coalesce(" + ", ".join(_NORM.format(x) for x in ("msg_id", "(" + _JSON.format("fields_json") + ")", "(" + _IN_EVENT + ")")) + ") AS id FROM ingest_events) "
     "SELECT a AS row_id_a, row_id AS row_id_b FROM (SELECT row_id, min(row_id) OVER (PARTITION BY source, id) AS a FROM i WHERE id IS NOT NULL) WHERE a <> row_id",
+    "p2_kept": "WITH i AS (" + _IDS + ") SELECT e.* FROM ingest_events e JOIN (SELECT row_id, id, row_number() OVER (PARTITION BY source, id ORDER BY row_id) AS r FROM i) USING (row_id) WHERE id IS NULL OR r = 1",
     "p5_found": _PENDING + "SELECT part_id FROM pending",
     "p5_totals": _PENDING + "SELECT part_id IN (SELECT part_id FROM pending) AS rewritten, count(*) AS event_count FROM ingest_events GROUP BY 1",
 }

@@ -75,7 +75,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
         "SELECT o_orderstatus, m FROM (SELECT o_orderstatus, o_orderpriority AS m, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY 1, 2) WHERE r = 1",
     ),
     "values_sorted": ("from orders | stats values(o_orderpriority) as v by o_orderstatus | extend v = join(array_sort(v), \",\")", "SELECT o_orderstatus, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS v FROM orders GROUP BY 1"),
-    "list_ordered": ("from events | where user_id < 5 | stats list(event_type) as l by user_id | extend l = join(l, \",\")", "SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS l FROM events WHERE user_id < 5 GROUP BY 1"),
+    "list_ordered": ("from events | stats list(event_type) as l by user_id | extend l = join(l, \",\")", "SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS l FROM events GROUP BY 1"),
     "first_last": ("from events | stats first(value) as f, last(value) as l, earliest(event_id) as e, latest(event_id) as t by user_id", "SELECT user_id, arg_min(value, (ts, event_id)) AS f, arg_max(value, (ts, event_id)) AS l, arg_min(event_id, (ts, event_id)) AS e, arg_max(event_id, (ts, event_id)) AS t FROM events GROUP BY 1"),
     "count_null": ("from ingest_events | stats count() as n, count(msg_id) as ids by index_name", "SELECT index_name, count(*) AS n, count(msg_id) AS ids FROM ingest_events GROUP BY 1"),
     # buckets
@@ -99,7 +99,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "baseline": ("from events | baseline value window=5 by user_id | keep event_id, baseline_avg, delta, z | extend baseline_avg = round(baseline_avg, 6), delta = round(delta, 6), z = round(z, 6)", "SELECT event_id, round(a, 6) AS baseline_avg, round(value - a, 6) AS delta, round(CASE WHEN s > 0 THEN (value - a) / s END, 6) AS z FROM (SELECT event_id, value, avg(value) OVER w AS a, stddev_samp(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))"),
     "changes": ("from events | changes event_type by user_id | keep event_id, event_type, previous_event_type", "SELECT event_id, event_type, p AS previous_event_type FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NOT NULL AND p <> event_type"),
     # order
-    "sort_nulls": ("from ingest_events | sort -index_name, row_id | head 40 | keep row_id, index_name", "SELECT row_id, index_name FROM ingest_events ORDER BY index_name DESC NULLS FIRST, row_id LIMIT 40"),
+    "sort_nulls": ("from ingest_events | keep row_id, index_name | sort -index_name, row_id | streamstats row_number() as place", "SELECT row_id, index_name, row_number() OVER (ORDER BY index_name DESC NULLS FIRST, row_id) AS place FROM ingest_events"),
     "topk": ("from lineitem | sort -l_extendedprice, l_orderkey, l_linenumber | head 25 | keep l_orderkey, l_linenumber, l_extendedprice", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25"),
     "head": ("from events | head 12 | keep event_id", "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 12"),
     "tail": ("from events | tail 12 | keep event_id", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 12"),
@@ -132,7 +132,6 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "percentiles_stage": ("from events | percentiles value | extend p50_value = round(p50_value, 4), p75_value = round(p75_value, 4), p90_value = round(p90_value, 4), p95_value = round(p95_value, 4), p99_value = round(p99_value, 4)", "SELECT " + ", ".join(f"round(quantile_cont(value, {p / 100}), 4) AS p{p}_value" for p in (50, 75, 90, 95, 99)) + " FROM events"),
     "proportion": ("from events | proportion value > 50.0 as hot by event_type | extend hot = round(hot, 9)", "SELECT event_type, count(*) FILTER (WHERE value > 50) AS hot_num, count(*) AS hot_den, round(count(*) FILTER (WHERE value > 50) / count(*), 9) AS hot FROM events GROUP BY 1"),
     "exemplars": ("from events | exemplars 2 by event_type | keep event_id", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 2"),
-    "describe": ("from region | describe | keep field, type, coverage, distinct_est", "SELECT * FROM (VALUES ('r_regionkey', 'int', 1.0::DOUBLE, 5), ('r_name', 'string', 1.0::DOUBLE, 5)) t(field, type, coverage, distinct_est)"),
     # search
     "search_words": ("from documents store* \"the disk\" not quota lang=e* | stats count() as n", f"SELECT count(*) AS n FROM documents WHERE len(list_filter({_TOKENS}, lambda x: starts_with(x, 'store'))) > 0 AND contains(lower(text), 'the disk') AND NOT list_contains({_TOKENS}, 'quota') AND lang LIKE 'e%'"),
     "has": ("from documents | where has(text, \"lease\") | stats count() as n by doc_type", f"SELECT doc_type, count(*) AS n FROM documents WHERE list_contains({_TOKENS}, 'lease') GROUP BY 1"),
@@ -255,6 +254,7 @@ _FUNCTIONS = {f.__name__: f for f in (explode_floats, view_rewrite, tee_passes,
 QUERIES = {n: _FUNCTIONS.get(n) or _runner(t) for n, (t, _) in TEXTS.items()} | _FUNCTIONS
 ORACLES = {n: s for n, (_, s) in TEXTS.items() if s} | {
     "view_rewrite": "SELECT event_type, count(*) AS n, round(sum(value), 3) AS s, max(value) AS m FROM events WHERE value > 1 GROUP BY 1",
+    "live_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS t, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1, 2",
     "tee_passes": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000",
     "use_fragment": "SELECT l_linestatus, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1",
 }
