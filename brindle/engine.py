@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from brindle.operators.analysis import ANALYSIS, compare
 from brindle.operators.stages import ORD, STAGE_FUNCTIONS, Frame, join, orderable, partial, union
 from brindle.plans.binding import predicate
+from brindle.plans.saved import Saved
 from brindle.plans.shared import work_path
 from brindle.plans.syntax import STAGES, UNITS, Query, QueryError, Stage, parse, parse_expr, parse_stage
 from brindle.plans.views import Views
@@ -70,8 +71,7 @@ class Engine:
         """approximate: percentiles and distinct counts by sketches of bounded size, for groups with too many values to hold."""
         self.spark, self.now, self.default, self.approximate = spark, now, default, approximate
         self.catalog = Catalog(spark)
-        self.fragments: dict[str, str] = {}
-        self.saved: dict[str, str] = {}
+        self.fragments, self.saved = Saved(spark, store, "fragments"), Saved(spark, store, "saved")
         self.views = Views(spark, store)
         self.warnings: list[str] = []
 
@@ -94,6 +94,31 @@ class Engine:
         plan = self.frame(text, dry=True).result()._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return "\n".join([*lines, *(f"{i}. {s.text}" for i, s in enumerate(tree.stages, 1)), plan])
 
+    def analyze(self, text: str) -> str:
+        """Runs a query, without bringing its rows here, and tells what each node of the plan did."""
+        execution = self.frame(text, dry=True).result()._jdf.queryExecution()
+        execution.toRdd().count()
+        lines: list[str] = []
+
+        def walk(node, depth: int) -> None:
+            kind = node.getClass().getSimpleName()
+            inner = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else None
+            if inner is not None:
+                return walk(inner, depth)
+            found = []
+            metrics = node.metrics().iterator()
+            while metrics.hasNext():
+                m = metrics.next()
+                if m._2().value() > 0:
+                    found.append(f"{m._1()}={m._2().value()}")
+            lines.append("  " * depth + node.nodeName() + (f" ({', '.join(sorted(found))})" if found else ""))
+            children = node.children().iterator()
+            while children.hasNext():
+                walk(children.next(), depth + 1)
+
+        walk(execution.executedPlan(), 0)
+        return "\n".join(lines)
+
     def table(self, name: str) -> Pipe:
         return Pipe(self, f"from {name}")
 

@@ -165,14 +165,10 @@ def rollup(f: Frame, spans: list[tuple[str, int]], by=()) -> Frame:
     return Frame(wide.groupBy("_resolution", "_bucket", *names).agg(F.sum("__c").alias("count")), f.now)
 
 
-MAX_SERIES = 1_000
-
-
 def xyseries(f: Frame, x: str, y: str, v: str) -> Frame:
-    """One row for each x, one column for each y; the last value wins."""
-    names = [r[0] for r in f.df.select(F.coalesce(text(Typed(q(y), f.df.schema[y].dataType)), F.lit("null")).alias("y")).distinct().orderBy("y").limit(MAX_SERIES + 1).collect()]
-    if len(names) > MAX_SERIES:
-        raise QueryError(f"xyseries: more than {MAX_SERIES} columns")
+    """One row for each x, one column for each y in order of first appearance; the last value wins. A schema holds as many columns as there are values of y."""
+    shown = F.coalesce(text(Typed(q(y), f.df.schema[y].dataType)), F.lit("null"))
+    names = [r["y"] for r in f.df.groupBy(shown.alias("y")).agg(F.min(f.ord()).alias("o")).orderBy("o", "y").select("y").collect()]
     key = F.coalesce(text(Typed(q(y), f.df.schema[y].dataType)), F.lit("null"))
     order = f.ord()
     cols = [F.max_by(q(v), F.when(key == n, order)).alias(n) for n in names]

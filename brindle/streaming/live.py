@@ -91,6 +91,56 @@ def session_counts(stream: DataFrame, pause: str, keys: list[str], watermark: st
     return grouped.agg(F.max("_time").alias("session_end"), F.count("*").alias("eventcount")).select(*keys, F.col("w.start").alias("session_start"), "session_end", "eventcount")
 
 
+#: Running aggregates of a stream: how a value changes what is held.
+RUNNING = {"count": lambda held, v: (held or 0) + 1, "sum": lambda held, v: (held or 0.0) + v, "min": lambda held, v: v if held is None else min(held, v), "max": lambda held, v: v if held is None else max(held, v), "last": lambda held, v: v}
+
+
+def running(stream: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str]], idle: str | None = None) -> DataFrame:
+    """A stream whose rows carry running aggregates of their key: name to (count, sum, min, max, last or avg; column of numbers).
+
+    Within a micro-batch rows count in the order of _time, and batches in the order they
+    come, so a late row counts when it comes. What is held of a key is one number for each
+    aggregate; with idle ("1 hour") it is given up when nothing came for so long.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    names = list(aggs)
+    parts = {n: ["sum", "count"] if how == "avg" else [how] for n, (how, _) in aggs.items()}
+    unknown = [how for how, _ in aggs.values() if how not in RUNNING and how != "avg"]
+    if unknown:
+        raise QueryError(f"{unknown[0]} can't run on a stream", hint=", ".join([*RUNNING, "avg"]))
+    fields = [f"s{i}_{j}" for i, n in enumerate(names) for j in range(len(parts[n]))]
+
+    def step(_, batches, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(state.get) if state.exists else [None] * len(fields)
+        rows = pd.concat(list(batches)).sort_values("_time", kind="stable")
+        out: dict[str, list] = {n: [] for n in names}
+        for at in range(len(rows)):
+            k = 0
+            for n in names:
+                how, column = aggs[n]
+                v = rows[column].iat[at]
+                for part in parts[n]:
+                    if not pd.isna(v):
+                        held[k] = float(RUNNING[part](held[k], float(v) if part != "count" else 1))
+                    k += 1
+                total = held[k - 2] / held[k - 1] if how == "avg" and held[k - 1] else held[k - 1] if how != "avg" else None
+                out[n].append(total if total is not None or how != "count" else 0.0)
+        state.update(tuple(held))
+        if idle:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1_000))
+        yield rows.assign(**out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + "".join(f", `{n}` double" for n in names)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return stream.groupBy(*keys).applyInPandasWithState(step, schema, ", ".join(f"{f} double" for f in fields), "append", timeout)
+
+
 def tail(batch: DataFrame, stream: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
     """(the last n rows that are there, the stream's rows that are later than all of those)."""
     last = batch.orderBy(F.col("_time").desc_nulls_last()).limit(n)

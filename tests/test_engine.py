@@ -351,6 +351,44 @@ def test_live(spark, tmp_path):
         live_query(stream, "from x | sort k")
 
 
+def test_running_on_a_stream(spark, tmp_path):
+    from brindle.streaming.live import running
+
+    src = tmp_path / "in"
+    for part in ([(1, "a", 2.0), (3, "b", 5.0), (2, "a", 4.0)], [(5, "a", None), (4, "a", 1.0)]):
+        spark.createDataFrame(part, "t int, k string, v double").select(F.timestamp_seconds("t").alias("_time"), "k", "v").coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema("_time timestamp, k string, v double").option("maxFilesPerTrigger", 1).parquet(str(src))
+    out = running(stream, ["k"], {"n": ("count", "v"), "s": ("sum", "v"), "m": ("avg", "v"), "lo": ("min", "v")})
+    out.writeStream.format("memory").queryName("run").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    rows = {(r.k, r._time.second): (r.n, r.s, r.m, r.lo) for r in spark.table("run").collect()}
+    assert len(rows) == 5 and rows["b", 3] == (1, 5.0, 5.0, 5.0) and max(r[1] for k, r in rows.items() if k[0] == "a") == 7.0 and max(r[0] for r in rows.values()) == 3
+    with pytest.raises(QueryError):
+        running(stream, ["k"], {"x": ("mode", "v")})
+
+
+def test_saved_queries_are_kept(spark, tmp_path):
+    store = "file://" + str(tmp_path)
+    e = Engine(spark, now=NOW, store=store)
+    e.catalog.add("x", spark.range(10), order=("id",))
+    e.saved["few"] = "from x | where id < 3"
+    e.saved["few"] = "from x | where id < 4"
+    e.fragments["odd"] = "where id % 2 == 1"
+    with pytest.raises(QueryError):
+        e.saved["bad"] = "from x | nonsense"
+    again = Engine(spark, now=NOW, store=store)
+    again.catalog = e.catalog
+    assert again.run_saved("few").count() == 4 and again.query('from x | use "@odd"').count() == 5 and [s["name"] for s in again.saved.list()] == ["few"]
+    del again.saved["few"]
+    assert "few" not in Engine(spark, store=store).saved
+
+
+def test_analyze_tells_what_nodes_did(spark):
+    e = Engine(spark, now=NOW)
+    e.catalog.add("x", spark.range(1_000), order=("id",))
+    text = e.analyze("from x | where id < 100 | extend g = id % 7 | stats count() as n by g")
+    assert "HashAggregate" in text and "numOutputRows=7" in text and "numOutputRows=100" in text or "numOutputRows=1000" in text
+
+
 def test_approximate_engine(spark):
     e = Engine(spark, now=NOW, approximate=True)
     e.catalog.add("n", spark.range(10_000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 2).alias("g")))
