@@ -347,27 +347,34 @@ def slot_types(shapes: DataFrame, first_line: bool = False) -> DataFrame:
         from brindle.functions import slots as S
 
         for b in batches:
-            found: dict[tuple[str, str], list[int]] = {}
-            for event, template in zip(b.column("event").to_pylist(), b.column("template").to_pylist()):
+            coded = b.column("template").dictionary_encode()
+            texts = coded.dictionary.to_pylist()
+            slots_of: list[list[str] | None] = [None] * len(texts)
+            found: dict[tuple[int, str], list[int]] = {}
+            for event, code in zip(b.column("event").to_pylist(), coded.indices.to_pylist()):
                 x = S.tokenised(event.split("\n", 1)[0] if first_line else event)
                 stamp = S.stamp_of(x)
-                all_ = found.setdefault((template, ""), [0, 0, 0])
+                all_ = found.setdefault((code, ""), [0, 0, 0])
                 all_[0] += 1
                 if stamp is None:
                     continue
                 all_[1] += 1
-                slots = S.aligned(template.split(_SEP)[1:], x.symbols)
-                if slots is None or stamp.pairs is not None:
+                if stamp.pairs is not None:
+                    continue
+                if slots_of[code] is None:
+                    slots_of[code] = texts[code].split(_SEP)[1:]
+                slots = S.aligned(slots_of[code], x.symbols)
+                if slots is None:
                     continue
                 high = min(len(slots), stamp.end + HEAD_TOKENS)
                 for i, place in zip(range(stamp.end, high), S.places(slots, x.symbols, stamp.end, high)):
                     t = S.held(x, i)
                     if t:
-                        c = found.setdefault((template, place), [0, 0, 0])
+                        c = found.setdefault((code, place), [0, 0, 0])
                         c[0] += 1
                         c[1] += bool(S.level_of(t))
                         c[2] += any(map(str.isdigit, t))
-            rows = [(t, p, *c) for (t, p), c in found.items()]
+            rows = [(texts[t], p, *c) for (t, p), c in found.items()]
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["template", "place", "n", "levels", "digits"])
 
@@ -399,22 +406,26 @@ def slot_roles(shapes: DataFrame, types: DataFrame, first_line: bool = False) ->
         names = [w.split()[0] for w in ROLES.split(", ")]
         for b in batches:
             rows = []
-            read: dict[str, list[str]] = {}
-            for key, event, template, has_level, has_digit in zip(*(b.column(c).to_pylist() for c in ("key", "event", "template", "levels", "digits"))):
+            coded = b.column("template").dictionary_encode()
+            texts = coded.dictionary.to_pylist()
+            known: list[tuple[list[str], set, set] | None] = [None] * len(texts)
+            has_level, has_digit = b.column("levels"), b.column("digits")
+            for n, (key, event, code) in enumerate(zip(b.column("key").to_pylist(), b.column("event").to_pylist(), coded.indices.to_pylist())):
                 x = S.tokenised(event.split("\n", 1)[0] if first_line else event)
                 stamp = S.stamp_of(x)
                 if stamp is None:
                     continue
                 levels, digits = [], []
                 if stamp.pairs is None:
-                    if template not in read:
-                        read[template] = template.split(_SEP)[1:]
-                    slots = S.aligned(read[template], x.symbols)
+                    if known[code] is None:
+                        known[code] = texts[code].split(_SEP)[1:], set(has_level[n].as_py()), set(has_digit[n].as_py())
+                    template, level_at, digit_at = known[code]
+                    slots = S.aligned(template, x.symbols)
                     if slots is not None:
                         at = S.places(slots, x.symbols, stamp.end, min(len(slots), stamp.end + HEAD_TOKENS))
-                        levels, digits = [p in has_level for p in at], [p in has_digit for p in at]
+                        levels, digits = [p in level_at for p in at], [p in digit_at for p in at]
                 r = S.roles(x, stamp, levels, digits)
-                rows.append((key, *r.stamp, r.level, r.priority, *r.component, *r.message, r.json, template))
+                rows.append((key, *r.stamp, r.level, r.priority, *r.component, *r.message, r.json, texts[code]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
     return typed.mapInArrow(run, ROLES)
