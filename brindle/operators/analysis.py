@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions.aggregates import PERCENTILE_ACCURACY
 from brindle.functions.scalar import text
 from brindle.operators import runs
-from brindle.operators.stages import ORD, Frame, _keys, q, time_bucket
+from brindle.operators.stages import ORD, Frame, _keys, q, time_bucket, with_keys
 from brindle.plans.binding import Typed, bind, predicate
 from brindle.plans.syntax import QueryError
 
@@ -68,19 +68,20 @@ def sessionize(f: Frame, maxpause: int = HALF_HOUR, by=()) -> Frame:
     """_session_id (1, 2, ... by keys and start), _session_start, _session_end; a gap longer than maxpause begins a session."""
     is_new = lambda before: (before.isNull() | q("_time").isNull() | (F.unix_micros("_time") - F.unix_micros(before) > int(maxpause))).cast("int")
     ends = [F.min("_time").alias("_session_start"), F.max("_time").alias("_session_end")]
-    if not by:
-        df = runs.blocked(f.df.withColumn("__at", F.struct(q("_time"), f.ord().alias("o"))), "__at")
+    df, names = with_keys(f, by)
+    if not names or runs.is_hot(df, names):
+        df = runs.blocked(df.withColumn("__at", F.struct(q("_time"), f.ord().alias("o"))), "__at", names)
         df = runs.carried(df, {"__t": (F.max("_time"), F.max)})
         df = df.withColumn("__new", is_new(F.coalesce(F.lag("_time").over(Window.partitionBy(runs.BLOCK).orderBy("__at")), "__t")))
-        df = runs.carried(df, {"__c": (F.sum("__new"), F.sum)}).withColumn("_session_id", F.sum("__new").over(runs.inside("__at")) + F.coalesce("__c", F.lit(0).cast("bigint")))
-        one = df.groupBy(F.col("_session_id").alias("__s")).agg(*ends)
-        return f.to(df.join(one, q("_session_id") == q("__s")).drop("__s", "__new", "__t", "__c", "__at", runs.BLOCK))
-    keys = [(f"__g{i}", c) for i, (_, c, _) in enumerate(_keys(f, by))]
-    df = f.df.withColumns(dict(keys))
-    names = [n for n, _ in keys]
-    w = Window.partitionBy(*names).orderBy(q("_time"), f.ord())
-    df = df.withColumn("__new", is_new(F.lag("_time").over(w)))
-    df = df.withColumn("__s", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        df = runs.carried(df, {"__c": (F.sum("__new"), F.sum)}).withColumn("__s", F.sum("__new").over(runs.inside("__at")) + F.coalesce("__c", F.lit(0).cast("bigint")))
+        df = df.drop("__t", "__c", "__at", runs.BLOCK)
+        if not names:
+            one = df.groupBy(F.col("__s").alias("_session_id")).agg(*ends)
+            return f.to(df.join(one, q("_session_id") == q("__s")).drop("__s", "__new"))
+    else:
+        w = Window.partitionBy(*names).orderBy(q("_time"), f.ord())
+        df = df.withColumn("__new", is_new(F.lag("_time").over(w)))
+        df = df.withColumn("__s", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # one row for each session, numbered in ranges of keys and start
     one = df.groupBy(*names, "__s").agg(*ends).withColumn("__at", F.struct(*names, "_session_start", "__s"))
     one = runs.numbered(runs.ranged(one, F.col("__at")), "__at", "_session_id").withColumn("_session_id", F.col("_session_id").cast("bigint"))
@@ -95,15 +96,26 @@ def sessionize(f: Frame, maxpause: int = HALF_HOUR, by=()) -> Frame:
 def transaction(f: Frame, fields: list[str], maxspan: int | None = None, startswith=None, endswith=None) -> Frame:
     """One row for each group of events: eventcount, duration (seconds), _raw joined, the rest of its first event."""
     scope = f.scope()
-    w = Window.partitionBy(*(q(c) for c in fields)).orderBy(q("_time"), f.ord())
-    new = F.lag("_time").over(w).isNull()
-    if maxspan is not None:
-        new = new | ((F.unix_micros("_time") - F.unix_micros(F.lag("_time").over(w))) > int(maxspan))
-    if startswith is not None:
-        new = new | F.coalesce(predicate(startswith, scope), F.lit(False))
-    if endswith is not None:
-        new = new | F.coalesce(F.lag(predicate(endswith, scope)).over(w), F.lit(False))
-    df = f.df.withColumn(ORD, f.ord()).withColumn("__new", new.cast("int")).withColumn("__t", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = F.coalesce(predicate(startswith, scope), F.lit(False)) if startswith is not None else F.lit(False)
+    ends = F.coalesce(predicate(endswith, scope), F.lit(False)) if endswith is not None else F.lit(False)
+
+    def new(before: Column, ended: Column) -> Column:
+        out = before.isNull() | starts | F.coalesce(ended, F.lit(False))
+        if maxspan is not None:
+            out = out | F.coalesce(F.unix_micros("_time") - F.unix_micros(before) > int(maxspan), F.lit(False))
+        return out.cast("int")
+
+    df = f.df.withColumn(ORD, f.ord()).withColumn("__ends", ends).withColumn("__at", F.struct(q("_time"), ORD))
+    if runs.is_hot(df, fields):
+        df = runs.blocked(df, "__at", fields)
+        df = runs.carried(df, {"__t": (F.max("_time"), F.max), "__e": (F.max_by("__ends", "__at"), lambda c: F.last(c, ignorenulls=True))})
+        w = Window.partitionBy(runs.BLOCK).orderBy("__at")
+        first = F.row_number().over(w) == 1
+        df = df.withColumn("__new", new(F.when(first, q("__t")).otherwise(F.lag("_time").over(w)), F.when(first, q("__e")).otherwise(F.lag("__ends").over(w))))
+        df = runs.carried(df, {"__c": (F.sum("__new"), F.sum)}).withColumn("__t", F.sum("__new").over(runs.inside("__at")) + F.coalesce("__c", F.lit(0).cast("bigint"))).drop(runs.BLOCK, "__c", "__e")
+    else:
+        w = Window.partitionBy(*(q(c) for c in fields)).orderBy("__at")
+        df = df.withColumn("__new", new(F.lag("_time").over(w), F.lag("__ends").over(w))).withColumn("__t", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     order = F.struct("_time", ORD)
     rest = [c for c in f.columns if c not in (*fields, "_time", "_raw", "eventcount", "duration")]
     aggs = [

@@ -4,7 +4,10 @@ Rows are put into blocks that follow each other in the order: a minute of time e
 the order begins with _time, else ranges of the order, written once so that every use sees
 the same blocks. Inside a block a window gives the running value, one row a block says
 what came before it, and both are put together. Frames of n rows are cut out of blocks of
-equal size, made from row numbers, with the n rows before each copied into it.
+equal size, made from row numbers, with the n rows before each copied into it. Groups may
+be run over in the same way, each by itself: then a block is one of its group, and a group
+that holds a third of all rows is no task of its own. That costs a further aggregate, so
+it is done where is_hot finds such a group in an input that is large.
 
 Defined results: those of one window over all rows; rows of equal order follow each other
 in any order; an empty table gives an empty one.
@@ -23,6 +26,8 @@ from brindle.plans.shared import work_path
 #: Microseconds of a time block, and rows of a block of equal size.
 SPAN, BLOCK_ROWS = 60_000_000, 100_000
 BLOCK = "__block"
+#: Size of an input from which its groups are looked at, and rows from which a group is hot.
+HOT_BYTES, HOT_ROWS = 8 << 30, 10_000_000
 _FIRST = Window.unboundedPreceding
 
 
@@ -33,13 +38,23 @@ def ranged(df: DataFrame, *by: Column) -> DataFrame:
     return df.sparkSession.read.parquet(at)
 
 
-def blocked(df: DataFrame, order: str) -> DataFrame:
-    """df with the block of each row; order is a column that compares rows."""
+def is_hot(df: DataFrame, keys: list[str]) -> bool:
+    """Whether a group of keys is too large for one task. Small inputs aren't looked at."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < HOT_BYTES:
+        return False
+    return not df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_ROWS).isEmpty()
+
+
+def blocked(df: DataFrame, order: str, keys: list[str] = ()) -> DataFrame:
+    """df with the block of each row; order is a column that compares rows. With keys each group has blocks of its own."""
     t = df.schema[order].dataType
     if isinstance(t, T.StructType) and t.names[:1] == ["_time"] and isinstance(t.fields[0].dataType, (T.TimestampType, T.TimestampNTZType)):
         time = F.unix_micros(F.col(order).getField("_time").cast("timestamp"))
-        return df.withColumn(BLOCK, F.coalesce(F.floor(time / SPAN), F.lit(-(2**62))))
-    return ranged(df, F.col(order))
+        out = df.withColumn(BLOCK, F.coalesce(F.floor(time / SPAN), F.lit(-(2**62))))
+    else:
+        out = ranged(df, F.col(order))
+    # equal structs have equal fields, nulls too
+    return out.withColumn(BLOCK, F.struct(*(F.col(k) for k in keys), F.col(BLOCK).alias("__b"))) if keys else out
 
 
 def inside(order: str | Column, low: int = _FIRST, high: int = 0):
@@ -47,31 +62,33 @@ def inside(order: str | Column, low: int = _FIRST, high: int = 0):
 
 
 def carried(df: DataFrame, state: dict[str, tuple[Column, Callable]]) -> DataFrame:
-    """df with columns name: what an aggregate of the blocks before a row's block comes to. One row for each block is gathered."""
-    before = Window.orderBy(BLOCK).rowsBetween(_FIRST, -1)
+    """df with columns name: what an aggregate of the blocks before a row's block (of its group) comes to. One row for each block is gathered."""
+    t = df.schema[BLOCK].dataType
+    groups = [F.col(BLOCK).getField(n) for n in t.names if n != "__b"] if isinstance(t, T.StructType) and "__b" in t.names else []
+    before = Window.partitionBy(*groups).orderBy(BLOCK).rowsBetween(_FIRST, -1)
     blocks = df.groupBy(BLOCK).agg(*(c.alias(n) for n, (c, _) in state.items()))
     return df.join(blocks.select(BLOCK, *(how(F.col(n)).over(before).alias(n) for n, (_, how) in state.items())), BLOCK)
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """df, which has blocks, with the number of each row in the whole order, from 1."""
+    """df, which has blocks, with the number of each row in the whole order (of its group), from 1."""
     df = carried(df, {"__before": (F.count("*"), F.sum)})
     return df.withColumn(name, F.row_number().over(Window.partitionBy(BLOCK).orderBy(order)) + F.coalesce("__before", F.lit(0).cast("bigint"))).drop("__before")
 
 
-def framed(df: DataFrame, order: str, columns: dict[str, Column], before: int, after: int) -> DataFrame:
-    """df with window columns over __piece that look at most before rows back and after rows ahead."""
+def framed(df: DataFrame, order: str, columns: dict[str, Column], before: int, after: int, keys: list[str] = ()) -> DataFrame:
+    """df with window columns over piece(keys) that look at most before rows back and after rows ahead."""
     size = max(BLOCK_ROWS, before, after)
-    df = numbered(blocked(df, order), order, "__n").drop(BLOCK)
+    df = numbered(blocked(df, order, keys), order, "__n").drop(BLOCK)
     home, at = F.floor((F.col("__n") - 1) / size), (F.col("__n") - 1) % size
     near = F.array_compact(F.array(home, F.when(at >= size - before, home + 1) if before else F.lit(None).cast("bigint"), F.when((at < after) & (home > 0), home - 1) if after else F.lit(None).cast("bigint")))
     copies = df.withColumn("__home", home).withColumn("__piece", F.explode(near))
     return copies.withColumns(columns).filter("__piece = __home").drop("__piece", "__home", "__n")
 
 
-def piece():
+def piece(keys: list[str] = ()):
     """Order and pieces of framed windows."""
-    return Window.partitionBy("__piece").orderBy("__n")
+    return Window.partitionBy(*keys, "__piece").orderBy("__n")
 
 
 class Running:

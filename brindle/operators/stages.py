@@ -202,31 +202,39 @@ def eventstats(f: Frame, aggs: list[Agg], by=()) -> Frame:
 CUMULATIVE = "count sum rate avg min max stdev var stdevp varp sumsq range first last earliest latest running_sum row_number per_second per_minute per_hour per_day".split()
 
 
+def with_keys(f: Frame, by) -> tuple[DataFrame, list[str]]:
+    """The frame's rows with the group keys as hidden columns, and their names."""
+    keys = {f"__k{i}": c for i, (_, c, _) in enumerate(_keys(f, by))}
+    return (f.df.withColumns(keys) if keys else f.df), list(keys)
+
+
 def streamstats(f: Frame, aggs: list[Agg], by=(), window: int = 0, current: bool = True) -> Frame:
-    """Running aggregates of each group. Without groups they run over blocks of rows (brindle.operators.runs), but for those that hold all values seen so far."""
+    """Running aggregates of each group. Without groups, or with one that is hot, they run over blocks of rows (brindle.operators.runs), but for those that hold all values seen so far."""
     scope = f.scope()
     bounded = bool(window and window > 0)
     low = Window.unboundedPreceding if not bounded else -(window - 1) if current else -window
-    if by:
-        w = Window.partitionBy(*(c for _, c, _ in _keys(f, by))).orderBy(f.ord())
-        return f.to(f.df.withColumns({a.alias: window_column(a, scope, f.ord(), w, w.rowsBetween(low, 0 if current else -1)) for a in aggs}))
+    df, keys = with_keys(f, by)
+    if keys and not runs.is_hot(df, keys):
+        w = Window.partitionBy(*keys).orderBy(f.ord())
+        return f.to(df.withColumns({a.alias: window_column(a, scope, f.ord(), w, w.rowsBetween(low, 0 if current else -1)) for a in aggs}).drop(*keys))
     names = {id(a): f"__o{i}" for i, a in enumerate(aggs)}
     reach = [a for a in aggs if a.name in ("lag", "lead", "moving_avg") or bounded and a.name not in ("row_number", "running_sum")]
     running = [a for a in aggs if a not in reach and a.name in CUMULATIVE]
-    df = f.df.withColumn(ORD, f.ord())
+    df = df.withColumn(ORD, f.ord())
     if running:
-        df = _running(df, running, names, scope, current)
+        df = _running(df, running, names, scope, current, keys)
     if reach:
         rows = lambda a: int(bind(a.args[1], scope).value) if len(a.args) > 1 and a.name in ("lag", "lead", "moving_avg") else 1 if a.name in ("lag", "lead") else window or 0
-        made = {names[id(a)]: window_column(a, scope, F.col(ORD), runs.piece(), runs.piece().rowsBetween(low, 0 if current else -1)) for a in reach}
-        df = runs.framed(df, ORD, made, max((rows(a) for a in reach if a.name != "lead"), default=0), max((rows(a) for a in reach if a.name == "lead"), default=0))
-    w = Window.partitionBy().orderBy(F.col(ORD))
+        w = runs.piece(keys)
+        made = {names[id(a)]: window_column(a, scope, F.col(ORD), w, w.rowsBetween(low, 0 if current else -1)) for a in reach}
+        df = runs.framed(df, ORD, made, max((rows(a) for a in reach if a.name != "lead"), default=0), max((rows(a) for a in reach if a.name == "lead"), default=0), keys)
+    w = Window.partitionBy(*keys).orderBy(F.col(ORD))
     df = df.withColumns({a.alias: q(names[id(a)]) if a in reach or a in running else window_column(a, scope, F.col(ORD), w, w.rowsBetween(low, 0 if current else -1)) for a in aggs})
-    return f.to(df.drop(*names.values()))
+    return f.to(df.drop(*names.values(), *keys))
 
 
-def _running(df: DataFrame, aggs: list[Agg], names: dict, scope: Scope, current: bool) -> DataFrame:
-    df = runs.blocked(df, ORD)
+def _running(df: DataFrame, aggs: list[Agg], names: dict, scope: Scope, current: bool, keys: list[str]) -> DataFrame:
+    df = runs.blocked(df, ORD, keys)
     r = {c: runs.Running(ORD, c) for c in (True, False)}
     middles = {}
     for a in aggs:
@@ -473,11 +481,12 @@ def baseline(f: Frame, field: str, window: int, by=()) -> Frame:
 
 def changes(f: Frame, field: str, by=()) -> Frame:
     """Rows whose value differs from the previous non-null one of its group, in time order."""
-    if not by:
-        df = runs.blocked(f.df.withColumn(ORD, f.ord()).withColumn("__c", F.struct(*(["_time"] if "_time" in f.columns else []), ORD)), "__c")
+    df, keys = with_keys(f, by)
+    if not keys or runs.is_hot(df, keys):
+        df = runs.blocked(df.withColumn(ORD, f.ord()).withColumn("__c", F.struct(*(["_time"] if "_time" in f.columns else []), ORD)), "__c", keys)
         r = runs.Running("__c", False)
         r.out = {f"previous_{field}": r.last(q(field), F.col("__c"))}
-        out = r.applied(df).drop(runs.BLOCK, "__c")
+        out = r.applied(df).drop(runs.BLOCK, "__c", *keys)
         return f.to(out.filter(q(field).isNotNull() & q(f"previous_{field}").isNotNull() & (q(field) != q(f"previous_{field}"))))
     order = F.struct("_time", f.ord()) if "_time" in f.columns else f.ord()
     w = Window.partitionBy(*(c for _, c, _ in _keys(f, by))).orderBy(order)

@@ -289,6 +289,25 @@ def test_running_without_groups(spark, monkeypatch):
                 assert "__block" in part[:400] or "avg" in part[:900] or "count" in part[:900] or "corr" in part[:900] or "Range" in plan, (text, part[:900])
 
 
+def test_hot_groups_run_in_blocks(spark, monkeypatch):
+    """The same rows whether a group is a task or many blocks."""
+    from brindle.operators import runs
+
+    rows = spark.range(300).select("id", F.when(F.col("id") % 13 != 0, F.timestamp_seconds(F.col("id") * 37 % 3_001)).alias("_time"), F.when(F.col("id") % 5 != 0, (F.col("id") * 7919 % 101).cast("double")).alias("v"), F.when(F.col("id") % 4 > 0, F.lit("hot")).otherwise(F.when(F.col("id") % 8 == 0, F.col("id").cast("string"))).alias("g"), F.lit("x").alias("_raw")).repartition(4)
+    e = Engine(spark, now=NOW)
+    e.catalog.add("r", rows, order=("id",))
+    texts = [
+        "streamstats sum(v) as s, row_number() as i, lag(v, 2) as l, lead(v) as n, moving_avg(v, 4) as m, max(v) as hi, stdev(v) as d by g | extend d = round(d, 6)", "streamstats current=false window=3 avg(v) as a, count(v) as c by g", "baseline v window=5 by g | extend z = round(z, 6)",
+        "changes v by g", "sessionize maxpause=20s by g", "where exists(_time) | transaction g maxspan=20s", "where exists(_time) | transaction g startswith=v > 90.0 endswith=v < 10.0 | keep g, _time, eventcount, duration, id",
+    ]
+    plain = [sorted(e.query(f"from r | {t}").collect(), key=str) for t in texts]
+    monkeypatch.setattr(runs, "HOT_BYTES", 0)
+    monkeypatch.setattr(runs, "HOT_ROWS", 100)
+    monkeypatch.setattr(runs, "BLOCK_ROWS", 9)
+    for t, want in zip(texts, plain):
+        assert sorted(e.query(f"from r | {t}").collect(), key=str) == want, t
+
+
 def test_time_ranges():
     assert instant("-1h", NOW) == NOW - dt.timedelta(hours=1)
     assert instant("@d", NOW) == dt.datetime(2026, 2, 10, tzinfo=dt.UTC)
