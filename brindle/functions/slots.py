@@ -66,11 +66,12 @@ def tokenised(text: str) -> Line:
     blank = ""
     i = 0
     for t in _TOKEN.findall(text):
-        c = t[0]
-        if c.isspace():
+        if t.isspace():
             blank = " "
         else:
-            if c.isdigit():
+            if t.isalpha():
+                s = t
+            elif t.isdigit():
                 s = NUMBER
             elif len(t) > 1 and any(map(str.isdigit, t)):
                 s = ID
