@@ -65,10 +65,15 @@ def locate(df: DataFrame) -> DataFrame:
 def surplus(located: DataFrame) -> DataFrame:
     """(row_id_a, row_id_b, file, pos) of each delivery that isn't the first of its message.
 
+    The narrow rows are written once, since both sides of the join read them and finding
+    identifiers in texts costs more than that.
     Winners are a partial aggregate. The rows of the hottest groups (at most HOT_GROUPS,
     so their broadcast is bounded) find their winner without a shuffle; in the join their
     key is spread over all tasks.
     """
+    at = work_path(located.sparkSession, "located")
+    located.write.parquet(at)
+    located = located.sparkSession.read.parquet(at)
     place = F.struct("row_id", "file", "pos")
     winners = (
         located.groupBy("source", "id").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")

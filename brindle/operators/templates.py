@@ -467,7 +467,7 @@ def with_roles(lines: DataFrame, roles: DataFrame) -> DataFrame:
     inside = F.coalesce(part("message_from", "message_to"), F.lit(""))
     plain = F.when(F.col("json"), F.coalesce(F.get_json_object(F.concat(F.lit('{"m":"'), inside, F.lit('"}')), "$.m"), inside)).otherwise(F.replace(inside, F.lit('\\"'), F.lit('"')))
     keep = [F.col(f"`{c}`") for c in lines.columns if c not in ("sig", "key", "at")]
-    step = joined.select(*keep, "template", stamp.alias("stamp"), F.when(F.col("priority") >= 0, severity).otherwise(F.col("level")).alias("log_level"), F.coalesce(part("component_from", "component_to"), F.lit("")).alias("component"), F.when(F.col("message_to") < 0, rest).otherwise(plain).alias("message"))
+    step = joined.select(*keep, "template", stamp.alias("stamp"), F.when(F.col("priority") >= 0, F.coalesce(severity, F.lit(""))).otherwise(F.col("level")).alias("log_level"), F.coalesce(part("component_from", "component_to"), F.lit("")).alias("component"), F.when(F.col("message_to") < 0, rest).otherwise(plain).alias("message"))
     own = F.col("template").isNotNull() & F.coalesce(F.col("stamp").rlike(_CLOCK), F.lit(False))
     return step.select(*keep, *(F.when(own, F.col(c)).alias(c) for c in ("stamp", "log_level", "component", "message", "template")))
 
