@@ -116,6 +116,17 @@ _RAW_LEVEL = r"""upper(CASE WHEN event LIKE '<%' THEN ['emerg','alert','crit','e
   WHEN regexp_matches(event, '^\S+ \S+ \[\w+\] \d+#') THEN regexp_extract(event, '^\S+ \S+ \[(\w+)\]', 1)
   WHEN regexp_matches(event, '^\S+ \[') THEN regexp_extract(event, '^\S+ \[(\w+)\]', 1)
   ELSE regexp_extract(event, '^\S+ \S+ (\w+) +\[', 1) END)"""
+_RAW_COMPONENT = r"""CASE WHEN event LIKE '<%>1 %' THEN nullif(string_split(event, ' ')[4], '-')
+  WHEN event LIKE '<%' THEN regexp_extract(event, '\d\d:\d\d:\d\d \S+ ([^\s:\[]+)(?:\[\d+\])?: ', 1)
+  WHEN event LIKE '{%' THEN coalesce(json_extract_string(event, '$.component'), json_extract_string(event, '$.logger'), json_extract_string(event, '$.service'))
+  WHEN event LIKE 'ts=%' THEN regexp_extract(event, ' (?:component|comp|logger|service)=([\w.-]+)', 1)
+  WHEN regexp_matches(event, '^[A-Z]\d{4} ') THEN regexp_extract(event, '^\S+ \S+ +\d+ (\w+)', 1)
+  WHEN regexp_matches(event, '^\S+ \S+ - ') THEN regexp_extract(event, '^\S+ \S+ - ([\w. -]+?) - ', 1)
+  WHEN regexp_matches(event, '^\S+ \S+ UTC \[') THEN regexp_extract(event, 'UTC \[\d+\] ([\w. -]*?) ?(?:[A-Z]+\d?)?:  ', 1)
+  WHEN regexp_matches(event, '^\[') THEN regexp_extract(event, '^\[[^\]]+\] (?:\w+ )?([\w.-]+): ', 1)
+  WHEN regexp_matches(event, '^\S+ \S+ (?:\[\w+\] )?\d+#\d+: ') THEN regexp_extract(event, ', module: ([^,\s]+)', 1)
+  WHEN regexp_matches(event, '^\S+ \[') THEN regexp_extract(event, '^\S+ (?:\[\w+\] )?\[([^\]]*)\] ', 1)
+  ELSE regexp_extract(event, '\[[^\]]*\] (\S+) +- ', 1) END"""
 _LEVEL = "CASE WHEN l IN ('TRACE','TRC','T') THEN 'TRACE' WHEN l IN ('DEBUG','DBG','D') THEN 'DEBUG' WHEN l IN ('INFO','INF','NOTICE','LOG','I') THEN 'INFO' WHEN l IN ('WARN','WARNING','WRN','W') THEN 'WARN' WHEN l IN ('ERROR','ERR','E') THEN 'ERROR' WHEN l IN ('FATAL','CRIT','CRITICAL','ALERT','EMERG','PANIC','F') THEN 'FATAL' ELSE '' END"
 _PENDING = """WITH RECURSIVE l AS (SELECT part_id, level, event_count, removed_at, inputs FROM part_files QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY listed_at DESC, removed_at IS NOT NULL DESC) = 1),
     e AS (SELECT DISTINCT part_id AS parent, event_count, removed_at IS NULL AS alive, regexp_replace(unnest(regexp_extract_all(inputs, '[A-Za-z0-9_.-]+')), '[.][a-z]+$', '') AS child FROM l WHERE level >= 1),
@@ -125,6 +136,7 @@ _PENDING = """WITH RECURSIVE l AS (SELECT part_id, level, event_count, removed_a
     pending AS (SELECT part_id FROM l WHERE level = 0 AND removed_at IS NULL AND part_id NOT IN (SELECT child FROM h)) """
 ORACLES: dict[str, str] = {
     "p1_spans": f"SELECT line_id, n_lines, {_LEVEL} AS log_level FROM (SELECT line_id, coalesce(lead(line_no) OVER (PARTITION BY source ORDER BY line_no), e + 1) - line_no AS n_lines, {_RAW_LEVEL} AS l FROM (SELECT *, max(line_no) OVER (PARTITION BY source) AS e FROM raw_lines) WHERE regexp_matches(event, '{_STARTS}'))",
+    "p1_found": f"SELECT line_id, n_lines, {_LEVEL} AS log_level, coalesce(k, '') AS component FROM (SELECT line_id, coalesce(lead(line_no) OVER (PARTITION BY source ORDER BY line_no), e + 1) - line_no AS n_lines, {_RAW_LEVEL} AS l, {_RAW_COMPONENT} AS k FROM (SELECT *, max(line_no) OVER (PARTITION BY source) AS e FROM raw_lines) WHERE regexp_matches(event, '{_STARTS}'))",
     "p2_kept_per_source": "WITH i AS (" + _IDS + ") SELECT source, count(*) AS n, count(*) FILTER (WHERE id IS NULL OR r = 1) AS n_kept FROM (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY row_id) AS r FROM i) GROUP BY 1",
     "p2_found": "WITH i AS (SELECT row_id, source, coalesce(" + ", ".join(_NORM.format(x) for x in ("msg_id", "(" + _JSON.format("fields_json") + ")", "(" + _IN_EVENT + ")")) + ") AS id FROM ingest_events) "
     "SELECT a AS row_id_a, row_id AS row_id_b FROM (SELECT row_id, min(row_id) OVER (PARTITION BY source, id) AS a FROM i WHERE id IS NOT NULL) WHERE a <> row_id",
