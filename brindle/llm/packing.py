@@ -25,7 +25,6 @@ from brindle.llm.tokens import VOCABULARY, sized
 from brindle.plans.shared import work_path
 
 SHARD_ITEMS = 20_000
-MAX_TARGETS = 1_000
 
 
 def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[int]:
@@ -79,20 +78,16 @@ def _pack(pdf):
 
 def packed(spark: SparkSession, documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """pack_id, container, doc_id, piece, start_token, tokens: every token of every text in exactly one container of each target."""
-    wanted = [(r["pack_id"], int(r["capacity_tokens"])) for r in targets.filter("capacity_tokens >= 1 and pack_id is not null").select("pack_id", "capacity_tokens").distinct().limit(MAX_TARGETS + 1).collect()]
-    if len(wanted) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} pack targets")
     at = work_path(spark, "sizes")
     sized(documents, vocabulary).filter("tokens > 0").write.parquet(at)
     sizes = spark.read.parquet(at)
     schema = "pack_id string, container string, doc_id bigint, piece bigint, start_token bigint, tokens bigint"
-    if not wanted:
-        return spark.createDataFrame([], schema)
     shards = max(1, -(-sizes.count() // shard_items))
-    target = F.explode(F.array(*(F.struct(F.lit(p).alias("pack_id"), F.lit(c).cast("bigint").alias("capacity")) for p, c in wanted)))
+    # one row, which holds all targets
+    wanted = targets.filter("capacity_tokens >= 1 and pack_id is not null").select("pack_id", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
     pieces = (
-        sizes.select("*", target.alias("t"))
-        .select("doc_id", "source", "copy_of", "tokens", "t.*")
+        sizes.select("doc_id", "source", "copy_of", "tokens").join(F.broadcast(wanted.agg(F.collect_list(F.struct("pack_id", "capacity")).alias("targets"))))
+        .select("doc_id", "source", "copy_of", "tokens", F.explode("targets").alias("t")).select("doc_id", "source", "copy_of", "tokens", "t.*")
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(tokens - 1) div capacity"))))
         .withColumn("start_token", F.col("piece") * F.col("capacity"))
         .withColumn("size", F.least("capacity", F.col("tokens") - F.col("start_token")))
