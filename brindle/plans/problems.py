@@ -134,6 +134,32 @@ _PENDING = """WITH RECURSIVE l AS (SELECT part_id, level, event_count, removed_a
     k AS (SELECT e.* FROM e JOIN c USING (parent)),
     h AS (SELECT child FROM k WHERE alive UNION SELECT k.child FROM h JOIN k ON k.parent = h.child),
     pending AS (SELECT part_id FROM l WHERE level = 0 AND removed_at IS NULL AND part_id NOT IN (SELECT child FROM h)) """
+#: Instants that a local time x may be in zone tz: those that read as x there, tried half an hour to two hours around the one that SQL gives.
+_INSTANTS = "list_transform(list_filter([-7200000000, -3600000000, -1800000000, 0, 1800000000, 3600000000, 7200000000], lambda w: epoch_us(timezone(tz, make_timestamptz(epoch_us(timezone(tz, make_timestamp(x))) + w))) = x), lambda w: epoch_us(timezone(tz, make_timestamp(x))) + w)"
+_ISO = r"\d{4}[-/]\d\d[-/]\d\d[Tt ]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)?(?:Z| ?[+-]\d\d:?\d\d| (?:UTC|GMT|CET|CEST|EET|EEST|BST|IST|JST|[ECMP][SD]T|A[EWC][SD]T)\b)?"
+_STAMP = _ISO + r"|\d{8}T\d{6}Z|[A-Z][a-z]{2}, \d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d [+-]\d{4}|[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d|\d{10,19}(?:\.\d+)?"
+_TIMES = (r"""WITH s AS (SELECT row_id, epoch_us(received_at) AS rec, year(received_at) AS now, coalesce(tz, 'UTC') AS tz, lower(date_order) AS o, trim(event_time) AS sent, event FROM ingest_events e LEFT JOIN log_sources l USING (source)),
+t AS (SELECT row_id, rec, now, tz, o, CASE WHEN sent IS NOT NULL AND lower(sent) NOT IN ('', '-', 'null', 'none', 'n/a', 'unknown') THEN sent
+  WHEN ltrim(event) LIKE '{%' AND json_valid(event) THEN coalesce(json_extract_string(event, '$.timestamp'), json_extract_string(event, '$.ts'), json_extract_string(event, '$."@timestamp"'), json_extract_string(event, '$.time'))
+  ELSE coalesce(nullif(regexp_extract(event, '^(?:<\d+>(?:1 )?)?\[?(?:ts=)?(@@S)', 1), ''), nullif(regexp_extract(event, '^[IWEFD](\d{4} \d\d:\d\d:\d\d\.\d+)', 1), ''), nullif(regexp_extract(event, '^\S+ \S+ \S+ \[(\d\d/[A-Z][a-z]{2}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4})\]', 1), '')) END AS t FROM s),
+p AS (SELECT *, regexp_full_match(t, '\d{9,19}(\.\d+)?') AS bare,
+  regexp_extract(t, '(?:^|[T :])(\d\d):?(\d\d):?(\d\d)(?:[.,](\d+))?(?: ?[AP]M)?(?:Z| ?[+-]\d\d:?\d\d| [A-Z]{3,5})?$', ['h', 'm', 's', 'f']) AS k, regexp_extract(t, ' ([AP])M', 1) AS half,
+  regexp_extract(t, '([+-]\d\d):?(\d\d)$', ['h', 'm']) AS z, regexp_matches(t, '\dZ$') AS zulu, regexp_extract(t, ' ([A-Z]{3,5})$', 1) AS abbr,
+  CASE WHEN regexp_matches(t, '^\d{4}[-/]') THEN [t[1:4] || '-' || t[6:7] || '-' || t[9:10]] WHEN regexp_matches(t, '^\d{8}T') THEN [t[1:4] || '-' || t[5:6] || '-' || t[7:8]]
+    WHEN regexp_matches(t, '^\d\d\.\d\d\.\d{4}') THEN [t[7:10] || '-' || t[4:5] || '-' || t[1:2]]
+    WHEN regexp_matches(t, '^\d\d/\d\d/\d{4}') THEN (CASE WHEN o = 'dmy' THEN [t[7:10] || '-' || t[4:5] || '-' || t[1:2]] WHEN o = 'mdy' THEN [t[7:10] || '-' || t[1:2] || '-' || t[4:5]] ELSE [t[7:10] || '-' || t[4:5] || '-' || t[1:2], t[7:10] || '-' || t[1:2] || '-' || t[4:5]] END)
+    WHEN regexp_matches(t, '^\d\d/[A-Z]') THEN [strftime(strptime(t[1:11], '%d/%b/%Y'), '%Y-%m-%d')] WHEN regexp_matches(t, '^[A-Z][a-z]{2}, ') THEN [strftime(strptime(t[6:16], '%d %b %Y'), '%Y-%m-%d')]
+    WHEN regexp_matches(t, '^[A-Z][a-z]{2} ') THEN list_transform([now - 1, now, now + 1], lambda y: strftime(strptime(y || ' ' || t[1:3] || ' ' || trim(t[5:6]), '%Y %b %d'), '%Y-%m-%d'))
+    WHEN regexp_matches(t, '^\d{4} ') THEN list_transform([now - 1, now, now + 1], lambda y: y || '-' || t[1:2] || '-' || t[3:4]) END AS days FROM t WHERE t IS NOT NULL),
+q AS (SELECT row_id, rec, tz, bare, t, upper(abbr) AS abbr, CASE WHEN zulu THEN 0 WHEN z.h <> '' THEN (CASE WHEN z.h[1] = '-' THEN -1 ELSE 1 END) * (abs(TRY_CAST(z.h AS INT)) * 60 + TRY_CAST(z.m AS INT)) END AS off,
+  list_transform(list_filter(list_transform(days, lambda x: try_cast(x AS DATE)), lambda x: x IS NOT NULL), lambda x: epoch_us(CAST(x AS TIMESTAMP)) + ((TRY_CAST(nullif(k.h, '') AS BIGINT) % (CASE WHEN half = '' THEN 24 ELSE 12 END) + (CASE WHEN half = 'P' THEN 12 ELSE 0 END)) * 3600 + TRY_CAST(nullif(k.m, '') AS BIGINT) * 60 + TRY_CAST(nullif(k.s, '') AS BIGINT)) * 1000000 + TRY_CAST(rpad(k.f, 6, '0')[1:6] AS BIGINT)) AS loc FROM p),
+c AS (SELECT row_id, rec, bare, t, CASE WHEN off IS NOT NULL THEN list_transform(loc, lambda x: x - off * 60000000::BIGINT) ELSE flatten(list_transform(loc, lambda x: (CASE
+    WHEN len(@@I) = 0 THEN [epoch_us(timezone(tz, make_timestamp(x - 86400000000))) + 86400000000]
+    WHEN regexp_matches(abbr, '^([A-Z]{1,3}DT|CEST|EEST|BST|IST)$') THEN [list_min(@@I)]
+    WHEN abbr <> '' THEN [list_max(@@I)]
+    ELSE @@I END))) END AS u FROM q)
+SELECT row_id, CASE WHEN bare THEN (CASE length(string_split(t, '.')[1]) WHEN 10 THEN TRY_CAST(string_split(t, '.')[1] AS BIGINT) * 1000000 + TRY_CAST(rpad(coalesce(string_split(t, '.')[2], ''), 6, '0')[1:6] AS BIGINT) WHEN 13 THEN TRY_CAST(t AS BIGINT) * 1000 WHEN 16 THEN TRY_CAST(t AS BIGINT) ELSE TRY_CAST(t AS BIGINT) // 1000 END)
+  ELSE coalesce(list_max(list_filter(u, lambda x: x <= rec)), list_min(u)) END AS utc_us FROM c""").replace("@@S", _STAMP).replace("@@I", _INSTANTS)
 ORACLES: dict[str, str] = {
     "p1_spans": f"SELECT line_id, n_lines, {_LEVEL} AS log_level FROM (SELECT line_id, coalesce(lead(line_no) OVER (PARTITION BY source ORDER BY line_no), e + 1) - line_no AS n_lines, {_RAW_LEVEL} AS l FROM (SELECT *, max(line_no) OVER (PARTITION BY source) AS e FROM raw_lines) WHERE regexp_matches(event, '{_STARTS}'))",
     "p1_found": f"SELECT line_id, n_lines, {_LEVEL} AS log_level, coalesce(k, '') AS component FROM (SELECT line_id, coalesce(lead(line_no) OVER (PARTITION BY source ORDER BY line_no), e + 1) - line_no AS n_lines, {_RAW_LEVEL} AS l, {_RAW_COMPONENT} AS k FROM (SELECT *, max(line_no) OVER (PARTITION BY source) AS e FROM raw_lines) WHERE regexp_matches(event, '{_STARTS}'))",
@@ -142,5 +168,6 @@ ORACLES: dict[str, str] = {
     "SELECT a AS row_id_a, row_id AS row_id_b FROM (SELECT row_id, min(row_id) OVER (PARTITION BY source, id) AS a FROM i WHERE id IS NOT NULL) WHERE a <> row_id",
     "p2_kept": "WITH i AS (" + _IDS + ") SELECT e.* FROM ingest_events e JOIN (SELECT row_id, id, row_number() OVER (PARTITION BY source, id ORDER BY row_id) AS r FROM i) USING (row_id) WHERE id IS NULL OR r = 1",
     "p5_found": _PENDING + "SELECT part_id FROM pending",
+    "p6_found": _TIMES,
     "p5_totals": _PENDING + "SELECT part_id IN (SELECT part_id FROM pending) AS rewritten, count(*) AS event_count FROM ingest_events GROUP BY 1",
 }
