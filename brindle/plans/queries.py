@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.engine import Engine
@@ -160,7 +161,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
         "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS a, dayofweek(ts) AS b, strftime(to_timestamp(CAST(floor(epoch(ts) / 900) * 900 AS BIGINT)) AT TIME ZONE 'UTC', '%H:%M:%S') AS c, round((epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 1000000, 3) AS d, strftime(ts + INTERVAL 36 HOUR, '%d') AS e, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000, 6) AS f, '2024-02-05' AS g FROM events",
     ),
     "fn_hash": ("from nation | extend a = md5(n_name), b = sha1(n_name), c = sha256(n_name) | keep n_nationkey, a, b, c", "SELECT n_nationkey, md5(n_name) AS a, sha1(n_name) AS b, sha256(n_name) AS c FROM nation"),
-    "fn_xxhash": ("from region | extend h = xxhash64(r_name) | keep r_name, h", None),
+    "fn_xxhash": ("from region | extend h = xxhash64(r_name) | keep r_name, h", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{xxhash.xxh64_intdigest(n):x}')" for n in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + ") t(r_name, h)"),
     "fn_net": (
         "from backend_log | where exists(client_ip) | extend a = cidr_match(\"10.0.0.0/8\", client_ip), b = ipmask(\"255.255.0.0\", client_ip), c = ip_parse(client_ip).version | stats count() as n by a, b, c",
         "SELECT a, b, c, count(*) AS n FROM (SELECT client_ip LIKE '10.%' AS a, regexp_replace(client_ip, '\\.\\d+\\.\\d+$', '.0.0') AS b, 4 AS c FROM backend_log WHERE client_ip IS NOT NULL) GROUP BY ALL",
@@ -200,7 +201,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     ),
     "compare": ("from events[2024-01-15T00:00:00Z..2024-01-21T23:59:59Z] | stats count() as n by event_type | compare previous 7d", "SELECT event_type, n, p AS previous_n, n - p AS change_n FROM (SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND ts <= TIMESTAMP '2024-01-21 23:59:59' GROUP BY 1) LEFT JOIN (SELECT event_type, count(*) AS p FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts <= TIMESTAMP '2024-01-14 23:59:59' GROUP BY 1) USING (event_type)"),
     "patterns": ("from backend_log | patterns field=message max_templates=30", None),
-    "trace": ("from backend_log | where exists(trace_id) | extend operation = method | trace | stats count() as n, max(_span_depth) as depth by trace_id", None),
+    "trace": ("from backend_log | where exists(trace_id) | extend operation = method | trace | stats count() as n, max(_span_depth) as depth by trace_id", "SELECT trace_id, count(*) AS n, 0 AS depth FROM backend_log WHERE trace_id IS NOT NULL GROUP BY 1"),
 }
 
 
