@@ -161,13 +161,19 @@ c AS (SELECT row_id, rec, bare, t, CASE WHEN off IS NOT NULL THEN list_transform
 SELECT row_id, CASE WHEN bare THEN (CASE length(string_split(t, '.')[1]) WHEN 10 THEN TRY_CAST(string_split(t, '.')[1] AS BIGINT) * 1000000 + TRY_CAST(rpad(coalesce(string_split(t, '.')[2], ''), 6, '0')[1:6] AS BIGINT) WHEN 13 THEN TRY_CAST(t AS BIGINT) * 1000 WHEN 16 THEN TRY_CAST(t AS BIGINT) ELSE TRY_CAST(t AS BIGINT) // 1000 END)
   ELSE coalesce(list_max(list_filter(u, lambda x: x <= rec)), list_min(u)) END AS utc_us FROM c""").replace("@@S", _STAMP).replace("@@I", _INSTANTS)
 _OPENED = "CASE WHEN json_type({0}) = 'VARCHAR' AND regexp_matches({0} ->> '$', '^\\s*[\\[{{]') AND json_valid({0} ->> '$') THEN ({0} ->> '$')::JSON ELSE {0} END"
-_RECORDS = (
+_NODES = (
     "WITH RECURSIVE t AS (SELECT row_id, 'event' AS origin, event AS x FROM nested_events UNION ALL SELECT row_id, 'fields_json', fields_json FROM nested_events), "
     "n AS (SELECT row_id, origin, '$' AS path, '$' AS own, '$' AS parent, false AS el, " + _OPENED.format("(CASE WHEN json_valid(x) THEN x END)::JSON") + " AS j FROM t WHERE json_valid(x) "
     "UNION ALL SELECT row_id, origin, path, CASE WHEN el AND json_type(j) = 'OBJECT' THEN path ELSE own END, own, el, j FROM (SELECT row_id, origin, own, path || s.p AS path, s.el AS el, " + _OPENED.format("s.j") + " AS j FROM (SELECT row_id, origin, path, own, unnest(CASE json_type(j) "
     "WHEN 'OBJECT' THEN list_transform(json_keys(j), lambda k: {'p': '.' || k, 'el': false, 'j': json_extract(j, '$.\"' || k || '\"')}) "
     "WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(j) AS BIGINT)), lambda i: {'p': '[' || i || ']', 'el': true, 'j': json_extract(j, '$[' || i || ']')}) END) AS s FROM n))) "
-    "SELECT row_id, origin, parent AS parent_path, path AS child_path FROM n WHERE el AND json_type(j) = 'OBJECT'"
+)
+_RECORDS = _NODES + "SELECT row_id, origin, parent AS parent_path, path AS child_path FROM n WHERE el AND json_type(j) = 'OBJECT'"
+_LEAVES = _NODES + (
+    ", f AS (SELECT row_id, origin, own, regexp_replace(regexp_replace(path[length(own) + 1 :], '^[.]', ''), '\\[\\d+\\]', '[]', 'g') AS leaf, CAST(json_type(j) <> 'NULL' AS INT) AS v FROM n "
+    "WHERE json_type(j) NOT IN ('OBJECT', 'ARRAY') OR json_type(j) = 'ARRAY' AND json_array_length(j) = 0 OR json_type(j) = 'OBJECT' AND NOT el AND path <> '$' AND len(json_keys(j)) = 0), "
+    "a AS (SELECT own, leaf, v FROM f UNION ALL SELECT own, NULL, 0 FROM n WHERE el AND json_type(j) = 'OBJECT' AND NOT EXISTS (SELECT 1 FROM f WHERE f.row_id = n.row_id AND f.origin = n.origin AND f.own = n.own)) "
+    "SELECT regexp_replace(own, '\\[\\d+\\]', '[]', 'g') AS \"table\", leaf, CAST(sum(v) AS BIGINT) AS n_values FROM a GROUP BY 1, 2"
 )
 ORACLES: dict[str, str] = {
     "p1_spans": f"SELECT line_id, n_lines, {_LEVEL} AS log_level FROM (SELECT line_id, coalesce(lead(line_no) OVER (PARTITION BY source ORDER BY line_no), e + 1) - line_no AS n_lines, {_RAW_LEVEL} AS l FROM (SELECT *, max(line_no) OVER (PARTITION BY source) AS e FROM raw_lines) WHERE regexp_matches(event, '{_STARTS}'))",
@@ -178,6 +184,7 @@ ORACLES: dict[str, str] = {
     "p2_kept": "WITH i AS (" + _IDS + ") SELECT e.* FROM ingest_events e JOIN (SELECT row_id, id, row_number() OVER (PARTITION BY source, id ORDER BY row_id) AS r FROM i) USING (row_id) WHERE id IS NULL OR r = 1",
     "p5_found": _PENDING + "SELECT part_id FROM pending",
     "p4_found": _RECORDS,
+    "p4_columns": _LEAVES,
     "p6_found": _TIMES,
     "p6_events": f"SELECT e.*, u.utc_us, make_timestamptz(u.utc_us) AS event_utc FROM ingest_events e LEFT JOIN ({_TIMES}) u USING (row_id)",
     "p5_totals": _PENDING + "SELECT part_id IN (SELECT part_id FROM pending) AS rewritten, count(*) AS event_count FROM ingest_events GROUP BY 1",
