@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,8 @@ class Engine:
         self.fragments, self.saved = Saved(spark, store, "fragments"), Saved(spark, store, "saved")
         self.views = Views(spark, store)
         self.warnings: list[str] = []
+        #: The last queries of this engine: text, start and seconds until bound.
+        self.history: deque[tuple[str, dt.datetime, float]] = deque(maxlen=1_000)
 
     # queries
     def query(self, text: str, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -85,7 +88,10 @@ class Engine:
         now = self.now or dt.datetime.now(dt.UTC)
         self.warnings = []
         moving = any(t and instant(t, now) != instant(t, now + dt.timedelta(days=1)) for t in (since, until))
-        return Run(self, now, instant(since, now) if since else None, instant(until, now) if until else None, dry=dry, moving=moving).query(tree)
+        begun = dt.datetime.now(dt.UTC)
+        found = Run(self, now, instant(since, now) if since else None, instant(until, now) if until else None, dry=dry, moving=moving).query(tree)
+        self.history.append((text, begun, (dt.datetime.now(dt.UTC) - begun).total_seconds()))
+        return found
 
     def explain(self, text: str) -> str:
         """The stages as understood, and Spark's plan for them; nothing is written."""
@@ -161,6 +167,21 @@ class Engine:
         rows = [(n, f, t) for n in self.catalog.names() for f, t in self.catalog.open(n).df.dtypes]
         return self.spark.createDataFrame(rows, "source string, field string, type string")
 
+    def parts(self) -> DataFrame:
+        """source, path, size_bytes, modified and event_count of every file behind a registered source."""
+        out = self.spark.createDataFrame([], "source string, path string, size_bytes bigint, modified timestamp, event_count bigint")
+        for name in self.catalog.names():
+            df = self.catalog.open(name).given
+            if df is not None and df.inputFiles():
+                m = "_metadata.file_"
+                files = df.groupBy(F.col(f"{m}path").alias("path"), F.col(f"{m}size").alias("size_bytes"), F.col(f"{m}modification_time").alias("modified")).agg(F.count("*").alias("event_count"))
+                out = out.unionByName(files.select(F.lit(name).alias("source"), "path", "size_bytes", "modified", "event_count"))
+        return out
+
+    def queries(self) -> DataFrame:
+        """text, _time and bind_seconds of this engine's last queries."""
+        return self.spark.createDataFrame(list(self.history), "text string, _time timestamp, bind_seconds double")
+
     def refresh_view(self, name: str) -> None:
         """Run a view's own query again over all rows."""
         v = self.views._get(name)
@@ -187,6 +208,10 @@ class Engine:
         return self.spark.createDataFrame([(n, ", ".join(self.catalog.open(n).df.columns)) for n in self.catalog.names()], "source string, fields string")
 
 
+#: Tables that an engine keeps about itself.
+SYSTEM = {"system.columns": Engine.columns, "system.parts": Engine.parts, "system.queries": Engine.queries, "system.views": lambda e: e.spark.createDataFrame([(v["name"], v["query"], v["mergeable"], v["created"]) for v in e.views.list()], "name string, query string, mergeable boolean, created string")}
+
+
 class Pipe:
     """The same stages as methods; each takes its arguments as the language spells them."""
 
@@ -262,6 +287,8 @@ class Run:
         """What tells one state of the sources of a query from another: their files and sizes, else their plan."""
         import hashlib
 
+        if first.args["sources"][0] in SYSTEM:
+            return None
         df = self.e.catalog.resolve(first.args["sources"]).df
         files = sorted(df.inputFiles())
         size = str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -293,6 +320,8 @@ class Run:
         names = s.args["sources"]
         if names[0].startswith("$"):
             f = self.let(names[0])
+        elif len(names) == 1 and names[0] in SYSTEM and names[0] not in self.e.catalog.names():
+            f = Frame(SYSTEM[names[0]](self.e), self.now)
         elif len(names) == 1 and self.e.views.has(names[0]) and names[0] not in self.e.catalog.names():
             f = Frame(self.e.views.read(names[0]), self.now)
         else:

@@ -88,6 +88,11 @@ def source_columns(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d).columns().filter("source = 'nation'").select("field", "type")
 
 
+def system_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The files behind a source, and their rows."""
+    return engine(spark, d).query('from system.parts | where source in ("events", "lineitem") | stats sum(event_count) as n, count() as files by source')
+
+
 def shown_texts(spark: SparkSession, d: str) -> DataFrame:
     """A result as texts for people, line by line."""
     df = engine(spark, d).query("from nation | sort n_nationkey | keep n_nationkey, n_name")
@@ -158,7 +163,7 @@ def live_running(spark: SparkSession, d: str) -> DataFrame:
     return _finished(spark, out, "user_id bigint, n double, s double").groupBy("user_id").agg(F.max("n").cast("bigint").alias("n"), F.round(F.max_by("s", "n"), 3).alias("s"))
 
 
-QUERIES = {f.__name__: f for f in (sink_formats, reader_json_lines, reader_collector, reader_bulk, reader_entries, ingest_stages, implicit_source, verbs, source_columns, shown_texts, saved_query, view_batches, live_rows, live_dedup, live_sessions, live_running)}
+QUERIES = {f.__name__: f for f in (sink_formats, reader_json_lines, reader_collector, reader_bulk, reader_entries, ingest_stages, implicit_source, verbs, source_columns, system_parts, shown_texts, saved_query, view_batches, live_rows, live_dedup, live_sessions, live_running)}
 _SYSLOG = "CAST(regexp_extract(event, '^<(\\d+)>', 1) AS INT)"
 ORACLES: dict[str, str] = {
     "sink_formats": "SELECT f AS format, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS u, count(DISTINCT event_type) AS t, round(sum(value), 2) AS v FROM events, (VALUES ('json'), ('csv'), ('tsv'), ('parquet'), ('orc')) x(f) GROUP BY 1",
@@ -170,6 +175,7 @@ ORACLES: dict[str, str] = {
     "implicit_source": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1",
     "verbs": "SELECT event_type AS name, count(*) AS count FROM events WHERE value > 10 GROUP BY 1 UNION ALL SELECT strftime(ts, '%Y-%m-%d'), count(*) FROM events GROUP BY 1",
     "source_columns": "SELECT * FROM (VALUES ('n_nationkey', 'bigint'), ('n_name', 'string'), ('n_regionkey', 'bigint')) t(field, type)",
+    "system_parts": "SELECT 'events' AS source, CAST(count(*) AS DOUBLE) AS n, 1 AS files FROM events UNION ALL SELECT 'lineitem', CAST(count(*) AS DOUBLE), 1 FROM lineitem",
     "shown_texts": "SELECT 'csv' AS how, n_nationkey || ',' || n_name AS line FROM nation UNION ALL SELECT 'tsv', n_nationkey || chr(9) || n_name FROM nation UNION ALL SELECT 'line', 'n_nationkey=' || n_nationkey || ' n_name=' || n_name FROM nation UNION ALL SELECT 'ndjson', '{\"n_nationkey\": ' || n_nationkey || ', \"n_name\": \"' || n_name || '\"}' FROM nation",
     "saved_query": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 5",
     "view_batches": "SELECT event_type, CAST(count(*) AS DOUBLE) AS n, max(value) AS m FROM events GROUP BY 1",

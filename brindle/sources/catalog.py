@@ -41,6 +41,7 @@ class Source:
     df: DataFrame
     order: tuple[str, ...] = ()
     json: bool = False
+    given: DataFrame | None = None  # as registered
 
 
 @dataclass
@@ -65,13 +66,14 @@ class Catalog:
     def add(self, name: str, df: DataFrame, time: str | None = None, raw: str | None = None, order: tuple[str, ...] = (), json: bool = False, source: str | None = None) -> None:
         """Register a DataFrame. time and raw name the columns that become _time and _raw; order the columns that settle
         the rows' order after _time; with json unknown names are looked up in _raw."""
+        given = df
         df = normalised(df)
         for new, old in (("_time", time), ("_raw", raw), ("_source", source)):
             if old and new not in df.columns:
                 df = df.withColumn(new, F.col(f"`{old}`"))
         if "_time" in df.columns and not isinstance(df.schema["_time"].dataType, T.TimestampType):
             df = df.withColumn("_time", F.col("_time").try_cast("timestamp"))
-        self.sources[name] = Source(df, tuple(order), json)
+        self.sources[name] = Source(df, tuple(order), json, given)
 
     def resolve(self, names: list[str]) -> Source:
         """A list of names, globs and !exclusions as one source; several are united by name."""

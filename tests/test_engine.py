@@ -401,6 +401,17 @@ def test_saved_queries_are_kept(spark, tmp_path):
     assert "few" not in Engine(spark, store=store).saved
 
 
+def test_system_tables(spark, tmp_path):
+    e = Engine(spark, now=NOW)
+    spark.range(10).repartition(2).write.parquet(str(tmp_path / "x"))
+    e.catalog.add("x", spark.read.parquet(str(tmp_path / "x")), order=("id",))
+    e.catalog.add("memory", spark.createDataFrame([(1,)], "a int"))
+    e.query('from x | stats count() as n | materialize "v"')
+    assert e.query("from system.parts | stats sum(event_count) as n, count() as files by source").collect() == [("x", 10.0, 2)]
+    assert {(r.source, r.field, r.type) for r in e.query("from system.columns").collect()} == {("x", "id", "bigint"), ("memory", "a", "bigint")}
+    assert e.query("from system.views").first()["name"] == "v" and e.query("from system.queries | where bind_seconds >= 0.0").count() >= 3
+
+
 def test_analyze_tells_what_nodes_did(spark):
     e = Engine(spark, now=NOW)
     e.catalog.add("x", spark.range(1_000), order=("id",))
