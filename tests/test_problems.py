@@ -267,6 +267,29 @@ def test_rounds_of_small_shards_agree(spark):
     assert rows[0] == rows[1] and len(rows[0]) > 400
 
 
+def test_templates_follow_from_the_sequences_alone(spark, tmp_path):
+    """The number and size of tasks, and how lines are spread over them, change no template."""
+    lines = [t.replace("4", str(i % 7)) + " " + "ab cd ef gh".split()[i % 4] * (i % 3) + f" {'uvwxyz'[i % 6]} {'klm'[i % 3]} {i}" for i in range(60) for t, _ in HEADS]
+    found = []
+    for n, parts in ((10, 1), (200, 5), (4_000, 2)):
+        at = f"{tmp_path}/{n}"
+        templates.tokenised(raw(spark, lines).repartition(parts).select("event")).write.parquet(f"{at}/lines")
+        found.append(sorted((bytes(r.key), r.event, r.template) for r in templates.mine_templates(spark, spark.read.parquet(f"{at}/lines"), at, shard_items=n).collect()))
+    assert found[0] == found[1] == found[2] and len({k for k, _, _ in found[0]}) == len(found[0])
+    assert all(slots.aligned(t.split("\x1f")[1:], slots.tokenised(e).symbols) is not None for _, e, t in found[0])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "<*>"]), min_size=5, max_size=5), max_size=12))
+def test_templates_looked_up_are_those_compared(sequences):
+    few, templates.FEW = templates.FEW, 0
+    try:
+        looked_up = templates.alike(sequences)
+    finally:
+        templates.FEW = few
+    assert looked_up == templates.alike(sequences)
+
+
 def test_entries_of_lines(spark, monkeypatch):
     monkeypatch.setattr(templates, "BLOCK_LINES", 3)
     lines = ["orphan", HEADS[0][0], "\tat x", "", "2025-11-04 |  847 | x", HEADS[1][0], HEADS[2][0], None, "y" * 50_000, "z"]
