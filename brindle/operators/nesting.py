@@ -13,24 +13,25 @@ Defined results:
 - a key that holds a dot, a bracket or a quote stands in table and column names as ['key'],
   so that different keys never share a name, and records are told apart by their numbers;
 - empty arrays and objects are leaves [] and {}, which absent keys aren't;
-- equal rows give equal triples, each of its own row_id; an empty table gives empty tables.
+- equal rows give equal triples, each of its own row_id, and rows of one row_id keep their
+  records apart; an empty table gives empty tables.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.plans.shared import work_path
+from brindle.plans.shared import remove_path, work_path
 
 #: Columns of one flat table; further leaf names follow in tables of the same keys beside it.
 WIDTH = 2_000
 
-_COLUMNS = "row_id origin record parent path parent_path table leaf value type ordinal".split()
-_NUMBERS = {"row_id", "record", "parent", "ordinal"}
+_COLUMNS = "row_id origin record parent path parent_path table leaf value type ordinal text".split()
+_NUMBERS = {"row_id", "record", "parent", "ordinal", "text"}
 TRIPLES = T.StructType([T.StructField(n, T.LongType() if n in _NUMBERS else T.StringType()) for n in _COLUMNS])
 
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(true|false|null))')
@@ -190,19 +191,22 @@ def triples_of(text: str | None, leaves: bool = True) -> list[tuple]:
 
 
 def triples(df: DataFrame, origins: tuple[str, ...] = ("event", "fields_json"), leaves: bool = True) -> DataFrame:
-    """The triples of all JSON texts in df, which has row_id and the columns named in origins; without leaves only records."""
+    """The triples of all JSON texts in df, which has row_id and the columns named in origins; without leaves only records. text numbers the texts."""
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         schema = pa.schema([(n, pa.int64() if n in _NUMBERS else pa.string()) for n in _COLUMNS])
         made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        number = TaskContext.get().partitionId() << 40
         for b in batches:
             rows: list[tuple] = []
             ids = b.column(0).to_pylist()
             for i, origin in enumerate(origins, 1):
                 for row_id, text in zip(ids, b.column(i).to_pylist()):
-                    rows += [(row_id, origin, *t, n) for n, t in enumerate(triples_of(text, leaves))]
+                    number += 1
+                    rows += [(row_id, origin, *t, n, number) for n, t in enumerate(triples_of(text, leaves))]
                     if len(rows) > 20_000:
                         yield made(rows)
                         rows = []
@@ -220,12 +224,31 @@ def records(found: DataFrame) -> DataFrame:
 KEY = ["table", "row_id", "origin", "record", "parent", "path", "parent_path"]
 
 
+#: The nearest repeated ancestor of a triple; its other columns follow from it.
+_RECORD = ["text", "row_id", "origin", "record"]
+
+
+def _of_record() -> Column:
+    return F.max(F.struct("table", "parent", "path", "parent_path")).alias("s")
+
+
+def _of_records(one: DataFrame, held: str) -> DataFrame:
+    return one.select("s.table", "row_id", "origin", "record", F.when(F.col("s.parent") >= 0, F.col("s.parent")).alias("parent"), "s.path", F.when(F.col("s.parent") >= 0, F.col("s.parent_path")).alias("parent_path"), held)
+
+
 def grouped(found: DataFrame) -> DataFrame:
     """Every record of every table with its leaves (k, o, v) in document order; record 0 of a text stands for what lies outside of arrays."""
     leaf = F.when(F.col("leaf").isNotNull(), F.struct(F.col("leaf").alias("k"), F.col("ordinal").alias("o"), F.col("value").alias("v")))
-    # all other columns follow from the record's number
-    one = found.groupBy("row_id", "origin", "record").agg(F.max(F.struct("table", "parent", "path", "parent_path")).alias("s"), F.array_sort(F.collect_list(leaf)).alias("leaves"))
-    return one.select("s.table", "row_id", "origin", "record", F.when(F.col("s.parent") >= 0, F.col("s.parent")).alias("parent"), "s.path", F.when(F.col("s.parent") >= 0, F.col("s.parent_path")).alias("parent_path"), "leaves")
+    return _of_records(found.groupBy(*_RECORD).agg(_of_record(), F.array_sort(F.collect_list(leaf)).alias("leaves")), "leaves")
+
+
+def pivoted(found: DataFrame) -> DataFrame:
+    """Every record of every table as one row with its cells: for each leaf name its values in document order."""
+    value = F.when(F.col("leaf").isNotNull(), F.struct(F.col("ordinal").alias("o"), F.col("value").alias("v")))
+    # one shuffle for both steps: the triples of a record lie in one partition
+    cells = found.repartition(*_RECORD).groupBy(*_RECORD, "leaf").agg(_of_record(), F.transform(F.array_sort(F.collect_list(value)), lambda x: x.v).alias("values"))
+    cell = F.when(F.col("leaf").isNotNull(), F.struct("leaf", "values"))
+    return _of_records(cells.groupBy(*_RECORD).agg(F.max("s").alias("s"), F.map_from_entries(F.collect_list(cell)).alias("cells")), "cells")
 
 
 class FlatTables:
@@ -244,14 +267,19 @@ class FlatTables:
     def write(cls, spark: SparkSession, found: DataFrame) -> FlatTables:
         """One parse; the rows lie sorted by table, so that opening one reads its own row groups only."""
         path = work_path(spark, "flat")
-        grouped(found).write.parquet(f"{path}/records")
+        pivoted(found).write.parquet(f"{path}/records")
         stored = spark.read.parquet(f"{path}/records")
         # ranges split a table that holds most of the rows
         stored.repartitionByRange("table", "row_id").sortWithinPartitions("table", "row_id").write.parquet(f"{path}/rows")
-        leaves = stored.select("table", F.explode_outer("leaves").alias("l")).groupBy("table", F.col("l.k").alias("leaf")).agg(F.count("l.v").alias("n_values"))
-        leaves.write.parquet(f"{path}/columns")
+        given = F.when(F.col("values").isNotNull(), F.size(F.filter("values", lambda v: v.isNotNull()))).otherwise(0)
+        stored.select("table", F.explode_outer("cells").alias("leaf", "values")).groupBy("table", "leaf").agg(F.sum(given).alias("n_values")).write.parquet(f"{path}/columns")
+        remove_path(spark, f"{path}/records")
         return cls(spark, path)
 
+    def links(self) -> DataFrame:
+        """row_id, origin, parent_path, child_path of every nested record of all tables."""
+        return self.rows.filter("parent is not null").select("row_id", "origin", "parent_path", F.col("path").alias("child_path"))
+
     def open(self, table: str, part: int = 0) -> DataFrame | None:
         """row_id, origin, record, parent, path, parent_path and a column f_... for each leaf; values of an array share one column, as a JSON array in order.
 
@@ -261,8 +289,7 @@ class FlatTables:
         names = [r["leaf"] for r in of.select("leaf").orderBy("leaf").offset(part * WIDTH).limit(WIDTH).collect()]
         if not names and part:
             return None
-        lists = F.map_from_entries(F.transform(F.array_distinct(F.transform("leaves", lambda x: x.k)), lambda k: F.struct(k, F.transform(F.filter("leaves", lambda x: x.k == k), lambda x: x.v))))
-        at = lambda k: F.try_element_at("m", F.lit(k))
-        return self.rows.filter(F.col("table") == table).withColumn("m", lists).select(
+        at = lambda k: F.try_element_at("cells", F.lit(k))
+        return self.rows.filter(F.col("table") == table).select(
             *KEY[1:], *((F.to_json(at(k)) if k.endswith("[]") else F.try_element_at(at(k), F.lit(1))).alias(f"f_{k}") for k in names)
         )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import slots
 from brindle.operators import compaction, dedup, instants, nesting, templates
+from brindle.plans import problems
 from brindle.plans.shared import work_path
 
 UTC = dt.UTC
@@ -131,6 +132,22 @@ def test_records_of_keys_that_look_alike_stay_apart(spark):
     assert nesting.records(nesting.triples(df, leaves=False)).count() == 3
 
 
+def test_links_come_out_of_the_flat_tables(spark, tmp_path, monkeypatch):
+    wide = '{"w": [{' + ", ".join(f'"k{i}": [{i}, {i}]' for i in range(3_000)) + "}]}"
+    rows = [(1, '{"a": [{"b": 1}, {"c": [{}]}]}', None), (1, '{"a": [{"b": 2}]}', '{"a": [{"b": 3}]}'), (None, '{"a": [{"b": 4}]}', "plain"), (2, wide, "{}"), (3, "{", None)]
+    spark.createDataFrame(rows, "row_id bigint, event string, fields_json string").repartition(2).write.parquet(f"{tmp_path}/nested_events.parquet")
+    read = lambda: sorted(map(str, map(tuple, problems.p4_found(spark, str(tmp_path)).collect())))
+    inner = (1, "event", "$.a[1]", "$.a[1].c[0]")
+    want = [(1, "event", "$", "$.a[0]"), (1, "event", "$", "$.a[0]"), (1, "event", "$", "$.a[1]"), inner, (1, "fields_json", "$", "$.a[0]"), (None, "event", "$", "$.a[0]"), (2, "event", "$", "$.w[0]")]
+    assert read() == sorted(map(str, want))
+    tables = nesting.FlatTables.write(spark, nesting.triples(spark.read.parquet(f"{tmp_path}/nested_events.parquet")))
+    assert sorted(r.f_b or "" for r in tables.open("$.a[]").collect()) == ["", "1", "2", "3", "4"]
+    assert tables.columns.filter("table = '$.w[]'").agg(F.count("*"), F.sum("n_values")).first()[:] == (3_000, 6_000)
+    pivoted = nesting.pivoted
+    monkeypatch.setattr(nesting, "pivoted", lambda found: pivoted(found).filter("table <> '$.a[]'"))
+    assert read() == sorted(map(str, [inner, want[-1]]))
+
+
 JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5) | st.sampled_from(["[]", '{"k": [{}]}', '"[{}]"', "[1", "{}x"]), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text(max_size=3), c, max_size=3), max_leaves=12)
 
 
