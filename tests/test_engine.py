@@ -356,6 +356,18 @@ def test_readers_and_ingest(spark, tmp_path):
         assert readers.detect_format(spark.createDataFrame([(text,)], "_raw string")) == kind
 
 
+def test_collector_sums_go_beyond_bigint(spark, tmp_path):
+    from brindle.plans.io_queries import reader_collector
+
+    first = 1_704_067_200_000_001
+    for n, kind in ((100, "bigint"), (12_000, "decimal(38,0)")):
+        d = str(tmp_path / str(n))
+        spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") + first).alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("click").alias("event_type")).write.parquet(f"{d}/events.parquet")
+        got = reader_collector(spark, d)
+        assert dict(got.dtypes)["t"] == kind
+        assert sorted((r["index"], r.n, r.hosts, int(r.t)) for r in got.collect()) == [(x, n // 2, 7, sum(range(first + odd, first + n, 2))) for x, odd in (("main", 1), ("web", 0))]
+
+
 def test_live(spark, tmp_path):
     from brindle.streaming.live import live_query, session_counts
 
